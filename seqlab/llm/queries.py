@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, token_output
+from . import exact_dedup, packing, token_output
 from .common import shared_path, table
 
 QUERIES: dict = {}
@@ -45,3 +45,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_output.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
     found = token_output.read_documents(spark, path)
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda p: p.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    found = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, derive=digest)
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
