@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, token_output
+from . import exact_dedup, jaccard_join, packing, token_output
 from .common import shared_path, table
 
 QUERIES: dict = {}
@@ -52,3 +52,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = lambda p: p.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     found = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, derive=digest)
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), k=4, percent=85)
