@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, packing, token_output
-from .common import shared_path, table
+from . import exact_dedup, jaccard_join, language_id, packing, quality, token_output
+from .common import held_out, shared_path, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -57,3 +57,21 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = language_id.fit(docs.filter(~held_out(F.col("doc_id"))))
+    found = language_id.classify(docs, known, keep=["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", "quality")
+    model = quality.fit(docs.select("doc_id", "text").join(labels, "doc_id"), "quality")
+    found = quality.score(docs, model, keep=["doc_id"])
+    score = F.col("quality_score")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), F.when(score >= 0.7, 1).otherwise(0).alias("predicted"))

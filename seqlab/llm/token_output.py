@@ -50,9 +50,9 @@ def _dictionary(raw: bytes):
 
 
 def fit_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int) -> bytes:
-    rank = F.xxhash64(F.col(id_col).cast("string"), F.length(text_col))
-    rows = docs.select(F.struct(rank.alias("r"), F.col(id_col).cast("string").alias("i")).alias("_rank"), F.coalesce(F.substring(text_col, 1, SAMPLE_BYTES), F.lit("")).alias("_text"))
-    picked = rows.orderBy("_rank").limit(SAMPLE_DOCS).select("_text")
+    rows = docs.select(F.struct(F.xxhash64(F.col(id_col).cast("string"), F.length(text_col)).alias("r"), F.col(id_col).cast("string").alias("i")).alias("_rank"), F.col(text_col).alias("_text"))
+    chosen = rows.select("_rank").orderBy("_rank").limit(SAMPLE_DOCS)  # SAMPLE_DOCS ids at most, whatever the corpus
+    picked = rows.filter("_text is not null").join(F.broadcast(chosen.distinct()), "_rank", "left_semi").select(F.substring("_text", 1, SAMPLE_BYTES).alias("_text"))
 
     def fit(batches):
         import pyarrow as pa
