@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_id, packing, quality, token_output
+from . import exact_dedup, fingerprint, jaccard_join, language_id, packing, quality, token_output
 from .common import held_out, shared_path, table
 
 QUERIES: dict = {}
@@ -75,3 +75,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.score(docs, model, keep=["doc_id"])
     score = F.col("quality_score")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), F.when(score >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+    rows = fingerprint.with_next(own).withColumn("edited", fingerprint.edited(F.col("text"), F.col("_next.text")))
+    hashed = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", F.col("_next.fingerprint").alias("_following"), fingerprint.word_hashes(F.col("edited")).alias("_hashes"))
+    found = hashed.withColumn("edited_fingerprint", fingerprint.fingerprint_of(F.col("_hashes")))
+    near = lambda c: fingerprint.likeness(F.col("fingerprint"), F.col(c))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("_following").alias("near_next"))
