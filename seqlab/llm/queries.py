@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprint, jaccard_join, language_id, packing, quality, token_output
+from . import exact_dedup, fingerprint, jaccard_join, language_id, packing, quality, token_output, url_filter, warc_audit
 from .common import held_out, shared_path, table
 
 QUERIES: dict = {}
@@ -85,3 +85,48 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hashed.withColumn("edited_fingerprint", fingerprint.fingerprint_of(F.col("_hashes")))
     near = lambda c: fingerprint.likeness(F.col("fingerprint"), F.col(c))
     return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("_following").alias("near_next"))
+
+
+#: The rules of the contract.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def second_copy(pages: DataFrame) -> DataFrame:
+    """A replica of the pages as a failing disk would leave it: in one page of 101 one character changed, one of 997 cut short."""
+    hurt = F.when(F.col("page_id") % 101 == 7, F.concat(F.lit("?"), F.expr("substring(html, 2)"))).when(F.col("page_id") % 997 == 11, F.expr("substring(html, 1, cast(length(html) / 2 as int))")).otherwise(F.col("html"))
+    return pages.withColumn("html", hurt)
+
+
+@query
+def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    first, second = (warc_audit.leaves(warc_audit.records(p)) for p in (pages, second_copy(pages)))
+    found = warc_audit.audit(first, second)
+    return found.select("file", F.col("id").alias("page_id"), "at", "length", "digest", "other_at", "other_length", "other_digest", "fault")
+
+
+ORACLE_SQL["op3_warc_audit"] = """
+WITH two AS (
+  SELECT 1 AS copy, page_id, url, coalesce(html, '') AS html FROM pages
+  UNION ALL
+  SELECT 2, page_id, url, coalesce(CASE WHEN page_id % 101 = 7 THEN '?' || substring(html, 2) WHEN page_id % 997 = 11 THEN substring(html, 1, CAST(floor(length(html) / 2) AS INT)) ELSE html END, '') FROM pages
+), written AS (
+  SELECT copy, CAST(page_id // 1000 AS BIGINT) AS file, page_id,
+    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+    || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM two
+), placed AS (
+  SELECT copy, file, page_id, strlen(record) AS length, sha256(record) AS digest,
+    CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY copy, file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at
+  FROM written
+)
+SELECT a.file, a.page_id, a.at, a.length, a.digest, b.at AS other_at, b.length AS other_length, b.digest AS other_digest,
+  CASE WHEN a.digest <> b.digest THEN 'corrupt' ELSE 'moved' END AS fault
+FROM placed a JOIN placed b ON a.copy = 1 AND b.copy = 2 AND a.page_id = b.page_id
+WHERE a.digest <> b.digest OR a.at <> b.at
+"""
