@@ -49,3 +49,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: 64-bit words of a sieve: one megabyte, whatever the corpus.
+SIEVE_WORDS = 1 << 17
+
+
+def sieve(key: Column, keys: DataFrame, key_of_keys: Column) -> Column:
+    """True for every key among keys, and for few others: one hash into a bitset of SIEVE_WORDS words. Full, it is true for all.
+
+    It spares rows a shuffle before an exact join; it never replaces one.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * SIEVE_WORDS))
+    words = keys.select(place(key_of_keys).alias("p")).groupBy(F.floor(F.col("p") / 64).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("word"))
+    slots = keys.sparkSession.range(SIEVE_WORDS).select(F.col("id").cast("int").alias("at")).join(words, "at", "left")
+    bits = slots.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("word", F.lit(0)).alias("word")))), lambda x: x["word"]).alias("bits"))
+    p = place(key)
+    word = F.get(bits.scalar(), F.floor(p / 64).cast("int"))
+    # a shift by a column's number of places: F.shiftright takes constants only
+    return F.call_function("shiftright", word, (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprint, jaccard_join, language_id, packing, quality, token_output, url_filter, warc_audit
+from . import exact_dedup, fingerprint, jaccard_join, language_id, mixing, packing, quality, token_output, url_filter, warc_audit
 from .common import held_out, shared_path, table
 
 QUERIES: dict = {}
@@ -130,3 +130,21 @@ SELECT a.file, a.page_id, a.at, a.length, a.digest, b.at AS other_at, b.length A
 FROM placed a JOIN placed b ON a.copy = 1 AND b.copy = 2 AND a.page_id = b.page_id
 WHERE a.digest <> b.digest OR a.at <> b.at
 """
+
+
+#: Target shares of tokens by domain.
+MIX_WEIGHTS = {"good": 0.97, "low": 0.02, "toxic": 0.01}
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """id, text, domain of the documents that the labels name."""
+    named = labels.select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain")).filter("domain is not null")
+    return docs.select("doc_id", "text").join(named, "doc_id")
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = mixing.rates(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), MIX_WEIGHTS)
+    p = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(MIX_WEIGHTS)]
+    return found.select("doc_id", "tokens", *p, "rate", mixing.chosen(F.col("doc_id"), F.col("rate")).alias("kept"))
