@@ -8,9 +8,11 @@
    than GROUP_TOKENS tokens is dealt into several.
 4. The matrix says which tokens the members of a group have, with the sizes of the sets. A class is a query against each other group that
    has one of its first tokens and could have a set of fitting size; of two groups, the one with the larger number asks.
-5. A group is opened in one task with its queries streaming by. The union of its members' whole sets bounds each query's overlap; members
-   are compared only where that bound suffices. Members are compared with each other the same way.
-6. Each query hands on one edge for each linked part of a group, not one for each pair; ``components`` joins them up.
+5. Groups are first opened on bitmaps alone: of each set, the parity of its tokens by hash slot, about two bits a token. The bits in which two
+   bitmaps differ are no more than the tokens in which the sets do, so most queries and members turn out to have no possible partner.
+6. For the rest the texts are fetched. A group is opened in one task with its queries streaming by. The union of its members' whole sets
+   bounds each query's overlap; members are compared only where that bound suffices. Members are compared with each other the same way.
+7. Each query hands on one edge for each linked part of a group, not one for each pair; ``components`` joins them up.
 
 No pair of a group is ever a row, nothing is capped, and a group's memory is bounded by GROUP_TOKENS and one longest text.
 
@@ -25,12 +27,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions
+from .common import cut, shuffle_partitions, sieve
 from .components import components
 from .shingles import mix, shingle_sets
 
-SAMPLE = 32
-FREQUENT = 3
+SAMPLE = 16
+FREQUENT = 2
 TOP = 500_000
 GROUP_TOKENS = 300_000
 SALTS = 8
@@ -67,7 +69,7 @@ def among(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """id, n, a, b (128 bits of the set), prefix (its first tokens in the global order)."""
+    """id, n, a, b (128 bits of the set), prefix (its first tokens in the global order), bits (its bitmap)."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, id_col, text_col, k))
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -76,9 +78,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
 
         late = frequent.value
         for batch in batches:
-            n, a, b, first = [], [], [], []
+            n, a, b, first, bits = [], [], [], [], []
             for s in shingle_sets(batch.column("_text"), k):
                 n.append(len(s))
+                bits.append(bitmap(s).tobytes())
                 a.append(int(mix(s, 1).sum(dtype=np.uint64).astype(np.int64)))
                 b.append(int(mix(s, 2).sum(dtype=np.uint64).astype(np.int64)))
                 if len(s):
@@ -89,10 +92,106 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
             at = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32) if first else np.zeros(1, np.int32)
             flat = np.concatenate(first).view(np.int64) if first else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["_id", "n", "a", "b", "prefix"]
+                [batch.column("_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(bits, pa.binary())],
+                ["_id", "n", "a", "b", "prefix", "bits"],
             )
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(sign, f"_id {id_type}, n long, a long, b long, prefix array<long>")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(sign, f"_id {id_type}, n long, a long, b long, prefix array<long>, bits binary")
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """The parity of the tokens in each of b slots, b the power of two from n on (64 at least), as 64-bit words."""
+    b = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s & np.uint64(b - 1)).astype(np.int64), minlength=b) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def halved(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps (along the last axis) of half as many slots."""
+    half = bits.shape[-1] // 2
+    return bits[..., :half] ^ bits[..., half:]
+
+
+class Bitmaps:
+    """The bitmaps of a group's members, by number of words."""
+
+    def __init__(self, n: list[int], bits: list[np.ndarray], percent: int):
+        self.percent, self.live = percent, np.zeros(len(n), dtype=bool)
+        self.by_words: dict[int, list] = {}
+        for w in sorted({len(x) for x in bits}):
+            who = np.array([i for i, x in enumerate(bits) if len(x) == w])
+            self.by_words[w] = [who, np.array([n[i] for i in who]), np.stack([bits[i] for i in who])]
+
+    def possible(self, n: int, bits: np.ndarray) -> np.ndarray:
+        """Members that may link with a set of n tokens. Sizes that fit differ by less than one halving."""
+        out = []
+        for w, (who, sizes, rows) in self.by_words.items():
+            fits = (self.percent * sizes <= 100 * n) & (self.percent * n <= 100 * sizes)
+            if not fits.any():
+                continue
+            who, sizes, rows, q = who[fits], sizes[fits], rows[fits], bits
+            while rows.shape[1] > len(q):
+                rows = halved(rows)
+            while len(q) > rows.shape[1]:
+                q = halved(q)
+            differ = np.bitwise_count(rows ^ q).sum(axis=1, dtype=np.int64)
+            out.append(who[differ * (100 + self.percent) <= (sizes + n) * (100 - self.percent)])
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+
+def _screened(percent: int):
+    """Rows sorted by group, members before queries, to the rows (id, gid, role, copies) that may have a partner."""
+
+    def screen(batches):
+        import pyarrow as pa
+
+        now, group, members, held = None, None, [], []
+        out: list[tuple] = []
+
+        def build():
+            nonlocal group, members, held
+            members, held = held, []
+            group = Bitmaps([m[2] for m in members], [m[3] for m in members], percent)
+            for i, m in enumerate(members if len(members) > 1 else []):
+                found = group.possible(m[2], m[3])
+                group.live[found[found != i]] = True
+
+        def close():
+            if group is not None:
+                out.extend((m[0], now, 0, m[1]) for i, m in enumerate(members) if group.live[i])
+
+        def emit():
+            nonlocal out
+            rows, out = out, []
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["_id", "_gid", "_role", "_copies"])
+
+        for batch in batches:
+            for gid, role, x, c, n, raw in zip(*[batch.column(k).to_pylist() for k in ("_gid", "_role", "_id", "_copies", "n", "bits")]):
+                if gid != now:
+                    if held:
+                        build()
+                    close()
+                    now, group = gid, None
+                bits = np.frombuffer(raw, np.uint64)
+                if role == 0:
+                    held.append((x, c, n, bits))
+                    continue
+                if held:
+                    build()
+                if group is not None:
+                    found = group.possible(n, bits)
+                    if len(found):
+                        group.live[found] = True
+                        out.append((x, gid, 1, c))
+                if len(out) > 5000:
+                    yield emit()
+        if held:
+            build()
+        close()
+        if out:
+            yield emit()
+
+    return screen
 
 
 class Group:
@@ -209,29 +308,33 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     spark = docs.sparkSession
     signed = cut(signatures(docs, id_col, text_col, k, percent).withColumn("_id", F.col("_id").cast("long")), "signed")
-    named = signed.filter(F.col("n") > 0).groupBy("n", "a", "b").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix"))
+    first = lambda c: F.first(c).alias(c)  # noqa: E731  equal sets have equal ones
+    named = signed.filter(F.col("n") > 0).groupBy("n", "a", "b").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), first("prefix"), first("bits"))
     classes = cut(named.filter("rep is not null"), "classes")
+    facts = classes.select("rep", "n", "copies", "bits")
 
     # tokens that more classes have among their first ones; the rest of the tokens cannot lead anywhere
-    rows = classes.select("rep", "n", "copies", F.explode("prefix").alias("token"))
+    rows = classes.select("rep", F.explode("prefix").alias("token"))
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     lists = cut(rows.join(shared, "token"), "lists")
-    chosen = lists.groupBy("rep", "n", "copies").agg(F.max(F.struct("held", "token"))["token"].alias("key"))
+    chosen = lists.groupBy("rep").agg(F.max(F.struct("held", "token"))["token"].alias("key")).join(facts, "rep")
     weight = chosen.groupBy("key").agg(F.sum("n").alias("w"))
     dealt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("w") / GROUP_TOKENS).cast("long"))
-    members = cut(chosen.join(weight, "key").select("rep", "n", "copies", F.xxhash64("key", dealt).alias("gid")), "members")
+    members = cut(chosen.join(weight, "key").select("rep", "n", "copies", "bits", F.xxhash64("key", dealt).alias("gid")), "members")
 
-    placed = lists.select("token", "rep", "n").join(members.select("rep", "gid"), "rep")
+    placed = lists.select("token", "rep").join(members.select("rep", "gid", "n"), "rep")
     matrix = placed.groupBy("token", "gid").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     q, g = placed.alias("q"), matrix.alias("g")
     asks = q.join(g, (F.col("q.token") == F.col("g.token")) & (F.col("g.gid") < F.col("q.gid")) & (F.col("q.n") * percent <= F.col("g.most") * 100) & (F.col("g.least") * percent <= F.col("q.n") * 100))
-    asks = cut(asks.select("q.rep", "g.gid").distinct(), "asks")
+    asks = asks.select("q.rep", "g.gid").distinct().join(members.drop("gid"), "rep")
 
-    copies = members.select("rep", "copies")
-    wanted = members.select("rep", "gid", "copies", F.lit(0).alias("_role")).unionByName(asks.join(copies, "rep").select("rep", "gid", "copies", F.lit(1).alias("_role")))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    fetched = wanted.select(F.col("rep").alias("_id"), F.col("gid").alias("_gid"), "_role", F.col("copies").alias("_copies")).join(texts, "_id")
     n = max(24, 2 * shuffle_partitions(spark))
+    row = lambda role: [F.col("gid").alias("_gid"), F.lit(role).alias("_role"), F.col("rep").alias("_id"), F.col("copies").alias("_copies"), "n", "bits"]
+    both = members.select(*row(0)).unionByName(asks.select(*row(1))).repartition(n, "_gid").sortWithinPartitions("_gid", "_role")
+    wanted = cut(both.mapInArrow(_screened(percent), "_id long, _gid long, _role int, _copies long"), "wanted")
+
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    fetched = wanted.join(texts.filter(sieve(F.col("_id"), wanted, F.col("_id"))), "_id")
     opened = fetched.select("_gid", "_role", "_id", "_copies", "_text").repartition(n, "_gid").sortWithinPartitions("_gid", "_role").mapInArrow(_opened(k, percent), "a long, b long, links long")
     edges = cut(opened, "links")
 
@@ -246,7 +349,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
     salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
-    out = signed.drop("prefix").withColumn("_salt", salt).join(label, ["n", "a", "b", "_salt"], "left")
+    out = signed.drop("prefix", "bits").withColumn("_salt", salt).join(label, ["n", "a", "b", "_salt"], "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
