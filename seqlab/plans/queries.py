@@ -1,7 +1,643 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, and the same in SQL.
+
+Measures are rounded on both sides, so that the order of a sum cannot change a result.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.columns import bucket, clean_numbers, tertile
+from ..operators import evaluate, folds, models, panel, rollup, search
+from ..sources import files
+from .fixture import EVENTS, FOLDS, HOLDOUT, LEAST_EVENTS, LEAST_OUTINGS, MEASURES, ORDER, QUALIFY, SCORES, SETS, SPANS, START, events, scores, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "feature_panel"
+
+KEYS = ["entity", "day"]
+MODEL_KEYS = ["entity", "fold"]
+FEATURES = ["prior_minus_ewma4", "mean_minus_ewma4", "price_mean5", "price_slope5", "score_slope5"]
+
+
+def query(sql: str | None = None):
+    """Register a query with its SQL. Days are returned as text, which every client reads alike."""
+
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.withColumn("day", F.col("day").cast("string")) if "day" in df.columns else df
+
+        QUERIES[f.__name__] = run
+        if sql:
+            days = re.search(r"\bday\b", sql.rpartition("SELECT")[2].partition("FROM")[0]) or re.search(r"\bAS day\b", sql.strip().rpartition("\n")[2])
+            ORACLE_SQL[f.__name__] = f"SELECT * REPLACE (strftime(day, '%Y-%m-%d') AS day) FROM ({sql.strip()})" if days else sql.strip()
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, digits: int = 7) -> DataFrame:
+    """All doubles rounded; minus zero as zero."""
+    return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c, t in df.dtypes if t == "double"})
+
+
+def R(x: str, name: str, digits: int = 7) -> str:  # noqa: N802
+    return f"round({x}, {digits}) + 0.0 AS {name}"
+
+
+def case_sql(column: str = "category") -> str:
+    whens = " ".join(f"WHEN upper({column}) IN ({', '.join(repr(c) for c in codes)}) THEN '{name}'" for name, codes in SETS.items())
+    return f"CASE {whens} ELSE 'other' END"
+
+
+# --- events to outings ------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH {EVENTS}
+SELECT entity, day, count(*) AS event_count, {R('avg(price)', 'price')}, {R('avg(quantity)', 'quantity')}, {R('avg(discount)', 'discount')}, {R('avg(tax)', 'tax')},
+  arg_min(category, row(at_bat, opponent, entity, shipped, price)) FILTER (WHERE category IS NOT NULL) AS category,
+  CAST(min(at_bat) AS DOUBLE) AS first_at_bat, CAST(max(at_bat) AS DOUBLE) AS last_at_bat
+FROM ev WHERE entity IS NOT NULL AND day IS NOT NULL GROUP BY entity, day
+""")
+def outing_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = events(spark, sf_dir)
+    measures = [*rollup.means(ev, [*MEASURES, "absent"]), *rollup.first_known(ev, ["category", "absent"], ORDER), *rollup.first_and_last(ev, "at_bat", "first_at_bat", "last_at_bat")]
+    return rounded(rollup.roll_up(ev, KEYS, measures))
+
+
+@query(f"""
+WITH {EVENTS}
+SELECT entity, day, count(*) AS event_count, count(DISTINCT at_bat) AS by_turn, count(DISTINCT row(side, at_bat)) AS by_pair,
+  CAST(greatest(1, round_even(count(*) / 4.0, 0)) AS BIGINT) AS by_count
+FROM ev GROUP BY entity, day
+""")
+def batters_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = events(spark, sf_dir)
+    return rollup.roll_up(ev, KEYS, [*rollup.opponents_faced(ev, "at_bat", "side", "at_bat", "by_turn"), *rollup.opponents_faced(ev, "absent", "side", "at_bat", "by_pair"), *rollup.opponents_faced(ev, "absent", "absent", "at_bat", "by_count")])
+
+
+@query(f"""
+WITH {EVENTS}, n AS (SELECT entity, day, category, count(*) AS n FROM ev WHERE category IS NOT NULL GROUP BY ALL)
+SELECT entity, day, category, n, {R('n / sum(n) OVER (PARTITION BY entity, day)', 'share')} FROM n
+""")
+def category_mix_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rollup.mix_long(events(spark, sf_dir), KEYS, "category"))
+
+
+@query(f"""
+WITH {EVENTS}
+SELECT entity, day, count(*) AS event_count,
+  {', '.join(R(f"count(*) FILTER (WHERE category = '{v}') / nullif(count(category), 0)", f'mix_{v}') for v in ('AF', 'AO', 'NF', 'NO', 'RF', 'RO'))}
+FROM ev GROUP BY entity, day
+""")
+def category_mix_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = events(spark, sf_dir)
+    values = sorted({*rollup.category_values(ev, "category"), "AF", "AO", "NF", "NO", "RF", "RO"})
+    return rounded(rollup.roll_up(ev, KEYS, rollup.mix_wide(ev, "category", values)))
+
+
+@query(f"""
+WITH {EVENTS}, k AS (SELECT entity, day, {case_sql()} AS kind FROM ev)
+SELECT entity, day, count(*) AS event_count,
+  {', '.join(R(f"count(*) FILTER (WHERE kind = '{v}') / nullif(count(*) FILTER (WHERE kind <> 'other'), 0)", f'{v}_share') for v in SETS)}
+FROM k GROUP BY entity, day
+""")
+def category_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = events(spark, sf_dir)
+    return rounded(rollup.roll_up(ev, KEYS, rollup.category_shares(ev, "category", SETS)))
+
+
+@query(f"WITH {EVENTS}, k AS (SELECT {case_sql()} AS kind FROM ev) SELECT kind, count(*) AS n FROM k GROUP BY kind")
+def category_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).groupBy(bucket(F.col("category"), SETS).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+WITH {EVENTS}
+SELECT entity, day, count(*) AS event_count, {R('avg(sin(radians(angle)))', 'angle_sin')}, {R('avg(cos(radians(angle)))', 'angle_cos')} FROM ev GROUP BY entity, day
+""")
+def circular_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = events(spark, sf_dir)
+    return rounded(rollup.roll_up(ev, KEYS, rollup.circular_mean(ev, "angle")))
+
+
+@query(f"""
+WITH {EVENTS}, e AS (SELECT *, CASE WHEN opponent % 11 <> 0 THEN hand END AS h, CASE WHEN opponent % 7 = 0 THEN 'left' ELSE side END AS s FROM ev)
+SELECT entity, day, count(*) AS event_count,
+  {R('avg(CASE WHEN substr(h, 1, 1) IS NOT DISTINCT FROM substr(s, 1, 1) THEN 1.0 ELSE 0.0 END)', 'same_side_share')},
+  {R("avg(CASE WHEN upper(substr(s, 1, 1)) = 'L' THEN 1.0 ELSE 0.0 END)", 'left_share')}
+FROM e GROUP BY entity, day
+""")
+def matchup_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = events(spark, sf_dir).withColumn("h", F.when(F.col("opponent") % 11 != 0, F.col("hand"))).withColumn("s", F.when(F.col("opponent") % 7 == 0, "left").otherwise(F.col("side")))
+    return rounded(rollup.roll_up(ev, KEYS, rollup.matchup(ev, "h", "s")))
+
+
+FIRST = f"""{EVENTS}, fi AS (
+  SELECT grp, entity AS first_entity FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY at_bat, opponent, shipped, price, entity) AS n FROM ev) WHERE n = 1
+)"""
+
+
+def _firsts(ev: DataFrame) -> DataFrame:
+    return rollup.first_entity(ev, "grp", "entity", ["at_bat", "absent"], ["opponent", "shipped", "price"])
+
+
+@query(f"WITH {FIRST} SELECT grp, first_entity FROM fi")
+def first_entity_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _firsts(events(spark, sf_dir))
+
+
+#: An outing here is an entity in a group on a day.
+GROUPED = f"""{FIRST}, ou AS (SELECT entity, grp, day, count(*) AS event_count FROM ev GROUP BY ALL),
+fl AS (SELECT ou.*, CAST(coalesce(first_entity = entity, false) AS INT) AS is_start FROM ou LEFT JOIN fi USING (grp))"""
+
+
+def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = events(spark, sf_dir)
+    return rollup.flag_starts(rollup.roll_up(ev, ["entity", "grp", "day"], []), _firsts(ev), "grp", "entity")
+
+
+@query(f"""
+WITH {GROUPED}
+SELECT entity, grp, day, event_count, is_start, CAST(date_diff('day', lag(day) OVER (PARTITION BY entity ORDER BY day, grp), day) AS INT) AS rest_days
+FROM fl WHERE is_start = 1 AND event_count >= 1
+""")
+def starter_outings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.only_starts(_flagged(spark, sf_dir), "entity", "day", ties=["grp"])
+
+
+@query(f"WITH {GROUPED} SELECT entity, grp, day, event_count, is_start FROM fl WHERE is_start <> 1")
+def relief_outings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.only_relief(_flagged(spark, sf_dir))
+
+
+@query(f"""
+WITH {EVENTS}, ou AS (SELECT entity, day, count(*) AS event_count FROM ev WHERE upper(hand) = 'R' GROUP BY ALL)
+SELECT entity, day, event_count, CAST(date_diff('day', lag(day) OVER (PARTITION BY entity ORDER BY day), day) AS INT) AS rest_days, CAST(dayofyear(day) AS INT) AS day_of_year FROM ou
+""")
+def regular_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regular = rollup.of_kind(events(spark, sf_dir), "hand", "r")
+    return rollup.rest_days(rollup.roll_up(regular, KEYS, []), "entity", "day").withColumn("day_of_year", F.dayofyear("day"))
+
+
+# --- panel ------------------------------------------------------------------------------------------------------------------------------
+
+JOINED = f"""{EVENTS}, {SCORES}, jn AS (
+  SELECT ev.entity, ev.day, count(*) AS event_count, avg(price) AS price, any_value(sc.score) AS score
+  FROM ev JOIN sc USING (entity, day) GROUP BY ev.entity, ev.day HAVING count(*) >= {LEAST_EVENTS}
+)"""
+YEARS = ", ".join(map(str, QUALIFY))
+QUALIFIED = f"""{JOINED}, ql AS (
+  SELECT entity FROM (SELECT entity, year(day) AS y, count(*) AS n FROM jn WHERE year(day) IN ({YEARS}) GROUP BY ALL) WHERE n >= {LEAST_OUTINGS} GROUP BY entity HAVING count(*) = {len(QUALIFY)}
+)"""
+WORKLOAD = """SELECT *, CAST(date_diff('day', lag(day) OVER w, day) AS INT) AS rest_days, lag(event_count) OVER w AS previous_count,
+  CAST(lag(event_count, 1) OVER w + lag(event_count, 2) OVER w + lag(event_count, 3) OVER w AS DOUBLE) / nullif(date_diff('day', lag(day, 3) OVER w, day), 0) AS raw_density
+  FROM pn WINDOW w AS (PARTITION BY entity, year(day) ORDER BY day)"""
+PANEL = f"""{QUALIFIED}, pn AS (SELECT jn.* FROM jn SEMI JOIN ql USING (entity))"""
+
+
+def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = events(spark, sf_dir)
+    outings = rollup.roll_up(ev, KEYS, rollup.means(ev, ["price"]))
+    return panel.join_scores(outings, scores(spark, sf_dir), "entity", "day", "source_order", count="event_count", least=LEAST_EVENTS)
+
+
+def base_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.only_qualified(joined(spark, sf_dir), "entity", "day", QUALIFY, LEAST_OUTINGS)
+
+
+@query(f"WITH {JOINED} SELECT entity, day, event_count, {R('price', 'price')}, {R('score', 'score')} FROM jn")
+def score_log_dedup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(joined(spark, sf_dir))
+
+
+@query(f"WITH {QUALIFIED} SELECT entity FROM ql")
+def qualified_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.qualified(joined(spark, sf_dir), "entity", "day", QUALIFY, LEAST_OUTINGS)
+
+
+@query(f"""
+WITH {PANEL}, wl AS ({WORKLOAD})
+SELECT entity, day, event_count, rest_days, previous_count,
+  round(CASE WHEN count(rest_days) OVER t = 3 AND max(rest_days) OVER t <= 21 THEN raw_density END, 7) + 0.0 AS density
+FROM wl WINDOW t AS (PARTITION BY entity, year(day) ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)
+""")
+def season_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(panel.season_workload(base_panel(spark, sf_dir), "entity", "day").select(*KEYS, "event_count", "rest_days", "previous_count", "density"))
+
+
+HISTORY = """hi AS (
+  SELECT *, avg(price) OVER b AS price_mean5, CASE WHEN count(price) OVER b > 1 THEN regr_slope(price, pos) OVER b END AS price_slope5, avg(score) OVER b AS score_mean5, CASE WHEN count(score) OVER b > 1 THEN regr_slope(score, pos) OVER b END AS score_slope5,
+    lag(score) OVER (PARTITION BY entity ORDER BY day) AS prior
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY entity ORDER BY day) AS DOUBLE) AS pos FROM pn)
+  WINDOW b AS (PARTITION BY entity ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)
+)"""
+
+
+def with_history(df: DataFrame) -> DataFrame:
+    return panel.prior_value(panel.history(df, "entity", "day", ["price", "score"]), "entity", "day", "score")
+
+
+@query(f"""
+WITH {PANEL}, {HISTORY}
+SELECT entity, day, {R('price_mean5', 'price_mean5')}, {R('price_slope5', 'price_slope5')}, {R('score_mean5', 'score_mean5')}, {R('score_slope5', 'score_slope5')}, {R('prior', 'prior')} FROM hi
+""")
+def history_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(with_history(base_panel(spark, sf_dir)).select(*KEYS, "price_mean5", "price_slope5", "score_mean5", "score_slope5", "prior"))
+
+
+def ewma_sql(span: int) -> str:
+    a = 2 / (span + 1)
+    return f"list_reduce(past, lambda x, y: {1 - a!r} * x + {a!r} * y)"
+
+
+EWMA = f"""{HISTORY}, ew AS (
+  SELECT *, {', '.join(f'CASE WHEN len(past) > 0 THEN {ewma_sql(s)} END AS ewma{s}' for s in SPANS)}
+  FROM (SELECT *, list(score) OVER (PARTITION BY entity ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM hi)
+)"""
+
+
+@query(f"""
+WITH {PANEL}, {EWMA}
+SELECT entity, day, {', '.join(R(f'ewma{s}', f'ewma{s}') for s in SPANS)}, {', '.join(R(f'prior - ewma{s}', f'prior_minus_ewma{s}') for s in SPANS)} FROM ew
+""")
+def ewma_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = panel.differences(panel.ewma_prior(with_history(base_panel(spark, sf_dir)), "entity", "day", "score", SPANS), SPANS)
+    return rounded(found.select(*KEYS, *[f"ewma{s}" for s in SPANS], *[f"prior_minus_ewma{s}" for s in SPANS]))
+
+
+def full_panel(spark: SparkSession, sf_dir: str, spans=SPANS) -> DataFrame:
+    found = panel.ewma_prior(with_history(panel.season_workload(base_panel(spark, sf_dir), "entity", "day")), "entity", "day", "score", spans)
+    return panel.differences(found, spans, mean="score_mean5")
+
+
+@query(f"""
+WITH {PANEL}, {EWMA}
+SELECT entity, day, event_count, {R('price', 'price')}, {R('score', 'score')}, {R('prior', 'prior')}, {R('price_mean5', 'price_mean5')}, {R('price_slope5', 'price_slope5')}, {R('score_slope5', 'score_slope5')},
+  {R('ewma4', 'ewma4')}, {R('prior - ewma4', 'prior_minus_ewma4')}, {R('score_mean5 - ewma4', 'mean_minus_ewma4')} FROM ew
+""")
+def feature_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(full_panel(spark, sf_dir, (4,)).select(*KEYS, "event_count", "price", "score", "prior", "price_mean5", "price_slope5", "score_slope5", "ewma4", "prior_minus_ewma4", "mean_minus_ewma4"))
+
+
+# --- dimensions and keys ----------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH {EVENTS}, ou AS (SELECT entity, day, count(*) AS event_count FROM ev GROUP BY ALL),
+bio AS (SELECT s_suppkey AS entity, DATE '1970-01-01' - CAST(s_suppkey AS INT) AS birth FROM supplier WHERE s_suppkey % 5 <> 0)
+SELECT entity, day, event_count, {R("date_diff('day', birth, day) / 365.25", 'age')} FROM ou LEFT JOIN bio USING (entity)
+""")
+def age_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bio = table(spark, sf_dir, "supplier").filter("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("entity"), F.date_sub(F.lit("1970-01-01").cast("date"), F.col("s_suppkey").cast("int")).cast("string").alias("birth_date"))
+    return rounded(rollup.with_age(rollup.roll_up(events(spark, sf_dir), KEYS, []), bio, "entity", "day"))
+
+
+@query("""
+SELECT c_custkey AS entity, coalesce(s_name, CAST(c_custkey AS VARCHAR)) AS name FROM customer LEFT JOIN (SELECT s_suppkey, min(s_name) AS s_name FROM supplier GROUP BY ALL) ON c_custkey = s_suppkey
+""")
+def name_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    names = s.groupBy(F.col("s_suppkey").alias("entity")).agg(F.min("s_name").alias("name"))
+    ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"))
+    return ids.join(names, "entity", "left").select("entity", F.coalesce("name", F.col("entity").cast("string")).alias("name"))
+
+
+@query("""
+SELECT DISTINCT l_suppkey AS entity, CASE WHEN s_suppkey % 7 = 0 THEN -1 ELSE s_nationkey * 1000 + s_suppkey END AS source_id
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE year(l_shipdate) BETWEEN 1996 AND 1997 AND s_suppkey % 7 <> 0
+""")
+def id_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    ids = table(spark, sf_dir, "lineitem").filter(F.year("l_shipdate").between(1996, 1997)).select(c("l_suppkey").alias("entity")).distinct()
+    known = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("entity"), F.when(c("s_suppkey") % 7 == 0, -1).otherwise(c("s_nationkey") * 1000 + c("s_suppkey")).alias("source_id"))
+    return ids.join(known, "entity").filter("source_id > 0").select("entity", "source_id")
+
+
+@query("""
+SELECT DISTINCT l_suppkey AS entity, year(l_shipdate) AS season FROM lineitem
+EXCEPT SELECT DISTINCT l_suppkey, year(l_shipdate) FROM lineitem WHERE l_returnflag = 'A' AND month(l_shipdate) = 3
+""")
+def pending_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("entity"), F.year("l_shipdate").cast("long").alias("season"), "l_returnflag", F.month("l_shipdate").alias("m"))
+    return files.pending(rows.select("entity", "season").distinct(), rows.filter("l_returnflag = 'A' and m = 3"), ["entity", "season"])
+
+
+@query("""
+SELECT o_orderkey AS grp, o_custkey AS entity, CAST(o_orderdate AS DATE) AS day, o_totalprice AS total FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) BETWEEN 1995 AND 1996
+""")
+def official_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    logs = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("grp"), c("o_custkey").alias("entity"), c("o_orderdate").cast("date").alias("day"), c("o_totalprice").alias("total"), F.when(c("o_orderstatus") == "F", "1.0").when(c("o_orderstatus") == "O", "0").otherwise("n/a").alias("GS"))
+    return files.official_rows(logs, "day", (1995, 1996)).drop("GS")
+
+
+@query("""
+SELECT user_id AS entity, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events WHERE json_extract(props, '$.k') IS NOT NULL GROUP BY ALL
+""")
+def json_payload_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("entity"), F.concat(F.lit('{"mlb": ['), F.col("props"), F.lit("]}")).alias("payload"))
+    found = files.explode_payload(rows, "payload", "mlb array<struct<k: long>>", "mlb").filter("k is not null")
+    return found.groupBy("entity", "k").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT l_orderkey AS grp, l_linenumber AS line, l_partkey AS part,
+  CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber = 2 THEN NULL WHEN l_linenumber = 3 THEN NULL ELSE l_tax END AS tax, CAST(CASE WHEN l_linenumber = 4 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS DATE) AS day
+FROM lineitem
+""")
+def coerced_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    raw = F.when(c("l_linenumber") == 1, "NaN").when(c("l_linenumber") == 2, "-Infinity").when(c("l_linenumber") == 3, "n/a").otherwise(c("l_tax").cast("string"))
+    day = F.when(c("l_linenumber") == 4, "soon").otherwise(c("l_shipdate").cast("date").cast("string"))
+    rows = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("grp"), c("l_linenumber").alias("line"), c("l_partkey").alias("part"), raw.alias("tax"), day.try_cast("date").alias("day"))
+    return clean_numbers(rows, ["tax"])
+
+
+# --- folds, classes, metrics ------------------------------------------------------------------------------------------------------------
+
+NEEDED = ["score", "prior", "ewma4", "price_mean5", "price_slope5", "score_slope5"]
+COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in NEEDED)
+
+
+def fold_sql(years: tuple[int, ...]) -> str:
+    return f"""{PANEL}, {EWMA}, fo AS (
+  SELECT ew.*, fold, CASE WHEN year(day) = fold THEN 'test' ELSE 'train' END AS split
+  FROM ew JOIN (SELECT unnest([{', '.join(map(str, years))}]) AS fold) ON year(day) >= {START} AND year(day) <= fold WHERE {COMPLETE}
+), th AS (
+  SELECT entity, fold, quantile_cont(score, 1.0/3) AS q33, quantile_cont(score, 2.0/3) AS q67, count(*) AS n_train FROM fo WHERE split = 'train' GROUP BY ALL HAVING count(*) >= 20
+), cl AS (
+  SELECT fo.*, q33, q67, CASE WHEN score <= q33 THEN 0 WHEN score <= q67 THEN 1 ELSE 2 END AS true_class FROM fo JOIN th USING (entity, fold)
+)"""
+
+
+def folded(spark: SparkSession, sf_dir: str, years=FOLDS) -> DataFrame:
+    found = folds.complete_cases(full_panel(spark, sf_dir, SPANS), NEEDED)
+    return folds.fold_table(found, "day", years, START)
+
+
+def classed(spark: SparkSession, sf_dir: str, years=FOLDS) -> DataFrame:
+    rows = folded(spark, sf_dir, years)
+    return folds.with_classes(rows, folds.thresholds(rows, MODEL_KEYS, "score"), MODEL_KEYS, "score")
+
+
+@query(f"WITH {fold_sql(FOLDS)} SELECT entity, day, CAST(fold AS INT) AS fold, split FROM fo")
+def fold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folded(spark, sf_dir).select(*KEYS, "fold", "split")
+
+
+@query(f"WITH {fold_sql(FOLDS)} SELECT entity, CAST(fold AS INT) AS fold, {R('q33', 'q33')}, {R('q67', 'q67')}, n_train FROM th")
+def fold_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(folds.thresholds(folded(spark, sf_dir), MODEL_KEYS, "score"))
+
+
+@query(f"WITH {fold_sql(FOLDS)} SELECT entity, day, CAST(fold AS INT) AS fold, split, true_class FROM cl")
+def tertile_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classed(spark, sf_dir).select(*KEYS, "fold", "split", "true_class")
+
+
+def _class_sql(c: str) -> str:
+    return f"CASE WHEN {c} <= q33 THEN 0 WHEN {c} <= q67 THEN 1 ELSE 2 END"
+
+
+BASE_SPANS = (3, 4, 8)
+
+
+def base_sql(years: tuple[int, ...]) -> str:
+    rows = [f"SELECT entity, fold, day, true_class, 'ewma{s}' AS model, ewma{s} AS score, {_class_sql(f'ewma{s}')} AS predicted_class FROM cl WHERE split = 'test'" for s in BASE_SPANS]
+    rows.append(f"SELECT entity, fold, day, true_class, 'prior', prior, {_class_sql('prior')} FROM cl WHERE split = 'test'")
+    rows.append("SELECT entity, fold, day, true_class, 'majority', NULL, majority_class FROM cl JOIN mj USING (entity, fold) WHERE split = 'test'")
+    return f"""{fold_sql(years)}, mj AS (
+  SELECT entity, fold, true_class AS majority_class FROM (SELECT entity, fold, true_class, row_number() OVER (PARTITION BY entity, fold ORDER BY count(*) DESC, true_class) AS n FROM cl WHERE split = 'train' GROUP BY entity, fold, true_class) WHERE n = 1
+), pr AS ({' UNION ALL '.join(rows)})"""
+
+
+def base_predictions(spark: SparkSession, sf_dir: str, years=FOLDS) -> DataFrame:
+    return folds.baselines(classed(spark, sf_dir, years), MODEL_KEYS, BASE_SPANS, carry=["day"])
+
+
+def metric_sql(keys: str) -> str:
+    parts = []
+    for c in (0, 1, 2):
+        tp, t, p = f"count(*) FILTER (WHERE true_class = {c} AND predicted_class = {c})", f"count(*) FILTER (WHERE true_class = {c})", f"count(*) FILTER (WHERE predicted_class = {c})"
+        parts.append((f"({tp} / nullif({t}, 0))", f"(2 * {tp} / nullif({t} + {p}, 0))"))
+    mean = lambda xs: f"list_avg(list_filter([{', '.join(xs)}], lambda x: x IS NOT NULL))"
+    return f"""count(*) AS n, {R('avg(CAST(true_class = predicted_class AS INT))', 'accuracy')}, {R(mean([a for a, _ in parts]), 'balanced_accuracy')},
+  {R(mean([b for _, b in parts]), 'macro_f1')}, {R('avg(abs(true_class - predicted_class))', 'ordinal_mae')}"""
+
+
+@query(f"WITH {base_sql(FOLDS)} SELECT model, CAST(fold AS INT) AS fold, {metric_sql('model, fold')} FROM pr GROUP BY model, fold")
+def baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.metrics(base_predictions(spark, sf_dir), ["model", "fold"]))
+
+
+@query(f"""
+WITH {base_sql((HOLDOUT,))}, m AS (SELECT DISTINCT model FROM pr), c AS (SELECT unnest([0, 1, 2]) AS true_class)
+SELECT m.model, CAST(c.true_class AS INT) AS true_class, {', '.join(f'count(pr.model) FILTER (WHERE predicted_class = {k}) AS pred_{k}' for k in (0, 1, 2))}
+FROM m CROSS JOIN c LEFT JOIN pr ON pr.model = m.model AND pr.true_class = c.true_class GROUP BY ALL
+""")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.confusion(base_predictions(spark, sf_dir, (HOLDOUT,)), "model")
+
+
+@query(f"WITH {base_sql((HOLDOUT,))} SELECT model, entity, CAST(grouping(entity) AS INT) AS pooled, {metric_sql('')} FROM pr GROUP BY GROUPING SETS ((model), (model, entity))")
+def metrics_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.metrics_by_sets(base_predictions(spark, sf_dir, (HOLDOUT,)), "model", "entity"))
+
+
+STABILITY = f"""{base_sql(FOLDS)}, fm AS (SELECT model, fold, {metric_sql('')} FROM pr GROUP BY model, fold), st AS (
+  SELECT model, count(*) AS folds, avg(balanced_accuracy) AS b, stddev_pop(balanced_accuracy) AS s, avg(macro_f1) AS f, avg(ordinal_mae) AS e FROM fm GROUP BY model
+)"""
+
+
+def _board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_fold = rounded(evaluate.metrics(base_predictions(spark, sf_dir), ["model", "fold"]))
+    family = F.regexp_replace("model", "[0-9]", "")
+    return evaluate.stability(by_fold, ["model"]).withColumn("family", family).withColumnRenamed("model", "model_id")
+
+
+@query(f"""
+WITH {STABILITY}
+SELECT model AS model_id, folds, {R('b', 'mean_balanced_accuracy')}, {R('s', 'std_balanced_accuracy')}, {R('b - 0.5 * s', 'stability_score')}, {R('f', 'mean_macro_f1')}, {R('e', 'mean_ordinal_mae')},
+  regexp_replace(model, '[0-9]', '', 'g') AS family,
+  CAST(row_number() OVER (ORDER BY round(b, 8) DESC, round(e, 8), round(f, 8) DESC, CASE WHEN model LIKE 'ewma%' THEN 0 ELSE 3 END, model) AS INT) AS rank,
+  CAST(row_number() OVER (PARTITION BY regexp_replace(model, '[0-9]', '', 'g') ORDER BY round(b, 8) DESC, round(e, 8), round(f, 8) DESC, model) AS INT) AS family_rank
+FROM st
+""")
+def stability_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    board = rounded(_board(spark, sf_dir), 8)  # equal means stay equal, whatever the order of their sums
+    return rounded(search.leaderboard(board))
+
+
+@query(f"""
+WITH {STABILITY}, b2 AS (SELECT CAST(substr(model, 5) AS INT) AS span, round(b - 0.5 * s, 8) AS score FROM st WHERE model LIKE 'ewma%')
+SELECT span AS depth, {R('score', 'stability_score')} FROM b2 WHERE score >= (SELECT max(score) FROM b2) - 0.003 ORDER BY span LIMIT 1
+""")
+def simple_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the averages within the margin of the best, the one with the shortest span."""
+    board = rounded(_board(spark, sf_dir), 8).filter("family = 'ewma'").withColumn("depth", F.substring("model_id", 5, 9).cast("int"))
+    none = {c: F.lit(0.0) for c in ("scale", "reg_lambda", "min_child", "rounds")}
+    return rounded(search.simplest(board.withColumns(none), model="model_id").select("depth", "stability_score"))
+
+
+@query(f"""
+WITH {base_sql((HOLDOUT,))}, w AS (
+  SELECT a.true_class, a.predicted_class AS p, b.predicted_class AS q FROM pr a JOIN pr b USING (entity, fold, day) WHERE a.model = 'ewma4' AND b.model = 'prior'
+)
+SELECT count(*) AS n, count(*) FILTER (WHERE p = q) AS n_agree, {R('avg(CAST(p = q AS INT))', 'agreement_rate')}, {R('avg(CAST(p = true_class AS INT)) FILTER (WHERE p = q)', 'accuracy_agree')},
+  {R('avg(CAST(p = true_class AS INT)) FILTER (WHERE p <> q)', 'first_accuracy_disagree')}, {R('avg(CAST(q = true_class AS INT)) FILTER (WHERE p <> q)', 'second_accuracy_disagree')} FROM w
+""")
+def model_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = evaluate.side_by_side(base_predictions(spark, sf_dir, (HOLDOUT,)), ["entity", "fold", "day"], "model", "ewma4", "prior")
+    return rounded(evaluate.agreement(wide))
+
+
+@query(f"""
+WITH {base_sql((HOLDOUT,))}
+SELECT model, entity, day, true_class, {R('score', 'score')}, predicted_class FROM pr
+""")
+def holdout_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(base_predictions(spark, sf_dir, (HOLDOUT,)).select("model", *KEYS, "true_class", "score", "predicted_class"))
+
+
+@query(f"""
+WITH {fold_sql(FOLDS)}, n AS (SELECT fold, count(*) AS fold_rows FROM cl WHERE split = 'test' GROUP BY fold), s AS (SELECT unnest([2, 3, 4, 5, 6, 8]) AS span),
+g AS (
+  SELECT 'ewma' AS family, span, NULL AS feature_set, NULL AS variant, NULL AS scale FROM s
+  UNION ALL SELECT CASE WHEN v LIKE 'a%' THEN 'ridge' ELSE 'boosted' END, span, f, v, c FROM s, (SELECT unnest(['compact', 'full']) AS f), (SELECT unnest(['a1', 'a10', 'a30', 'a100', 'shallow', 'moderate']) AS v), (SELECT unnest([0.25, 0.5, 1.0]) AS c)
+)
+SELECT family, CAST(span AS INT) AS span, CAST(fold AS INT) AS fold, count(*) AS candidates, CAST(sum(fold_rows) AS BIGINT) AS scored_rows FROM g CROSS JOIN n GROUP BY ALL
+""")
+def candidate_fold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each part of the grid of 222 candidates scores in each fold."""
+    n = classed(spark, sf_dir).filter("split = 'test'").groupBy("fold").agg(F.count(F.lit(1)).alias("fold_rows"))
+    # at most 222 candidates by as many folds as are asked for
+    work = search.candidate_grid(spark, SPANS).withColumn("fold", F.explode(F.array(*[F.lit(f) for f in FOLDS]))).join(n, "fold")
+    return work.groupBy("family", "span", "fold").agg(F.count(F.lit(1)).alias("candidates"), F.sum("fold_rows").alias("scored_rows"))
+
+
+# --- ridge ------------------------------------------------------------------------------------------------------------------------------
+
+TWO = ["prior_minus_ewma4", "price_mean5"]
+ALPHA = 10.0
+
+
+def residuals(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("residual", F.col("score") - F.col("ewma4"))
+
+
+def two_feature_sql() -> str:
+    """Standardised ridge on two features in closed form, from population moments: (C + alpha/n I) w = c."""
+    return f"""{fold_sql(FOLDS)}, rs AS (SELECT *, score - ewma4 AS residual, prior - ewma4 AS x1, price_mean5 AS x2 FROM cl), mo AS (
+  SELECT entity, fold, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(residual) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2,
+    corr(x1, x2) AS r12, covar_pop(x1, residual) / stddev_pop(x1) AS c1, covar_pop(x2, residual) / stddev_pop(x2) AS c2
+  FROM rs WHERE split = 'train' GROUP BY ALL
+), ri AS (
+  SELECT *, ((1 + {ALPHA} / n) * c1 - r12 * c2) / ((1 + {ALPHA} / n) * (1 + {ALPHA} / n) - r12 * r12) AS w1, ((1 + {ALPHA} / n) * c2 - r12 * c1) / ((1 + {ALPHA} / n) * (1 + {ALPHA} / n) - r12 * r12) AS w2 FROM mo
+)"""
+
+
+@query(f"""
+WITH {two_feature_sql()}
+SELECT rs.entity, day, CAST(fold AS INT) AS fold, {R('ewma4 + 0.5 * (my + w1 * (x1 - m1) / s1 + w2 * (x2 - m2) / s2)', 'score', 3)} FROM rs JOIN ri USING (entity, fold) WHERE split = 'test'
+""")
+def ridge_residual_2f(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = residuals(classed(spark, sf_dir))
+    fits = models.fit_ridge(rows.filter("split = 'train'"), MODEL_KEYS, TWO, "residual", [ALPHA])
+    found = models.score_ridge(rows.filter("split = 'test'").drop("score"), fits, MODEL_KEYS, TWO, "ewma4", [0.5])
+    return rounded(found.select("entity", "day", "fold", "score"), 3)
+
+
+def _coefficients(spark: SparkSession, sf_dir: str, features: list[str]) -> DataFrame:
+    rows = residuals(classed(spark, sf_dir))
+    fits = models.fit_ridge(rows.filter("split = 'train'"), MODEL_KEYS, features, "residual", [ALPHA])
+    return models.ridge_coefficients(fits, MODEL_KEYS, features, 0.5)
+
+
+@query(f"""
+WITH {two_feature_sql()}
+SELECT entity, CAST(fold AS INT) AS fold, {ALPHA} AS alpha, 'prior_minus_ewma4' AS feature, {R('0.5 * w1', 'coefficient', 3)} FROM ri
+UNION ALL SELECT entity, CAST(fold AS INT), {ALPHA}, 'price_mean5', round(0.5 * w2, 3) + 0.0 FROM ri
+""")
+def ridge_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_coefficients(spark, sf_dir, TWO), 3)
+
+
+@query(f"""
+WITH {two_feature_sql()}, c AS (SELECT 'prior_minus_ewma4' AS feature, 0.5 * w1 AS v FROM ri UNION ALL SELECT 'price_mean5', 0.5 * w2 FROM ri)
+SELECT feature, count(*) AS n, {R('median(v)', 'median', 3)}, {R('avg(v)', 'mean', 3)}, {R('quantile_cont(v, 0.25)', 'q25', 3)}, {R('quantile_cont(v, 0.75)', 'q75', 3)},
+  {R('avg(CAST(v > 0 AS INT))', 'share_positive', 3)}, {R('median(abs(v))', 'median_abs', 3)} FROM c GROUP BY feature
+""")
+def coef_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.coefficient_summary(_coefficients(spark, sf_dir, TWO)), 3)
+
+
+@query()
+def ridge_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge on all features, every alpha and scale at once: metrics by candidate and fold."""
+    rows = residuals(classed(spark, sf_dir))
+    fits = models.fit_ridge(rows.filter("split = 'train'"), MODEL_KEYS, FEATURES, "residual", [1.0, 10.0, 30.0, 100.0])
+    found = models.score_ridge(rows.filter("split = 'test'").drop("score"), fits, MODEL_KEYS, FEATURES, "ewma4", [0.25, 0.5, 1.0])
+    scored = found.withColumn("predicted_class", tertile(F.col("score"), F.col("q33"), F.col("q67")))
+    return rounded(evaluate.metrics(scored, ["alpha", "scale", "fold"]))
+
+
+# --- boosting ---------------------------------------------------------------------------------------------------------------------------
+
+STUMP = {"rounds": 1, "depth": 1, "rate": 0.1, "min_child": 5.0, "reg_lambda": 10.0, "bins": 2}
+
+
+@query(f"""
+WITH {fold_sql(FOLDS)}, rs AS (SELECT entity, fold, day, split, score - ewma4 AS residual, prior FROM cl), mu AS (
+  SELECT entity, fold, avg(residual) AS m, quantile_disc(prior, 0.5) AS edge FROM rs WHERE split = 'train' GROUP BY ALL
+), nd AS (SELECT rs.*, m, CASE WHEN prior > edge THEN 1 ELSE 0 END AS hi FROM rs JOIN mu USING (entity, fold)), sm AS (
+  SELECT entity, fold, count(*) AS h, count(*) FILTER (WHERE hi = 0) AS hl, count(*) FILTER (WHERE hi = 1) AS hr, coalesce(sum(m - residual) FILTER (WHERE hi = 0), 0) AS gl, coalesce(sum(m - residual) FILTER (WHERE hi = 1), 0) AS gr, sum(m - residual) AS g
+  FROM nd WHERE split = 'train' GROUP BY ALL
+), sp AS (SELECT *, hl >= 5 AND hr >= 5 AND 0.5 * (gl * gl / (hl + 10) + gr * gr / (hr + 10) - g * g / (h + 10)) > 0 AS cuts FROM sm)
+SELECT entity, day, CAST(fold AS INT) AS fold, {R('m + 0.1 * CASE WHEN NOT cuts THEN -g / (h + 10) WHEN hi = 0 THEN -gl / (hl + 10) ELSE -gr / (hr + 10) END', 'correction', 3)}
+FROM nd JOIN sp USING (entity, fold) WHERE split = 'test'
+""")
+def boosted_stump_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of depth one on one feature with two bins, split at its lower median."""
+    rows = residuals(classed(spark, sf_dir)).select(*KEYS, "fold", "split", "residual", "prior")
+    return rounded(models.boost(rows, MODEL_KEYS, ["prior"], "residual", **STUMP).filter("split = 'test'").select("entity", "day", "fold", "correction"), 3)
+
+
+@query()
+def boosted_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of depth two for all entities and folds at once: metrics by fold."""
+    rows = residuals(classed(spark, sf_dir)).select(*KEYS, "fold", "split", "residual", "ewma4", "true_class", "q33", "q67", *FEATURES)
+    found = models.boost(rows, MODEL_KEYS, FEATURES, "residual", rounds=3, depth=2, rate=0.3, bins=16)
+    scored = found.filter("split = 'test'").withColumn("predicted_class", tertile(F.col("ewma4") + F.col("correction"), F.col("q33"), F.col("q67")))
+    return rounded(evaluate.metrics(scored, ["fold"]))
+
+
+@query()
+def staged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled ridge penalties in three stages, fewer candidates over more folds each time; the simplest near the best wins."""
+    rows = models._shared(residuals(classed(spark, sf_dir)).select(*KEYS, "fold", "split", "residual", "ewma4", "true_class", "q33", "q67", *FEATURES), "search")
+    candidates = search.sampled_candidates(spark, 12)
+
+    def evaluated(left: DataFrame, years) -> DataFrame:
+        part = rows.filter(F.col("fold").isin(*years))
+        return _board_of(left, part)
+
+    return rounded(search.staged_search(candidates, evaluated, [((FOLDS[0],), 6), (FOLDS[:2], 3), (FOLDS, 1)]).select("candidate", "depth", "scale", "reg_lambda", "stability_score"))
+
+
+def _board_of(left: DataFrame, part: DataFrame) -> DataFrame:
+    chosen = [(r["candidate"], r["reg_lambda"], r["scale"]) for r in left.select("candidate", "reg_lambda", "scale").collect()]  # a board of candidates
+    fits = models.fit_ridge(part.filter("split = 'train'"), MODEL_KEYS, FEATURES, "residual", [a for _, a, _ in chosen])
+    scored = models.score_ridge(part.filter("split = 'test'"), fits, MODEL_KEYS, FEATURES, "ewma4", [1.0])
+    of = F.inline(F.array(*[F.struct(F.lit(c).alias("candidate"), F.lit(float(a)).alias("a"), F.lit(float(s)).alias("s")) for c, a, s in chosen]))
+    each = scored.select("*", of).filter(F.abs(F.col("a") - F.col("alpha")) < 1e-12)
+    score: Column = F.col("ewma4") + F.col("s") * (F.col("score") - F.col("ewma4"))
+    classes = each.withColumn("predicted_class", tertile(score, F.col("q33"), F.col("q67")))
+    return evaluate.stability(evaluate.metrics(classes, ["candidate", "fold"]), ["candidate"])
