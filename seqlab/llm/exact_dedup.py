@@ -1,8 +1,11 @@
 """Exact dedup: group by a 128-bit content hash, then by the bytes themselves, and keep one stable id.
 
-Grouping by (hash, text) lets Spark combine copies inside each map task before anything is shuffled, so a text of which there are
-millions of copies crosses the network once per map task. The bytes are compared by that grouping: two texts with one hash stay two
-groups. Rows then look their group up by hash alone; only hashes shared by different texts need the text again.
+1. Each text's hash is counted. Only digests are shuffled, and copies are combined inside each map task first.
+2. Texts whose hash occurs more than once are grouped by (hash, text): that grouping compares their bytes, and again combines copies inside each
+   map task, so a text of which there are millions of copies crosses the network once per map task. Other texts are not shuffled at all; a
+   sieve lets through those that may matter.
+3. Where one hash stands for different texts, and only there, rows look up their group by the text; elsewhere by the hash. A group's row is held
+   SALTS times, so that the rows of one very common text meet it in so many tasks.
 
 Defined results: a null text counts as empty; empty texts are copies of each other; a null id is smaller than any other, and is kept
 only where its whole group has no id; rows that repeat both id and text share one decision (``deduplicate`` returns one of them);
@@ -15,9 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import lower_ascii
+from .common import cut, lower_ascii, sieve
 
-#: Copies of a group's row on the looked-up side, so that the rows of one very common text meet it in so many tasks.
 SALTS = 32
 
 
@@ -31,43 +33,57 @@ def content_hash(norm: Column) -> Column:
     return F.unhex(F.md5(norm.cast("binary")))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", hash_fn=content_hash) -> DataFrame:
-    """One row per different text: _hash, _norm, keep_id, group_size."""
+def _digests(docs: DataFrame, id_col: str, text_col: str, hash_fn) -> DataFrame:
+    norm = normalised(F.col(text_col))
+    return cut(docs.select(F.col(id_col).alias("_id"), hash_fn(norm).alias("_hash"), F.sha2(norm.cast("binary"), 256).alias("_sha")), "digests")
+
+
+def _lookup(docs: DataFrame, id_col: str, text_col: str, keep: str, hash_fn, digests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(by hash: _hash, _texts, group_size, keep_id for each hash that occurs more than once; by text: the same with _norm for hashes of several texts)."""
     best = {"smallest": F.min, "largest": F.max}[keep]
+    many = cut(digests.groupBy("_hash").agg(F.count(F.lit(1)).alias("group_size"), best("_id").alias("keep_id")).filter("group_size > 1"), "many")
     norm = normalised(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("_id"), norm.alias("_norm"), hash_fn(norm).alias("_hash"))
-    return rows.groupBy("_hash", "_norm").agg(best("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    texts = rows.filter(sieve(F.col("_hash"), many, F.col("_hash"))).groupBy("_hash", "_norm").agg(best("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    several = Window.partitionBy("_hash")  # as many rows as there are different texts of one hash
+    by_text = cut(texts.withColumn("_texts", F.count(F.lit(1)).over(several)).filter("_texts > 1"), "clashing")
+    clashing = by_text.select("_hash").distinct().withColumn("_clash", F.lit(True))
+    by_hash = many.join(clashing, "_hash", "left").select("_hash", F.coalesce("_clash", F.lit(False)).alias("_clash"), "group_size", "keep_id")
+    return by_hash, by_text
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", hash_fn=content_hash) -> DataFrame:
     """One row per row of docs: the id, keep_id, group_size, kept, text_sha256, content_hash."""
-    found = groups(docs, id_col, text_col, keep, hash_fn)
-    by_hash = found.groupBy("_hash").agg(F.count(F.lit(1)).alias("_texts"), F.max("group_size").alias("group_size"), F.max("keep_id").alias("keep_id"))
-    many = by_hash.filter((F.col("_texts") > 1) | (F.col("group_size") > 1))
-    salted = many.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    norm = normalised(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("_id"), norm.alias("_norm"), hash_fn(norm).alias("_hash"), F.sha2(norm.cast("binary"), 256).alias("text_sha256"))
-    slim = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).drop("_norm").join(salted, ["_hash", "_salt"], "left")
-    plain = slim.filter(F.coalesce(F.col("_texts"), F.lit(1)) == 1).select(
-        "_id", F.when(F.col("_texts").isNull(), F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "text_sha256", "_hash"
-    )
-    clashing = by_hash.filter(F.col("_texts") > 1).select("_hash")
-    exact = (
-        rows.join(clashing, "_hash", "left_semi")
-        .join(found.join(clashing, "_hash", "left_semi"), ["_hash", "_norm"], "left")
-        .select("_id", "keep_id", "group_size", "text_sha256", "_hash")
-    )
-    both = plain.unionByName(exact)
-    return both.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.lower(F.hex("_hash")).alias("content_hash"))
+    digests = _digests(docs, id_col, text_col, hash_fn)
+    by_hash, by_text = _lookup(docs, id_col, text_col, keep, hash_fn, digests)
+    salted = by_hash.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
+    named = digests.withColumn("_salt", salt).join(salted, ["_hash", "_salt"], "left")
+    alone = F.col("group_size").isNull()
+    found = named.filter(~F.coalesce("_clash", F.lit(False))).select("_id", F.when(alone, F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "_sha", "_hash")
+    if not by_text.isEmpty():
+        norm = normalised(F.col(text_col))
+        rows = docs.select(F.col(id_col).alias("_id"), norm.alias("_norm"), hash_fn(norm).alias("_hash"), F.sha2(norm.cast("binary"), 256).alias("_sha"))
+        clashed = rows.filter(sieve(F.col("_hash"), by_text, F.col("_hash"))).join(by_text, ["_hash", "_norm"])
+        found = found.unionByName(clashed.select("_id", "keep_id", "group_size", "_sha", "_hash"))
+    return found.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_sha").alias("text_sha256"), F.lower(F.hex("_hash")).alias("content_hash"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", hash_fn=content_hash) -> DataFrame:
-    """The rows of docs that stay, one per different text, with the columns of docs."""
-    kept = groups(docs, id_col, text_col, keep, hash_fn).select(F.col("keep_id").alias("_keep"), F.sha2(F.col("_norm").cast("binary"), 256).alias("_sha"))
-    cols = [F.col(f"`{c}`") for c in docs.columns]
+    """The rows of docs that stay, one per different text, with the columns of docs. Only texts that may have a copy are shuffled."""
+    digests = _digests(docs, id_col, text_col, hash_fn)
+    by_hash, by_text = _lookup(docs, id_col, text_col, keep, hash_fn, digests)
     norm = normalised(F.col(text_col))
-    rows = docs.select(F.struct(*cols).alias("_row"), F.col(id_col).alias("_keep"), F.sha2(norm.cast("binary"), 256).alias("_sha"))
-    near = F.struct(F.coalesce(F.col("_keep").cast("string"), F.lit("")).alias("i"), F.col("_keep").isNull().alias("n"), F.col("_sha").alias("s"))
-    first = Window.partitionBy("_key").orderBy("_key")
-    stay = rows.withColumn("_key", near).join(kept.select(near.alias("_key")), "_key", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    return stay.select("_row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), norm.alias("_norm"), hash_fn(norm).alias("_hash"))
+    copied = sieve(F.col("_hash"), by_hash, F.col("_hash"))
+    one = Window.partitionBy("_hash", "_who", "_norm").orderBy("_hash")
+    key = [F.col("_hash"), F.struct(F.col("_id").isNull().alias("none"), F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("id")).alias("_who")]
+    keeper = [F.col("_hash"), F.struct(F.col("keep_id").isNull().alias("none"), F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("id")).alias("_who")]
+    maybe = rows.filter(copied).select("*", key[1])
+    plain = maybe.join(by_hash.filter("not _clash").select(*keeper), ["_hash", "_who"], "left_semi")
+    alone = maybe.join(by_hash.select("_hash"), "_hash", "left_anti")
+    kept = plain
+    if not by_text.isEmpty():
+        kept = kept.unionByName(maybe.join(by_text.select(*keeper, "_norm"), ["_hash", "_who", "_norm"], "left_semi"))
+    kept = kept.withColumn("_n", F.row_number().over(one)).filter("_n = 1")
+    return rows.filter(~copied).select("_row.*").unionByName(alone.select("_row.*")).unionByName(kept.select("_row.*"))
