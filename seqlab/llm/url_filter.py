@@ -102,10 +102,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     share = lambda v: (F.sum(F.when(F.col("hit.verdict") == v, F.col("n")).otherwise(0)) / F.sum("n")).alias
     seeds = cut(ruled.groupBy("host").agg(share("allow")("trusted"), share("block")("blocked")), "seeds")
     edges = cut(host_edges(pages, hosts, url_col, html_col), "edges")
-    scores = propagate(edges, seeds)
-    count = scores.agg(F.count(F.lit(1)).alias("hosts"))  # one row
-    known = seeds.select("host").join(by_host, "host", "left").join(scores, "host", "left").join(F.broadcast(count), how="left")
-    even = F.lit(1.0) / F.greatest(F.col("hosts"), F.lit(1))
+    scores = cut(propagate(edges, seeds), "scores")
+    even = F.lit(1.0) / F.greatest(scores.agg(F.count(F.lit(1))).scalar(), F.lit(1))
+    known = seeds.select("host").join(by_host, "host", "left").join(scores, "host", "left")
     known = known.select("host", "rules", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), (F.col("distrust") > FLOOR * even).alias("enough"))
     salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
