@@ -1,0 +1,137 @@
+"""Exact dedup and the Jaccard join against plain Python."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from seqlab.llm import exact_dedup, jaccard_join
+from seqlab.llm.common import sieve
+from seqlab.llm.components import components
+from seqlab.llm.shingles import shingle_sets
+
+
+def lower(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+
+
+def edge_rows():
+    long = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
+    texts = ["", None, " \n", "One", "one", "ONE", "É", "é", "a b c d e f g", "A b c d e f g", long, long.upper(), long + " end", "x y", "x  y", "x\ty"]
+    return [(i, t) for i, t in enumerate(texts)] + [(None, "one"), (3, "One"), (None, None), (None, "alone")]
+
+
+def docs_of(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df.select("*", *[F.lit(1).alias(c) for c in ("keep_id", "_id", "_hash", "n", "component_id")])
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+@pytest.mark.parametrize("hash_fn", [exact_dedup.content_hash, lambda n: F.substring(F.md5(n.cast("binary")), 1, 1).cast("binary")])
+def test_exact_groups_even_where_hashes_collide(spark, keep, hash_fn):
+    rows = edge_rows()
+    by = defaultdict(list)
+    for i, t in rows:
+        by[lower(t)].append(i)
+    best = (min if keep == "smallest" else max)
+    want, stay = Counter(), Counter()
+    for t, ids in by.items():
+        k = best([i for i in ids if i is not None], default=None)
+        stay[(k, t)] += 1
+        for i in ids:
+            want[(i, k, len(ids), i == k)] += 1
+    got = exact_dedup.exact_groups(docs_of(spark, rows), keep=keep, hash_fn=hash_fn)
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got.collect()) == want
+    kept = exact_dedup.deduplicate(docs_of(spark, rows), keep=keep, hash_fn=hash_fn)
+    assert kept.columns == docs_of(spark, rows).columns
+    assert Counter((r["doc_id"], lower(r["text"])) for r in kept.collect()) == stay
+
+
+def test_nothing_in_nothing_out(spark):
+    none = docs_of(spark, [])
+    assert exact_dedup.exact_groups(none).count() == exact_dedup.deduplicate(none).count() == 0
+    assert jaccard_join.jaccard_classes(none).count() == jaccard_join.keep_one_each(none).count() == 0
+
+
+def test_sieve_lets_all_keys_through(spark):
+    df = spark.range(5000)
+    keys = df.filter("id % 50 = 0")
+    got = {r["id"] for r in df.filter(sieve(F.col("id"), keys, F.col("id"))).collect()}
+    assert set(range(0, 5000, 50)) <= got and len(got) < 200
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)] + [(7, 7), (201, 200), (202, 201), (None, 5)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100), **dict.fromkeys((200, 201, 202), 200)}
+
+
+def brute(rows, k, percent):
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets.append(frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if w else frozenset())
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = Counter()
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                parent[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return {d: (len(sets[i]), least[find(i)], links[i]) for i, (d, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("k,percent,tokens", [(4, 85, 300_000), (5, 80, 400), (1, 100, 300_000)])
+def test_join_like_brute_force(spark, monkeypatch, k, percent, tokens):
+    monkeypatch.setattr(jaccard_join, "GROUP_TOKENS", tokens)  # a small one deals groups into many
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(400)]
+    passage = " ".join(rng.choices(vocabulary, k=40))
+    rows = []
+    for family in range(12):
+        base = rng.choices(vocabulary, k=rng.choice([3, 8, 60, 200]))
+        for _ in range(rng.choice([1, 2, 15])):
+            copy = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 6])):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            rows.append((len(rows) * 3 + 1, " ".join(copy) + (" " + passage if rng.random() < 0.4 else "")))
+    rows += [(10_000, None), (10_001, ""), (10_002, "a"), (10_003, "A"), (10_004, "a a a a a a a a"), (10_005, " ".join(f"z{i}" for i in range(25_000)))]
+    want = brute(rows, k, percent)
+    got = jaccard_join.jaccard_classes(docs_of(spark, rows).repartition(5), k, percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in got} == want and len(got) == len(rows)
+    kept = {r["doc_id"] for r in jaccard_join.keep_one_each(docs_of(spark, rows), k, percent).collect()}
+    assert kept == {d for d, (_, c, _) in want.items() if c == d}
+
+
+def test_rows_without_or_with_the_same_id(spark):
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (None, "q r s t u"), (2, "A B c d e")]
+    got = jaccard_join.jaccard_classes(docs_of(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter([(1, 1), (1, 1), (None, 1), (None, None), (2, 1)])
+
+
+def test_shingles_and_bitmaps():
+    import pyarrow as pa
+
+    texts = pa.array(["a b c", None, "", "A  b\tc", "a b c a b c", "c", " "])
+    got = [s.tolist() for s in shingle_sets(texts, 3)]
+    assert got[0] == got[3] and [len(g) for g in got] == [1, 0, 0, 1, 3, 1, 0] and got[0][0] in got[4]
+    rng = np.random.default_rng(0)
+    a = np.unique(rng.integers(0, 2**63, 700).astype(np.uint64))
+    b = np.union1d(a[:650], rng.integers(0, 2**63, 60).astype(np.uint64))
+    x, y = jaccard_join.bitmap(a), jaccard_join.bitmap(b)
+    assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+    assert (jaccard_join.halved(x) == np.packbits(np.bincount((a & np.uint64(len(x) * 32 - 1)).astype(int), minlength=len(x) * 32).astype(np.uint8) & 1, bitorder="little").view(np.uint64)).all()
