@@ -35,7 +35,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled by their rates, so that the domains' expected tokens have the target weights."""
-    return mixing.mix(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), MIX_WEIGHTS)
+    return mixing.mix(docs, labelled_domains(table(spark, sf_dir, "labels")), MIX_WEIGHTS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,11 +51,14 @@ def domain_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 0, "low").when(quality == 1, "good")
 
 
-def fit_domains(labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> tuple[DataFrame, list[float]]:
-    """(one row with an array of BUCKETS log-odds against the first domain for each other domain, log priors). labelled: id, text, domain."""
-    known = labelled.filter(F.col(domain_col).isin(domains) & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = known.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("rank")).orderBy("rank", "id").limit(FIT_DOCS).select("id").distinct()
-    texts = known.select(F.col(id_col).alias("id"), F.col(domain_col).alias("domain"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id", "left_semi")  # FIT_DOCS ids
+def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> tuple[DataFrame, list[float]]:
+    """(one row with an array of BUCKETS log-odds against the first domain for each other domain, log priors). labels: id, domain.
+
+    Ids are chosen from the labels alone, so that only the sample's texts are read on.
+    """
+    known = labels.filter(F.col(domain_col).isin(domains) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(domain_col).alias("domain"), F.xxhash64(F.col(id_col).cast("string")).alias("rank"))
+    ids = known.orderBy("rank", "id", "domain").limit(FIT_DOCS).select("id", "domain")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(ids), "id")  # FIT_DOCS ids at most
     seen = texts.select("domain", buckets_of(words_of(F.col("text"))).alias("buckets"))
     seen = cut(seen, "sample")
     held = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -68,7 +71,7 @@ def fit_domains(labelled: DataFrame, domains: list[str], id_col: str = "doc_id",
     smooth = max(5.0, SMOOTH * total)
     share = lambda k: F.log((n[k] + smooth * (common + 0.5) / (total + 1.0)) / (held.get(domains[k], 0) + smooth))
     told = lambda k: F.when((common >= max(4.0, SEEN * total)) & (F.abs(share(k) - share(0)) >= WEAK), share(k) - share(0)).otherwise(0.0)
-    every = labelled.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
     # a row for each bucket, whatever the corpus
     odds = every.select("bucket", *[told(k).alias(f"w{k}") for k in range(1, len(domains))])
     packed = [F.transform(F.array_sort(F.collect_list(F.struct("bucket", F.col(f"w{k}").alias("w")))), lambda x: x["w"]).alias(f"w{k}") for k in range(1, len(domains))]
@@ -142,16 +145,16 @@ def chosen(id_: Column, rate: Column, seed: int = SEED) -> Column:
     return F.coalesce(F.pmod(F.xxhash64(id_.cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) < rate, F.lit(True)) | id_.isNull()
 
 
-def rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], top: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id, tokens, p, rate of every row. labelled: id, text, domain; weights: target share of each domain."""
+def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], top: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id, tokens, p, rate of every row. labels: id, domain; weights: target share of each domain."""
     domains = list(weights)
-    found = cut(memberships(docs, fit_domains(labelled, domains, id_col, text_col), id_col, text_col), "members")
+    found = cut(memberships(docs, fit_domains(docs, labels, domains, id_col, text_col), id_col, text_col), "members")
     return fit_rates(found, [weights[d] for d in domains], top)
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, so that the domains' tokens have the target weights. Few texts are shuffled: those whose id may be one to go."""
-    found = rates(docs, labelled, weights, 1.0, id_col, text_col)
+    found = rates(docs, labels, weights, 1.0, id_col, text_col)
     gone = cut(found.groupBy(F.col(id_col)).agg(F.min("rate").alias("rate")).filter(~chosen(F.col(id_col), F.col("rate"))).select(id_col), "gone")
     maybe = sieve(F.col(id_col), gone, F.col(id_col))
     columns = [F.col(f"`{c}`") for c in docs.columns]

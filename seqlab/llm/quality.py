@@ -96,11 +96,13 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -
     return w.astype(np.float32), -zb / ((BETA + nb**0.5) / ALPHA)
 
 
-def fit(labelled: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
-    """labelled: id, text, label. Its bounded sample becomes features in parallel and a model in one task."""
-    known = labelled.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = known.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("rank")).orderBy("rank", "id").limit(FIT_DOCS).distinct()
-    rows = known.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("text")).join(ids, "id").select("rank", "id", "y", "text")
+def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
+    """docs: id, text; labels: id, label. Ids are chosen from the labels alone, so that only the sample's texts are read on; they become features
+    in parallel and a model in one task."""
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(id_col).cast("string")).alias("rank"))
+    ids = known.orderBy("rank", "id", "y").limit(FIT_DOCS)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+    rows = texts.join(F.broadcast(ids), "id").select("rank", "id", "y", "text")  # FIT_DOCS ids at most
 
     def vectors(batches):
         import pyarrow as pa
@@ -119,7 +121,7 @@ def fit(labelled: DataFrame, label_col: str, id_col: str = "doc_id", text_col: s
         yield pa.RecordBatch.from_pydict({"w": [w.tobytes()], "bias": [float(bias)]})
 
     # FIT_DOCS rows at most
-    sample = rows.mapInArrow(vectors, "rank long, y int, u array<int>, v array<double>").coalesce(1)
+    sample = rows.mapInArrow(vectors, "rank long, y int, u array<int>, v array<double>").repartition(1)
     got = sample.mapInArrow(train, "w binary, bias double").collect()
     return (np.frombuffer(bytes(got[0]["w"]), np.float32), got[0]["bias"]) if got else (np.zeros(1 << BITS, np.float32), 0.0)
 

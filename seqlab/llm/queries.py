@@ -71,7 +71,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", "quality")
-    model = quality.fit(docs.select("doc_id", "text").join(labels, "doc_id"), "quality")
+    model = quality.fit(docs, labels, "quality")
     found = quality.score(docs, model, keep=["doc_id"])
     score = F.col("quality_score")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), F.when(score >= 0.7, 1).otherwise(0).alias("predicted"))
@@ -136,15 +136,14 @@ WHERE a.digest <> b.digest OR a.at <> b.at
 MIX_WEIGHTS = {"good": 0.97, "low": 0.02, "toxic": 0.01}
 
 
-def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """id, text, domain of the documents that the labels name."""
-    named = labels.select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain")).filter("domain is not null")
-    return docs.select("doc_id", "text").join(named, "doc_id")
+def labelled_domains(labels: DataFrame) -> DataFrame:
+    """id, domain of the labelled documents."""
+    return labels.select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain")).filter("domain is not null")
 
 
 @query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = mixing.rates(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), MIX_WEIGHTS)
+    found = mixing.rates(docs, labelled_domains(table(spark, sf_dir, "labels")), MIX_WEIGHTS)
     p = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(MIX_WEIGHTS)]
     return found.select("doc_id", "tokens", *p, "rate", mixing.chosen(F.col("doc_id"), F.col("rate")).alias("kept"))
