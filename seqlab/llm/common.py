@@ -68,3 +68,31 @@ def sieve(key: Column, keys: DataFrame, key_of_keys: Column) -> Column:
     word = F.get(bits.scalar(), F.floor(p / 64).cast("int"))
     # a shift by a column's number of places: F.shiftright takes constants only
     return F.call_function("shiftright", word, (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+#: Keys with so many rows or more are dealt to SALTS tasks each.
+HOT_ROWS, SALTS = 10_000, 32
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, spread: str) -> DataFrame:
+    """Left join to a table with one row per key, where some keys have very many rows on the left.
+
+    weight: the column of right with the number of a key's rows; spread: a column of left that differs among them. Rows of hot keys get a salt, and
+    the hot keys' rows of right are held once for each salt. Which keys are hot is a sieve's answer on both sides, so both always agree.
+    """
+    key = F.xxhash64(*keys)
+    hot = sieve(key, right.filter(F.col(weight) >= HOT_ROWS), key)
+    dealt = left.withColumn("_hot", hot).withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    held = right.withColumn("_hot", hot).withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return dealt.join(held, [*keys, "_salt"], "left").drop("_salt")
+
+
+#: Rows of one Arrow batch at most, as a text may be long.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold Spark's Arrow batches to BATCH_ROWS rows in this session; its default of 10,000 is made for short rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))

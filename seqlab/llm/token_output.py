@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shuffle_partitions
+from .common import shuffle_partitions, small_batches
 from .tokenise import encode_rows
 
 SAMPLE_DOCS = 2_000
@@ -60,13 +60,14 @@ def fit_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text_col: str,
         samples = [x for b in encode_rows(batches, tokenizer, [], "_text", end_id, pa.binary()) for x in b.column("ids").to_pylist()]
         yield pa.RecordBatch.from_pydict({"dictionary": [train_dictionary([s[:SAMPLE_BYTES] for s in samples])]})
 
-    found = picked.coalesce(1).mapInArrow(fit, "dictionary binary").collect()
+    found = picked.repartition(1).mapInArrow(fit, "dictionary binary").collect()
     return bytes(found[0][0]) if found else b""
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, partitions: int | None = None) -> None:
     """Encode every whole text and write the folder. Rows are dealt by ranges of the id; a task writes its range in order."""
     spark = docs.sparkSession
+    small_batches(spark)
     raw = fit_dictionary(docs, tokenizer, id_col, text_col, end_id)
     digest = hashlib.sha256(raw).hexdigest()
     spark.createDataFrame([(bytearray(raw), digest)], "dictionary binary, dict_hash string").coalesce(1).write.parquet(f"{path}/dictionary")

@@ -12,9 +12,13 @@ from __future__ import annotations
 import os
 
 #: Words that one generation of the memo holds at most.
-MEMO = 450_000
+MEMO = 220_000
 #: Characters of text that are cut into words at once.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
+#: Signs of ASCII that the library's pattern keeps apart from letters before them; an apostrophe may begin a contraction.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters below are letters to every version of Unicode, so to the library too.
+_LATIN_END = "\u0250"
 #: Longer words are encoded but not remembered.
 LONG = 64
 
@@ -35,6 +39,7 @@ class WordEncoder:
         self.n_bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)  # one character of the vocabulary's alphabet stands for one byte
+        self.tails: dict[str, bytes] = {}
         self.new: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
 
@@ -43,21 +48,21 @@ class WordEncoder:
 
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
-    def _fresh(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each word with a space before it."""
+    def _fresh(self, words: list[str], before: str = " ") -> dict[str, bytes]:
+        """Ids of each word with a space before it; with a line end before it, which is a token of its own, the ids of the word alone."""
         import numpy as np
 
         out: dict[str, bytes] = {}
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.asarray(self.tokenizer.encode_batch_fast([before + before.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.cumsum(self.n_bytes[ids])
             sizes = np.cumsum(np.array([len(w.encode("utf-8", "surrogatepass")) + 1 for w in part]))
             last = np.searchsorted(ends, sizes) + 1
             if len(ids) and (last[-1] != len(ids) or (ends[last - 1] != sizes).any()):
                 raise ValueError("the vocabulary joins words; it is not the byte-level kind")
-            raw, b = ids.tobytes(), (last * 4).tolist()
-            out.update(zip(part, [raw[i:j] for i, j in zip([0, *b], b)]))
+            raw, b, skip = ids.tobytes(), (last * 4).tolist(), 0 if before == " " else 4
+            out.update(zip(part, [raw[i + skip : j] for i, j in zip([0, *b], b)]))
         return out
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
@@ -85,13 +90,30 @@ class WordEncoder:
         odd = [w for w in wanted if not w or w[0].isspace() or w[-1].isspace()]
         wanted.difference_update(odd)
         new.update(dict.fromkeys(odd))
-        new.update(self._fresh(list(wanted)))
+        # signs after letters are tokens of their own: letters that are known need no call
+        split = []
+        for w in wanted:
+            head = w.rstrip(_SIGNS)
+            if head is not w and head.isalpha() and max(head) < _LATIN_END:
+                split.append((w, head, w[len(head) :]))
+        wanted.difference_update([w for w, _, _ in split])
+        tails = self.tails
+        for t in {t for _, _, t in split} - tails.keys():
+            tails[t] = self.whole(t)
+        heads = {h for _, h, _ in split} - new.keys() - wanted
+        more = heads & old.keys()
+        new.update((h, old[h]) for h in more)
+        new.update(self._fresh([*wanted, *(heads - more)]))
+        new.update([(w, new[h] + tails[t]) for w, h, t in split])
+        if len(tails) > 10_000:
+            tails.clear()
+        # a text starts without a space before its first word
+        firsts = self._fresh([w for w in {words[0] for words in cut if len(words) > 1} if new[w] is not None], "\n")
         out = []
         for text, words in zip(texts, cut):
             try:
-                first = words[0]
-                # a text starts without a space before its first word
-                out.append(b"".join([self.whole(first), *map(new.__getitem__, words[1:])]) if len(words) > 1 and new[first] is not None else self.whole(text))
+                first = firsts.get(words[0]) if len(words) > 1 else None
+                out.append(self.whole(text) if first is None else b"".join([first, *map(new.__getitem__, words[1:])]))
             except TypeError:
                 out.append(self.whole(text))
         for w in [w for w in wanted if len(w) > LONG]:
