@@ -41,7 +41,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 2048 tokens."""
     digest = lambda p: p.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack_documents(docs, tokenizer_path(), end_id=0, derive=digest)
+    return packing.pack_documents(docs, tokenizer_path(), end_id=0, derive=digest, lean=True)
 
 
 STAGES = [("language ID", language), ("exact dedup", exact), ("near duplicates", near), ("mixing", mixed), ("packing", packed)]

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, sieve
+from .common import cut, join_hot, shuffle_partitions, sieve, small_batches, tidy
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -35,7 +35,6 @@ SAMPLE = 16
 FREQUENT = 2
 TOP = 500_000
 GROUP_TOKENS = 300_000
-SALTS = 8
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -95,6 +94,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
                 [batch.column("_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(bits, pa.binary())],
                 ["_id", "n", "a", "b", "prefix", "bits"],
             )
+        tidy()
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(sign, f"_id {id_type}, n long, a long, b long, prefix array<long>, bits binary")
 
@@ -190,6 +190,7 @@ def _screened(percent: int):
         close()
         if out:
             yield emit()
+        tidy()
 
     return screen
 
@@ -297,6 +298,7 @@ def _opened(k: int, percent: int):
         close()
         if out:
             yield emit()
+        tidy()
 
     return open_groups
 
@@ -307,6 +309,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     Ids are whole numbers. Two texts link when 100 * (shared shingles) >= percent * (shingles of either).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     signed = cut(signatures(docs, id_col, text_col, k, percent).withColumn("_id", F.col("_id").cast("long")), "signed")
     first = lambda c: F.first(c).alias(c)  # noqa: E731  equal sets have equal ones
     named = signed.filter(F.col("n") > 0).groupBy("n", "a", "b").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), first("prefix"), first("bits"))
@@ -345,11 +348,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         .join(found.withColumnRenamed("node", "rep"), "rep", "left")
         .join(links, "rep", "left")
         .filter("copies > 1 or component is not null or links > 0")
-        .select("n", "a", "b", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        .select("n", "a", "b", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
     )
-    salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
-    out = signed.drop("prefix", "bits").withColumn("_salt", salt).join(label, ["n", "a", "b", "_salt"], "left")
+    out = join_hot(signed.drop("prefix", "bits"), label, ["n", "a", "b"], "copies", "_id")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 

@@ -3,7 +3,7 @@
 For each language a raw-content dictionary is put together from a bounded sample of labelled texts: of the SAMPLE_DOCS with the smallest hash
 of their id, the first SAMPLE_CHARS characters, DICT_BYTES in all. A text is lower-cased and compressed whole, in blocks of BLOCK bytes, each
 by itself, so that a long text is judged by the dictionaries and not by its own history; blocks of SHORT bytes or less at the level that finds
-the shortest matches. The sums of the sizes are compared. The score is the margin, 1 - smallest / next; below ``min_margin`` the text is
+the shortest matches and after LEAD bytes of the dictionary, without which the format stores short blocks as they are. The sums of the sizes are compared. The score is the margin, 1 - smallest / next; below ``min_margin`` the text is
 rejected.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; equal sums go to the language with more labelled rows, then
@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import small_batches, tidy
+
 SAMPLE_DOCS = 800
 SAMPLE_CHARS = 512
 DICT_BYTES = 65_536
 BLOCK = 2_048
 LEVEL = 6
-SHORT, SHORT_LEVEL = 256, 19
+SHORT, SHORT_LEVEL, LEAD = 256, 19, 256
 UNKNOWN = "und"
 
 
@@ -58,20 +60,22 @@ class Classifier:
                 d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=level)
                 pair.append(zstd.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-            self.by_lang.append((lang, *pair))
+            at = len(raw) // 2
+            self.by_lang.append((lang, *pair, raw[at : at + LEAD]))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         if not text or not self.by_lang or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         raw = text.lower().encode("utf-8", "surrogatepass")
         blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-        sizes = sorted((sum(len((short if len(b) <= SHORT else z).compress(b)) for b in blocks), k) for k, (_, z, short) in enumerate(self.by_lang))
+        sizes = sorted((sum(len(short.compress(lead + b) if len(b) <= SHORT else z.compress(b)) for b in blocks), k) for k, (_, z, short, lead) in enumerate(self.by_lang))
         return self.by_lang[sizes[0][1]][0], 1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.0, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns named in keep (all of docs where None), lang_pred, score, rejected. One pass, no shuffle."""
     spark = docs.sparkSession
+    small_batches(spark)
     held = spark.sparkContext.broadcast(dictionaries)  # DICT_BYTES for each language
     keep = docs.columns if keep is None else keep
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(text_col).alias("_text"))
@@ -82,8 +86,11 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
 
         c = Classifier(held.value)
         for batch in batches:
-            found = [c(t) for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], ["_row", "lang", "score"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [c(t) for t in part.column("_text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], ["_row", "lang", "score"])
+        tidy()
 
     found = rows.mapInArrow(judge, f"_row {row_type}, lang string, score double")
     rejected = (F.col("lang") == UNKNOWN) | (F.col("score") < min_margin)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes of text that are hashed at once.
-CHUNK = 2_000_000
+CHUNK = 250_000
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 

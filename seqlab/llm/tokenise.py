@@ -11,10 +11,14 @@ from __future__ import annotations
 
 import os
 
+from .common import tidy
+
 #: Words that one generation of the memo holds at most.
 MEMO = 220_000
 #: Characters of text that are cut into words at once.
 CHUNK = 2_000_000
+#: The same for workers that must leave memory to others; they forget it all after each task.
+LEAN_MEMO, LEAN_CHUNK = 60_000, 500_000
 #: Signs of ASCII that the library's pattern keeps apart from letters before them; an apostrophe may begin a contraction.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters below are letters to every version of Unicode, so to the library too.
@@ -26,7 +30,7 @@ LONG = 64
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit bytes. Special tokens' strings in a text are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int | None = None, chunk: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import numpy as np
         from tokenizers import Tokenizer
@@ -39,6 +43,7 @@ class WordEncoder:
         self.n_bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)  # one character of the vocabulary's alphabet stands for one byte
+        self.memo, self.chunk = memo or MEMO, chunk or CHUNK
         self.tails: dict[str, bytes] = {}
         self.new: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
@@ -72,18 +77,18 @@ class WordEncoder:
         for t in texts:
             part.append(t or "")
             held += len(part[-1])
-            if held >= CHUNK:
+            if held >= self.chunk:
                 out += self._encode(part)
                 part, held = [], 0
         return out + self._encode(part)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
-        if len(self.new) > MEMO:
+        if len(self.new) > self.memo:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        wanted = set().union(*cut) - new.keys()
-        found = wanted & old.keys()
+        wanted = {w for w in set().union(*cut) if w not in new}  # "- new.keys()" would walk through the whole memo
+        found = {w for w in wanted if w in old}
         new.update((w, old[w]) for w in found)
         wanted -= found
         # None: an empty word, or one with white space at an end, stands beside more than a lone space
@@ -98,10 +103,10 @@ class WordEncoder:
                 split.append((w, head, w[len(head) :]))
         wanted.difference_update([w for w, _, _ in split])
         tails = self.tails
-        for t in {t for _, _, t in split} - tails.keys():
+        for t in {t for _, _, t in split if t not in tails}:
             tails[t] = self.whole(t)
-        heads = {h for _, h, _ in split} - new.keys() - wanted
-        more = heads & old.keys()
+        heads = {h for _, h, _ in split if h not in new and h not in wanted}
+        more = {h for h in heads if h in old}
         new.update((h, old[h]) for h in more)
         new.update(self._fresh([*wanted, *(heads - more)]))
         new.update([(w, new[h] + tails[t]) for w, h, t in split])
@@ -116,8 +121,8 @@ class WordEncoder:
                 out.append(self.whole(text) if first is None else b"".join([first, *map(new.__getitem__, words[1:])]))
             except TypeError:
                 out.append(self.whole(text))
-        for w in [w for w in wanted if len(w) > LONG]:
-            del new[w]
+        for w in [w for w in (*wanted, *heads, *(w for w, _, _ in split)) if len(w) > LONG]:
+            new.pop(w, None)
         return out
 
 
@@ -132,13 +137,16 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def encode_rows(batches, path: str, columns: list[str], text_col: str, end_id: int, out_type):
+def encode_rows(batches, path: str, columns: list[str], text_col: str, end_id: int, out_type, lean: bool = False):
     """Arrow batches with the given columns and ``ids``: little-endian unsigned 32-bit ids of the text (null: empty), then end_id."""
     import pyarrow as pa
 
-    enc, end = encoder(path), end_id.to_bytes(4, "little")
+    enc = WordEncoder(path, LEAN_MEMO, LEAN_CHUNK) if lean else encoder(path)
+    end = end_id.to_bytes(4, "little")
     for batch in batches:
         for at in range(0, max(1, batch.num_rows), 1024):
             part = batch.slice(at, 1024)
             ids = [x + end for x in enc.encode_batch(part.column(text_col).to_pylist())]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array(ids, out_type)], [*columns, "ids"])
+    del enc
+    tidy()

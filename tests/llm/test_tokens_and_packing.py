@@ -139,3 +139,9 @@ def test_packing_nothing(spark):
 def test_dictionary_of_little():
     assert token_output.train_dictionary([]) == b"" and len(token_output.train_dictionary([b"x" * 40] * 3)) > 0
     assert pa.array([token_output.train_dictionary([bytes(range(k, k + 100)) for k in range(50)])]).type == pa.binary()
+
+
+def test_long_words_are_not_remembered():
+    e = WordEncoder(tokenizer_path())
+    e.encode_batch(["x " + "q" * 500 + " " + "r" * 300 + "!! short"])
+    assert max(map(len, [*e.new, *e.old])) <= 64 and "short" in e.new
