@@ -4,8 +4,8 @@
 2. Texts whose hash occurs more than once are grouped by (hash, text): that grouping compares their bytes, and again combines copies inside each
    map task, so a text of which there are millions of copies crosses the network once per map task. Other texts are not shuffled at all; a
    sieve lets through those that may matter.
-3. Where one hash stands for different texts, and only there, rows look up their group by the text; elsewhere by the hash. A group's row is held
-   SALTS times, so that the rows of one very common text meet it in so many tasks.
+3. Where one hash stands for different texts, and only there, rows look up their group by the text; elsewhere by the hash. The row of a
+   large group is held once for each of several salts, so that the rows of one very common text meet it in so many tasks.
 
 Defined results: a null text counts as empty; empty texts are copies of each other; a null id is smaller than any other, and is kept
 only where its whole group has no id; rows that repeat both id and text share one decision (``deduplicate`` returns one of them);
@@ -18,10 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, lower_ascii, sieve
-
-SALTS = 32
-
+from .common import cut, join_hot, lower_ascii, sieve
 
 def normalised(text: Column) -> Column:
     """A-Z lower-cased; null as empty."""
@@ -56,9 +53,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: the id, keep_id, group_size, kept, text_sha256, content_hash."""
     digests = _digests(docs, id_col, text_col, hash_fn)
     by_hash, by_text = _lookup(docs, id_col, text_col, keep, hash_fn, digests)
-    salted = by_hash.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
-    named = digests.withColumn("_salt", salt).join(salted, ["_hash", "_salt"], "left")
+    named = join_hot(digests, by_hash, ["_hash"], "group_size", "_id")
     alone = F.col("group_size").isNull()
     found = named.filter(~F.coalesce("_clash", F.lit(False))).select("_id", F.when(alone, F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "_sha", "_hash")
     if not by_text.isEmpty():

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii
+from .common import cut, join_hot, lower_ascii
 
 DAMPING = 0.85
 STEPS = 12
@@ -25,7 +25,6 @@ CUT_EVERY = 4
 DOMAIN_WEIGHT = 1.0
 RATIO = 1.0
 FLOOR = 0.1
-SALTS = 16
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"(?i)href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)"
@@ -100,14 +99,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     by_host = cut(rules_by_host(hosts, rules), "rules")
     ruled = paths.join(by_host, "host", "left").withColumn("hit", fitting(F.col("rules"), F.col("path")))
     share = lambda v: (F.sum(F.when(F.col("hit.verdict") == v, F.col("n")).otherwise(0)) / F.sum("n")).alias
-    seeds = cut(ruled.groupBy("host").agg(share("allow")("trusted"), share("block")("blocked")), "seeds")
+    seeds = cut(ruled.groupBy("host").agg(share("allow")("trusted"), share("block")("blocked"), F.sum("n").alias("pages")), "seeds")
     edges = cut(host_edges(pages, hosts, url_col, html_col), "edges")
     scores = cut(propagate(edges, seeds), "scores")
     even = F.lit(1.0) / F.greatest(scores.agg(F.count(F.lit(1))).scalar(), F.lit(1))
-    known = seeds.select("host").join(by_host, "host", "left").join(scores, "host", "left")
-    known = known.select("host", "rules", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), (F.col("distrust") > FLOOR * even).alias("enough"))
-    salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
-    found = placed.withColumn("_salt", salt).join(salted, ["host", "_salt"], "left").withColumn("hit", fitting(F.col("rules"), F.col("path")))
+    known = seeds.select("host", "pages").join(by_host, "host", "left").join(scores, "host", "left")
+    known = known.select("host", "pages", "rules", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), (F.col("distrust") > FLOOR * even).alias("enough"))
+    found = join_hot(placed, known, ["host"], "pages", "_id").withColumn("hit", fitting(F.col("rules"), F.col("path")))
     own = F.when(F.coalesce(F.col("enough") & (F.col("distrust") > RATIO * F.col("trust")), F.lit(False)), "block").otherwise("allow")
     return found.select(F.col("_id").alias(id_col), "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", own).alias("verdict"), "trust", "distrust")
