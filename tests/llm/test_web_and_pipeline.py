@@ -1,6 +1,7 @@
 """URL filter, WARC audit and the pipeline."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -132,6 +133,27 @@ def test_stages_keep_columns_and_decide(spark, stages):
     assert {r["doc_id"] for r in stages[4][1].collect()} == ids
 
 
+FOREIGN = [
+    "Il vecchio mulino si trova ancora vicino al fiume, dove gli abitanti del paese andavano ogni settimana con il grano. Oggi nessuno lavora più in quel luogo, ma la gente ricorda bene le storie che raccontavano i nonni.",
+    "Vanha mylly seisoo yhä joen rannalla, jonne kylän asukkaat veivät viljaa joka viikko. Nykyään siellä ei enää työskentele kukaan, mutta ihmiset muistavat hyvin tarinat, joita isovanhemmat kertoivat.",
+    "Stary młyn nadal stoi nad rzeką, dokąd mieszkańcy wsi co tydzień wozili zboże. Dzisiaj nikt już tam nie pracuje, ale ludzie dobrze pamiętają historie, które opowiadali dziadkowie.",
+]
+
+
+def test_language_stage_rejects_planted_foreign_and_random_texts(spark):
+    rng = random.Random(3)
+    own = table(spark, SF, "documents")
+    random_texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(rng.randint(5, 400))) for _ in range(100)]
+    shuffled = [" ".join(" ".join(rng.sample(t.split(), len(t.split()))) for _ in range(8)) for t in FOREIGN]
+    planted = {-1 - k: t for k, t in enumerate([*FOREIGN, *shuffled, *random_texts])}
+    rows = spark.createDataFrame([(k, t) for k, t in planted.items()], "doc_id long, text string")
+    docs = own.unionByName(rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in own.dtypes]))
+    kept = [r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).select("doc_id").collect()]
+    through = [k for k in kept if k < 0]
+    assert not [k for k in through if k >= -len(FOREIGN) - len(shuffled)] and len(through) <= 3
+    assert len(kept) - len(through) > 0.985 * own.count()
+
+
 def test_near_duplicates_of_the_stage_like_brute_force(stages):
     before, after = stages[2]
     rows = [(r["doc_id"], re.findall(r"[^\x20\x09-\x0D]+", r["text"].lower())) for r in before.collect()]
