@@ -4,9 +4,13 @@ A text is a sequence of words, with K - 1 marks before and after it. A run of K
 first or the last of them: whether a run is an anchor depends on nothing outside it, so two texts choose the same anchors wherever they
 agree for K words, however their positions differ. ``anchors`` gives them all, with positions; ``match_positions`` lines two texts up.
 
-The fingerprint keeps the SKETCH anchors with the smallest hashes, in that order, as 12 hexadecimal digits each. ``likeness`` looks at the
-SKETCH smallest hashes of two fingerprints together: from the share J of them that both have (the anchors' Jaccard similarity, or its bottom-k
-estimate where there are more) it takes 2J / (1 + J), the part of the two texts' anchors that is shared.
+``with_alignment`` compares two texts of one row by all their anchors: those whose hash each text has once match wherever they stand, and the
+shift most of them share (the least of several) is that of the texts; anchors that repeat match where they line up at that shift. The matched
+part is 2 * matched / (anchors of both).
+
+The fingerprint keeps the SKETCH anchors with the smallest hashes, in that order, as 12 hexadecimal digits each, for texts that are not at hand
+together. ``likeness`` looks at the SKETCH smallest hashes of two fingerprints together: from the share J of them that both have (the anchors'
+Jaccard similarity, or its bottom-k estimate where there are more) it takes 2J / (1 + J), the part of the two texts' anchors that is shared.
 
 Defined results: null counts as empty; a text without a word has the fingerprint '' and is like another such text (1.0) and unlike all others
 (0.0); equal texts have equal fingerprints; words are cut at white space and A-Z lower-cased; rows that repeat an id follow each other in some
@@ -72,10 +76,53 @@ def fingerprint_of(hashes: Column, k: int = K, sketch: int = SKETCH) -> Column:
         return F.when(edge, F.xxhash64(*h))
 
     runs = F.when(F.size(hashes) >= k, F.transform(F.sequence(F.lit(0), F.size(hashes) - k), at))
-    least = F.slice(F.sort_array(F.array_distinct(F.array_compact(runs))), 1, sketch)
+    return sketch_of(F.array_compact(runs), sketch)
+
+
+def sketch_of(hashes: Column, sketch: int = SKETCH) -> Column:
+    """The fingerprint as a string, from the hashes of all anchors."""
+    least = F.slice(F.sort_array(F.array_distinct(hashes)), 1, sketch)
     return F.coalesce(F.array_join(F.transform(least, lambda x: F.lower(F.substring(F.lpad(F.hex(x.bitwiseXOR(F.lit(-(2**63)))), 16, "0"), 1, DIGITS))), ""), F.lit(""))
 
 
+#: Added to the positions of the second text where two are sorted together; no text has as many words.
+SECOND = 1 << 32
+
+
+def with_alignment(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Adds for each name of pairs, from two columns of anchors_of, a struct: near (0 to 1), shift (how far the second is moved), matched, aligned (those at that shift).
+
+    Each step is a column of its own, so that no array is computed more than once. Sorting bounds the work: no hash is ever paired with all its repeats.
+    """
+    kept = rows.columns
+    moved = lambda c, by: F.transform(c, lambda x: F.struct(x["hash"].alias("hash"), (x["pos"].cast("bigint") + F.lit(by).cast("bigint")).alias("at")))
+    both = lambda a, b: F.sort_array(F.concat(moved(a, 0), moved(b, SECOND)))
+
+    def shifts(c: Column) -> Column:
+        def at(x: Column, i: Column) -> Column:
+            y = F.get(c, i + 1)
+            alone = F.coalesce(F.get(c, i - 1)["hash"] != x["hash"], F.lit(True)) & F.coalesce(F.get(c, i + 2)["hash"] != x["hash"], F.lit(True))
+            return F.when((y["hash"] == x["hash"]) & (x["at"] < SECOND) & (y["at"] >= SECOND) & alone, y["at"] - x["at"] - SECOND)
+
+        return F.sort_array(F.array_compact(F.transform(c, at)))
+
+    def most(acc: Column, x: Column) -> Column:
+        run = F.when(acc["last"] == x, acc["run"] + 1).otherwise(F.lit(1))
+        more = run > acc["n"]
+        return F.struct(x.alias("last"), run.alias("run"), F.when(more, x).otherwise(acc["shift"]).alias("shift"), F.when(more, run).otherwise(acc["n"]).alias("n"))
+
+    zero = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("run"), F.lit(0).cast("bigint").alias("shift"), F.lit(0).alias("n"))
+    out = rows.withColumns({f"_both_{n}": both(F.col(a), F.col(b)) for n, (a, b) in pairs.items()})
+    out = out.withColumns({f"_shifts_{n}": shifts(F.col(f"_both_{n}")) for n in pairs})
+    out = out.withColumns({f"_most_{n}": F.aggregate(f"_shifts_{n}", zero, most) for n in pairs})
+    place = lambda c, by: F.transform(c, lambda x: F.xxhash64(x["hash"], x["pos"].cast("bigint") + by))
+    out = out.withColumns({f"_aligned_{n}": F.size(F.array_intersect(place(F.col(a), F.col(f"_most_{n}")["shift"]), place(F.col(b), F.lit(0).cast("bigint")))) for n, (a, b) in pairs.items()})
+    matched = lambda n: F.size(f"_shifts_{n}") - F.col(f"_most_{n}")["n"] + F.col(f"_aligned_{n}")
+    near = lambda n, a, b: F.coalesce(F.try_divide(2.0 * matched(n), (F.size(a) + F.size(b)).cast("double")), F.lit(1.0))
+    found = {n: F.struct(near(n, a, b).alias("near"), F.col(f"_most_{n}")["shift"].alias("shift"), matched(n).alias("matched"), F.col(f"_aligned_{n}").alias("aligned")) for n, (a, b) in pairs.items()}
+    return out.select(*kept, *[c.alias(n) for n, c in found.items()])
+
+
 def likeness(a: Column, b: Column, sketch: int = SKETCH) -> Column:
     """0 to 1. The digits keep the order of the hashes, so the smallest of both together are known."""
     cut_up = lambda c: F.when(F.length(c) > 0, F.split(F.regexp_replace(c, f"(.{{{DIGITS}}})(?=.)", "$1 "), " ")).otherwise(F.array().cast("array<string>"))

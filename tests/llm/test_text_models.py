@@ -149,6 +149,44 @@ def test_anchors_by_definition(spark):
     assert best["shift"] == 2 - 40 and best["matched"] > 70
 
 
+def aligned_by_definition(a, b):
+    """near, shift, matched, aligned of two lists of (pos, hash)."""
+    many = [Counter(h for _, h in x) for x in (a, b)]
+    at = [{h: p for p, h in x if many[k][h] == 1} for k, x in enumerate((a, b))]
+    shifts = [at[1][h] - p for h, p in at[0].items() if h in at[1]]
+    often = Counter(shifts)
+    shift = min((s for s in often if often[s] == max(often.values())), default=0)
+    aligned = len({(p + shift, h) for p, h in a} & set(b))
+    matched = len(shifts) - often[shift] + aligned
+    return 2 * matched / (len(a) + len(b)) if a or b else 1.0, shift, matched, aligned
+
+
+def test_alignment_by_definition(spark):
+    rng = random.Random(8)
+    words = lambda n, of=400: [f"w{rng.randrange(of)}" for _ in range(n)]
+    base, line = words(300), words(12)
+    pairs = [(base, base), (base, base[:150] + ["new"] + base[150:]), (base, words(40) + base[60:]), (line * 20, words(30) + line * 15), (["x"] * 5_000, ["x"] * 4_000), (base, []), ([], []), (words(4), words(3)), (words(900, 40), words(900, 40))]
+    rows = spark.createDataFrame([(k, " ".join(a), " ".join(b)) for k, (a, b) in enumerate(pairs)], "k int, a string, b string")
+    held = rows.select("k", *[fingerprint.word_hashes(F.col(c)).alias(c) for c in "ab"]).select("k", *[fingerprint.anchors_of(F.col(c)).alias(c) for c in "ab"])
+    got = {r["k"]: r for r in fingerprint.with_alignment(held, {"x": ("a", "b")}).collect()}
+    for k in range(len(pairs)):
+        a, b = ([(x["pos"], x["hash"]) for x in got[k][c]] for c in "ab")
+        assert tuple(got[k]["x"]) == pytest.approx(aligned_by_definition(a, b)), k
+    near = [got[k]["x"]["near"] for k in range(len(pairs))]
+    assert near[0] == near[6] == 1 and near[1] > 0.95 and got[2]["x"]["shift"] == 40 - 60 and near[5] == 0
+
+
+def test_a_passage_shared_by_long_texts_is_found(spark, tmp_path):
+    rng = random.Random(9)
+    one, two = ([f"{c}{rng.randrange(10**6)}" for _ in range(20_000)] for c in "ab")
+    two[7_000:7_060] = one[1_000:1_060]
+    spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op5_fingerprints"](spark, str(tmp_path)).collect()
+    h = [set(r["hash"] for r in fingerprint.anchors(spark.createDataFrame([(1, " ".join(t))], "doc_id long, text string")).collect()) for t in (one, two)]
+    want = 2 * len(h[0] & h[1]) / (len(h[0]) + len(h[1]))
+    assert len(h[0] & h[1]) > 10 and all(r["near_next"] == pytest.approx(want) and r["near_edited"] > 0.7 for r in got)
+
+
 def test_fingerprint_edges(spark):
     rows = [(1, None), (2, ""), (3, "a b"), (4, "A b"), (5, "x " * 30_000), (6, "a b c d e f g h i j"), (None, "n"), (9, "a b c d e f g h i z")]
     rows.append((9, rows[-1][1]))
