@@ -8,12 +8,16 @@ not depend on the corpus:
    longer lengths weigh more. Counts are rounded down, and reduced where they would use a length more often than it occurs.
 3. ``pack_residuals``: what is left is packed best-fit decreasing, whole runs of equal lengths at once.
 
-Pieces then find their place without a group or a driver seeing them: the r-th piece of a length (ranked by one count per length and
-range of ids) takes the r-th slot of that length in the plan.
+Pieces then find their place without a group or a driver seeing them: the r-th piece of a length takes the r-th slot of that length in the plan.
+A rank is the count of the length in earlier blocks plus the place within the block; blocks are ranges of a hash, one for BLOCK_ROWS pieces, so that a
+length which most pieces have is ranked in as many tasks as there are blocks. The plan's runs, of which each pattern that is used has a few, are
+looked up by length in a table that Spark broadcasts. Pieces of full length have a
+sequence each and are neither ranked nor shuffled.
 
 Defined results: a null text is empty and has its end id alone; a piece is never longer than the capacity; longer documents are cut into
 pieces of full length, of which the first may be shorter; an empty table gives an empty table; rows that repeat an id are packed each by
-itself; null ids come first; other columns pass through.
+itself; null ids come first; of documents only the id is carried into the
+result, of a table given to ``pack`` every column.
 """
 
 from __future__ import annotations
@@ -25,36 +29,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, small_batches
-from .tokenise import encode_rows
+from .common import cut
+from .tokenise import as_binary, encode_batches
 
 CAPACITY = 2048
 FEW = 3
 STEPS = 300
+#: Pieces of one length that are ranked in one group, about.
+BLOCK_ROWS = 1_000
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, lean: bool = False) -> DataFrame:
-    """id, piece, start, length, ids (little-endian unsigned 32-bit) of every whole text, each document ended by end_id. lean: less memory, more time."""
-    small_batches(docs.sparkSession)
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
+    """id, piece, start, length, ids (little-endian unsigned 32-bit) of every whole text, each document ended by end_id."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def split(batches):
         import pyarrow as pa
 
-        for batch in encode_rows(batches, tokenizer, [id_col], text_col, end_id, pa.binary(), lean):
-            row, piece, start, length, raw = [], [], [], [], []
-            for k, ids in enumerate(batch.column("ids").to_pylist()):
-                n = len(ids) // 4
-                at, size = 0, (n - 1) % capacity + 1
-                for p in range(-(-n // capacity)):
-                    row.append(k)
-                    piece.append(p)
-                    start.append(at)
-                    length.append(size)
-                    raw.append(ids[4 * at : 4 * (at + size)])
-                    at, size = at + size, capacity
+        for part, ids, at in encode_batches(batches, tokenizer, text_col, end_id):
+            n = np.diff(at)
+            many = -(-n // capacity)
+            row = np.repeat(np.arange(len(n)), many)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            first = ((n - 1) % capacity + 1)[row]
+            start = np.where(piece == 0, 0, first + (piece - 1) * capacity)
+            length = np.where(piece == 0, first, capacity)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(raw, pa.binary())],
+                [part.column(id_col).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), as_binary(ids, np.append(0, np.cumsum(length)))],
                 [id_col, "piece", "start", "length", "ids"],
             )
 
@@ -200,35 +201,37 @@ def slots(planned: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, in
 def pack(found: DataFrame, capacity: int = CAPACITY, few: int = FEW, length_col: str = "length", order_cols: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """Adds sequence_id and offset. found is read twice: give a written table. Lengths are 1 to capacity."""
     spark = found.sparkSession
-    # a rank within the length: the count in earlier blocks, then the place in the block
-    block = F.pmod(F.xxhash64(*[F.col(c) for c in order_cols]), F.lit(256)).cast("int")
-    rows = found.withColumn("_block", block)
-    counts = rows.groupBy(F.col(length_col).cast("int").alias("_len"), "_block").agg(F.count(F.lit(1)).alias("n"))
+    rows = found.select(F.struct(*[F.col(f"`{c}`") for c in found.columns]).alias("_row"), F.col(length_col).cast("int").alias("_len"), F.struct(*order_cols).alias("_order"))
+    per = {r["_len"]: r["n"] for r in rows.groupBy("_len").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity counts, whatever the corpus
     hist = np.zeros(capacity + 1, dtype=np.int64)
-    per = counts.collect()  # at most capacity x 256 counts, whatever the corpus
-    for r in per:
-        hist[r["_len"]] += r["n"]
-    runs = slots(plan(hist, capacity, few))
-    before = Window.partitionBy("_len").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("_len", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    place = Window.partitionBy("_len", "_block").orderBy(*order_cols)
-    ranked = rows.withColumn("_len", F.col(length_col).cast("int")).withColumn("_in", F.row_number().over(place) - 1).join(base, ["_len", "_block"]).withColumn("_rank", F.col("_in") + F.col("_base"))
-    # one array of runs for each length: a plan has at most a few runs for each pattern that it uses
+    for v, n in per.items():
+        hist[v] = n
+    planned = plan(np.append(hist[:-1], 0), capacity, few)
+    runs = slots(planned)
     by_len: dict[int, list] = {}
     for v, *rest in runs:
         by_len.setdefault(v, []).append(tuple(rest))
     run = "array<struct<lo:long,hi:long,sequence:long,each:long,at:long>>"
-    lookup = spark.createDataFrame([(v, x) for v, x in by_len.items()], f"_len int, _runs {run}")
+    # a row for each length, with a few runs for each pattern that is used: bounded by the capacity. As many blocks as keep one near BLOCK_ROWS
+    lookup = F.broadcast(spark.createDataFrame([(v, max(1, -(-per[v] // BLOCK_ROWS)), x) for v, x in by_len.items()], f"_len int, _blocks long, _runs {run}"))
+    placed = rows.filter(F.col("_len") < capacity).join(lookup.drop("_runs"), "_len").withColumn("_block", F.pmod(F.xxhash64("_order"), F.col("_blocks"))).drop("_blocks")
+    counts = placed.groupBy("_len", "_block").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("_len").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("_len", "_block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_base"))
+    place = Window.partitionBy("_len", "_block").orderBy("_order")
+    ranked = placed.withColumn("_in", F.row_number().over(place) - 1).join(base, ["_len", "_block"]).withColumn("_rank", F.col("_in") + F.col("_base"))
     hit = F.filter("_runs", lambda r: (F.col("_rank") >= r["lo"]) & (F.col("_rank") < r["hi"]))[0]
     k = F.col("_rank") - F.col("_hit.lo")
-    return (
-        ranked.join(lookup, "_len")
+    short = (
+        ranked.join(lookup.drop("_blocks"), "_len")
         .withColumn("_hit", hit)
-        .select(*[F.col(f"`{c}`") for c in found.columns], (F.col("_hit.sequence") + F.floor(k / F.col("_hit.each"))).cast("long").alias("sequence_id"), (F.col("_hit.at") + F.col("_len") * (k % F.col("_hit.each"))).cast("long").alias("offset"))
+        .select("_row.*", (F.col("_hit.sequence") + F.floor(k / F.col("_hit.each"))).cast("long").alias("sequence_id"), (F.col("_hit.at") + F.col("_len") * (k % F.col("_hit.each"))).cast("long").alias("offset"))
     )
+    alone = rows.filter(F.col("_len") == capacity).select("_row.*", (F.monotonically_increasing_id() + sum(n for _, n in planned)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return short.unionByName(alone)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, few: int = FEW, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, derive=None, lean: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, few: int = FEW, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, derive=None) -> DataFrame:
     """Pieces of all documents with their places. derive: maps the pieces (which hold their ids) to what is to be kept of them."""
-    found = pieces(docs, tokenizer, capacity, id_col, text_col, end_id, lean)
+    found = pieces(docs, tokenizer, capacity, id_col, text_col, end_id)
     return pack(cut(derive(found) if derive else found, "pieces"), capacity, few, order_cols=(id_col, "piece"))

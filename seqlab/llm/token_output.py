@@ -4,14 +4,16 @@ Layout of a written folder (Parquet throughout, so that any store Spark reads wi
 
 * ``dictionary``: one row, the dictionary's bytes and their sha256 (``dict_hash``). It is trained on the serialized id arrays of a bounded
   sample: SAMPLE_DOCS documents, those with the smallest hash of id and length, the first SAMPLE_BYTES of each array.
-* ``shards``: shard (file order is ascending id), payload (concatenated frames, SHARD_BYTES or one document), dict_hash, n_docs, n_tokens.
-* ``index``: id, shard, at, size (the frame's place in the payload), n_tokens, start (ids before it in its part), part.
+* ``shards``: part, shard (in order of file, which is that of ascending id), payload (concatenated frames, SHARD_BYTES or one document), dict_hash,
+  n_tokens, docs (of each document id, at, size, n_tokens, start).
+* ``index``: id, part, shard, at, size (the frame's place in the payload), n_tokens, start (ids before it in its part), in order of id.
 
-``read_documents`` decodes whole shards; ``read_some`` uses the index to open only what some short documents need. Both refuse a payload
-whose dict_hash is not that of the dictionary they hold.
+``read_documents`` decodes whole shards. ``read_some`` looks documents up in the index and opens the shards that hold them, no others: both tables
+are in order, so Spark's readers skip the files and row groups whose bounds do not fit. Both refuse a payload whose dict_hash is not that of the
+dictionary they hold.
 
-Defined results: a null text is empty and has the end id alone; null ids come first; equal ids keep some order among themselves; an empty
-table gives empty tables; other columns are ignored.
+Defined results: a null text is empty and has the end id alone; null ids come first; rows that repeat an id are in order of a hash of
+their texts, and may be in several parts; an empty table gives empty tables; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shuffle_partitions, small_batches
-from .tokenise import encode_rows
+from .common import shuffle_partitions
+from .tokenise import encode_batches
 
 SAMPLE_DOCS = 2_000
 SAMPLE_BYTES = 16_384
 DICT_BYTES = 65_536
 SHARD_BYTES = 4_000_000
+#: Bytes of a row group of the index, the least that a lookup reads.
+INDEX_BYTES = 1_000_000
 LEVEL = 3
 
 
@@ -57,7 +61,7 @@ def fit_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text_col: str,
     def fit(batches):
         import pyarrow as pa
 
-        samples = [x for b in encode_rows(batches, tokenizer, [], "_text", end_id, pa.binary()) for x in b.column("ids").to_pylist()]
+        samples = [ids[a:b].astype("<u4").tobytes() for _, ids, at in encode_batches(batches, tokenizer, "_text", end_id) for a, b in zip(at[:-1], at[1:])]
         yield pa.RecordBatch.from_pydict({"dictionary": [train_dictionary([s[:SAMPLE_BYTES] for s in samples])]})
 
     found = picked.repartition(1).mapInArrow(fit, "dictionary binary").collect()
@@ -67,13 +71,13 @@ def fit_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text_col: str,
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, partitions: int | None = None) -> None:
     """Encode every whole text and write the folder. Rows are dealt by ranges of the id; a task writes its range in order."""
     spark = docs.sparkSession
-    small_batches(spark)
     raw = fit_dictionary(docs, tokenizer, id_col, text_col, end_id)
     digest = hashlib.sha256(raw).hexdigest()
     spark.createDataFrame([(bytearray(raw), digest)], "dictionary binary, dict_hash string").coalesce(1).write.parquet(f"{path}/dictionary")
     id_type = docs.schema[id_col].dataType.simpleString()
     n = partitions or max(24, 2 * shuffle_partitions(spark))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).repartitionByRange(n, "_id").sortWithinPartitions("_id")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
+    rows = rows.repartitionByRange(n, "_id", "_tie").sortWithinPartitions("_id", "_tie").drop("_tie")
 
     def encode(batches):
         import pyarrow as pa
@@ -100,21 +104,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             frames, entries, held, first, shard = [], [], 0, start, shard + 1
             return out
 
-        for batch in encode_rows(batches, tokenizer, ["_id"], "_text", end_id, pa.binary()):
+        for batch, flat, offsets in encode_batches(batches, tokenizer, "_text", end_id):
             id_arrow = batch.column("_id").type
-            for i, ids in zip(batch.column("_id").to_pylist(), batch.column("ids").to_pylist()):
-                frame = z.compress(ids)
-                entries.append({"id": i, "at": held, "size": len(frame), "n_tokens": len(ids) // 4, "start": start})
+            held_ids = memoryview(flat.astype("<u4").view("u1"))
+            for i, a, b in zip(batch.column("_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                frame = z.compress(held_ids[4 * a : 4 * b])
+                entries.append({"id": i, "at": held, "size": len(frame), "n_tokens": b - a, "start": start})
                 frames.append(frame)
                 held += len(frame)
-                start += len(ids) // 4
+                start += b - a
                 if held >= SHARD_BYTES:
                     yield close()
         if entries:
             yield close()
 
     schema = f"part int, shard int, payload binary, dict_hash string, n_tokens long, docs array<struct<id:{id_type},at:long,size:long,n_tokens:long,start:long>>"
-    rows.mapInArrow(encode, schema).write.option("compression", "uncompressed").parquet(f"{path}/shards")
+    rows.mapInArrow(encode, schema).write.option("compression", "uncompressed").option("parquet.block.size", SHARD_BYTES).parquet(f"{path}/shards")
+    shards = spark.read.parquet(f"{path}/shards")
+    shards.select("part", "shard", F.inline("docs")).select("id", "part", "shard", "at", "size", "n_tokens", "start").write.option("compression", "zstd").option("parquet.block.size", INDEX_BYTES).parquet(f"{path}/index")
 
 
 def parts(spark: SparkSession, path: str) -> DataFrame:
@@ -172,10 +179,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_some(spark: SparkSession, path: str, ids: list) -> DataFrame:
-    """The documents with these ids (a list that the caller holds); only their frames are decompressed."""
+    """The documents with these ids (a list that the caller holds), from the shards that the index names for them; only their frames are decompressed."""
     raw, digest = dictionary(spark, path)
-    shards = spark.read.parquet(f"{path}/shards")
-    id_type = shards.schema["docs"].dataType.elementType["id"].dataType.simpleString()
-    wanted = F.array(*[F.lit(i).cast(id_type) for i in ids]) if ids else F.array().cast(f"array<{id_type}>")
-    named = shards.withColumn("docs", F.filter("docs", lambda d: F.array_contains(wanted, d["id"]))).filter(F.size("docs") > 0)
+    index = spark.read.parquet(f"{path}/index")
+    id_type = index.schema["id"].dataType.simpleString()
+    wanted = [F.lit(i).cast(id_type) for i in ids]
+    # as many rows as the ids asked for have
+    places = index.filter(F.col("id").isin(wanted)).select("part", "shard").distinct().collect() if wanted else []
+    shards = spark.read.parquet(f"{path}/shards").filter(F.col("part").isin([r["part"] for r in places]) & F.col("shard").isin([r["shard"] for r in places]))
+    named = shards.withColumn("docs", F.filter("docs", lambda d: d["id"].isin(wanted) if wanted else F.lit(False))).filter(F.size("docs") > 0)
     return _from_base(_decode(named, raw, digest, id_type), spark, path)

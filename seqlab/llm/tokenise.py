@@ -1,129 +1,274 @@
 """Token ids of whole texts by the tokenizers library, exact and fast on text whose words repeat.
 
-A byte-level BPE first cuts a text with a pattern that takes white space only before a word, never inside or after one. A text can
-therefore be cut before any space that stands between two non-space characters without changing a single id. Each worker has the
-library encode every word that it does not remember, many in one string; where one word's ids end follows from the tokens' lengths in
-bytes. Texts with other runs of white space go to the library whole. The memo has two generations of MEMO words, so memory is bounded
-whatever the text, and frequent words stay.
+A byte-level BPE first cuts a text with a pattern, and no token crosses a cut. Some of its cuts show in two neighbouring characters alone:
+
+* before a space, and on either side of a line end, that stands between two characters which are not white space,
+* between a Latin letter and a sign of ASCII after it,
+* between such a sign, unless it is an apostrophe (which may begin a contraction), and a Latin letter after it.
+
+Texts are cut there, as bytes of an Arrow column, into units. Each worker has the library encode every unit that it does not remember, many in one
+string, where a unit's ids end following from the tokens' lengths in bytes; units of more than LONG bytes are encoded each by itself. The memo
+holds MEMO units, of which the half that was not seen for longest goes when it is full, so memory is bounded whatever the text. A unit is found by
+a 64-bit hash and then compared byte for byte. Texts with an added token of the tokenizer in them go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 
+import numpy as np
+
 from .common import tidy
+from .shingles import column_bytes, run_hashes
 
-#: Words that one generation of the memo holds at most.
-MEMO = 220_000
-#: Characters of text that are cut into words at once.
-CHUNK = 2_000_000
-#: The same for workers that must leave memory to others; they forget it all after each task.
-LEAN_MEMO, LEAN_CHUNK = 60_000, 500_000
-#: Signs of ASCII that the library's pattern keeps apart from letters before them; an apostrophe may begin a contraction.
-_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Letters below are letters to every version of Unicode, so to the library too.
-_LATIN_END = "\u0250"
-#: Longer words are encoded but not remembered.
+#: Units that the memo holds at most.
+MEMO = 1_000_000
+#: Bytes of text whose units are looked up at once.
+CHUNK = 1_000_000
+#: Bytes of text in one batch of results.
+BATCH_BYTES = 8_000_000
+#: Longer units are encoded but not remembered.
 LONG = 64
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SOLID = np.zeros(256, dtype=bool)
+_SOLID[33:127] = True
+_SIGN = _SOLID & ~_LETTER
+_SIGN[48:58] = False
+_SPLITS = _SIGN.copy()
+_SPLITS[ord("'")] = False
+#: First bytes of U+00C0 to U+023F, all of which are letters but for two.
+_LEAD = np.zeros(256, dtype=bool)
+_LEAD[0xC3:0xC9] = True
+_PARTS = np.zeros(256, dtype=bool)
+_PARTS[[32, 10]] = True
+
+
+def _blank_at(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Where the bytes a, b and, if it takes three, c are a white space character beyond ASCII."""
+    general = (b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F)
+    return (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & general | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+
+
+def _times(b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Where two bytes are a sign for multiplication or division."""
+    return (b == 0xC3) & ((c == 0x97) | (c == 0xB7))
+
+
+def unit_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where units start, ascending; no unit crosses the beginning of a row."""
+    n = len(raw)
+    start = np.zeros(n + 1, dtype=bool)
+    start[offsets] = True
+    if n > 2:
+        at = lambda i: raw[np.clip(i, 0, n - 1)]
+        p = np.flatnonzero(_PARTS[raw])
+        p = p[(p > 0) & (p < n - 1)]
+        p = p[~start[p] & ~start[p + 1]]
+        b, c = raw[p - 1], raw[p + 1]
+        before = _SOLID[b] | (b > 127) & ~_blank_at(at(p - 2), b, 0 * b) & ~_blank_at(at(p - 3), at(p - 2), b)
+        after = _SOLID[c] | (c > 127) & ~_blank_at(c, at(p + 2), at(p + 3))
+        p = p[before & after]
+        start[p] = True
+        start[p[raw[p] == 10] + 1] = True
+        one, two = raw[:-1], raw[1:]
+        sign = _SIGN[two]
+        start[1:-1] |= _LETTER[one] & sign | _SPLITS[one] & _LETTER[two]
+        q = np.flatnonzero(sign & (one > 127))
+        start[q[_LEAD[at(q - 1)] & ~_times(at(q - 1), raw[q])] + 1] = True
+        q = np.flatnonzero(_SPLITS[one] & _LEAD[two])
+        start[q[~_times(raw[q + 1], at(q + 2))] + 1] = True
+    start[n] = False
+    return np.flatnonzero(start)
+
+
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... counts[0] of them, and so on."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class _Held:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.all, self.n = np.empty(1024, kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.all):
+            more = np.empty(max(self.n + len(x), len(self.all) * 3 // 2), self.all.dtype)
+            more[: self.n] = self.all[: self.n]
+            self.all = more
+        self.all[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+    @property
+    def now(self) -> np.ndarray:
+        return self.all[: self.n]
+
 
 class WordEncoder:
-    """Ids as little-endian unsigned 32-bit bytes. Special tokens' strings in a text are ordinary text."""
+    """Ids of texts as the library gives them with add_special_tokens=False; an added token in a text is that token."""
 
     def __init__(self, path: str, memo: int | None = None, chunk: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if hasattr(self.tokenizer.model, "_resize_cache"):
-            self.tokenizer.model._resize_cache(0)  # words come here once, so the library's own memo only costs
+            self.tokenizer.model._resize_cache(0)  # units come here once, so the library's own memo only costs
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.n_bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)  # one character of the vocabulary's alphabet stands for one byte
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo, self.chunk = memo or MEMO, chunk or CHUNK
-        self.tails: dict[str, bytes] = {}
-        self.new: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
-
-    def whole(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
-
-    def _fresh(self, words: list[str], before: str = " ") -> dict[str, bytes]:
-        """Ids of each word with a space before it; with a line end before it, which is a token of its own, the ids of the word alone."""
-        import numpy as np
-
-        out: dict[str, bytes] = {}
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([before + before.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum(self.n_bytes[ids])
-            sizes = np.cumsum(np.array([len(w.encode("utf-8", "surrogatepass")) + 1 for w in part]))
-            last = np.searchsorted(ends, sizes) + 1
-            if len(ids) and (last[-1] != len(ids) or (ends[last - 1] != sizes).any()):
-                raise ValueError("the vocabulary joins words; it is not the byte-level kind")
-            raw, b, skip = ids.tobytes(), (last * 4).tolist(), 0 if before == " " else 4
-            out.update(zip(part, [raw[i + skip : j] for i, j in zip([0, *b], b)]))
-        return out
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        part: list[str] = []
-        held = 0
-        for t in texts:
-            part.append(t or "")
-            held += len(part[-1])
-            if held >= self.chunk:
-                out += self._encode(part)
-                part, held = [], 0
-        return out + self._encode(part)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        if len(self.new) > self.memo:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        wanted = {w for w in set().union(*cut) if w not in new}  # "- new.keys()" would walk through the whole memo
-        found = {w for w in wanted if w in old}
-        new.update((w, old[w]) for w in found)
-        wanted -= found
-        # None: an empty word, or one with white space at an end, stands beside more than a lone space
-        odd = [w for w in wanted if not w or w[0].isspace() or w[-1].isspace()]
-        wanted.difference_update(odd)
-        new.update(dict.fromkeys(odd))
-        # signs after letters are tokens of their own: letters that are known need no call
-        split = []
-        for w in wanted:
-            head = w.rstrip(_SIGNS)
-            if head is not w and head.isalpha() and max(head) < _LATIN_END:
-                split.append((w, head, w[len(head) :]))
-        wanted.difference_update([w for w, _, _ in split])
-        tails = self.tails
-        for t in {t for _, _, t in split if t not in tails}:
-            tails[t] = self.whole(t)
-        heads = {h for _, h, _ in split if h not in new and h not in wanted}
-        more = {h for h in heads if h in old}
-        new.update((h, old[h]) for h in more)
-        new.update(self._fresh([*wanted, *(heads - more)]))
-        new.update([(w, new[h] + tails[t]) for w, h, t in split])
-        if len(tails) > 10_000:
-            tails.clear()
-        # a text starts without a space before its first word
-        firsts = self._fresh([w for w in {words[0] for words in cut if len(words) > 1} if new[w] is not None], "\n")
-        out = []
-        for text, words in zip(texts, cut):
-            try:
-                first = firsts.get(words[0]) if len(words) > 1 else None
-                out.append(self.whole(text) if first is None else b"".join([first, *map(new.__getitem__, words[1:])]))
-            except TypeError:
-                out.append(self.whole(text))
-        for w in [w for w in (*wanted, *heads, *(w for w, _, _ in split)) if len(w) > LONG]:
-            new.pop(w, None)
-        return out
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # ascending, and the place of each in what follows
+        self.at, self.size, self.id_at, self.id_n, self.seen = (_Held(np.int64) for _ in range(5))
+        self.bytes, self.ids = _Held(np.uint8), _Held(np.uint32)
+        self.turn = 0
+
+    def _halve(self) -> None:
+        keep = np.flatnonzero(self.seen.now > np.median(self.seen.now))
+        had, hashes = self.__dict__.copy(), np.empty(self.seen.n, np.uint64)
+        hashes[self.entry] = self.hashes
+        self._forget()
+        self.turn = had["turn"]
+        size, id_n = had["size"].now[keep], had["id_n"].now[keep]
+        self._remember(hashes[keep], had["bytes"].now[ragged(had["at"].now[keep], size)], size, had["ids"].now[ragged(had["id_at"].now[keep], id_n)], id_n)
+
+    def _remember(self, hashes, raw, size, ids, id_n) -> None:
+        order = np.argsort(hashes)
+        place = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.entry = np.insert(self.hashes, place, hashes[order]), np.insert(self.entry, place, order + self.at.n)
+        self.at.add(np.cumsum(size) - size + self.bytes.n)
+        self.id_at.add(np.cumsum(id_n) - id_n + self.ids.n)
+        self.size.add(size)
+        self.id_n.add(id_n)
+        self.seen.add(np.full(len(size), self.turn))
+        self.bytes.add(raw)
+        self.ids.add(ids)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _joined(self, raw: np.ndarray, starts: np.ndarray, size: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units, how many of each). lead: 0 where each begins with a space, 1 to set a line end, a token of its own, before each."""
+        counts, out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for lo in range(0, len(size), 20_000):
+            n = size[lo : lo + 20_000]
+            text = raw[ragged(starts[lo : lo + 20_000], n)]
+            if lead:
+                text = np.insert(text, np.cumsum(n) - n, 10)
+            ids = self.whole([text.tobytes().decode("utf-8", "replace")])[0]
+            ends, sizes = np.cumsum(self.n_bytes[ids]), np.cumsum(n + lead)
+            last = np.minimum(np.searchsorted(ends, sizes) + 1, len(ids))
+            if last[-1] != len(ids) or (ends[last - 1] != sizes).any():
+                raise ValueError("the vocabulary joins words, so it is not the byte-level kind, or a text is not UTF-8")
+            first = np.append(0, last[:-1])
+            counts.append(last - first - lead)
+            out.append(np.delete(ids, first) if lead else ids)
+        return np.concatenate(out), np.concatenate(counts)
+
+    def _learn(self, hashes: np.ndarray, raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
+        at = lambda i: raw[np.clip(i, 0, len(raw) - 1)]
+        last = starts + size - 1
+        opens = lambda i: _SOLID[at(i)] | (at(i) > 127) & ~_blank_at(at(i), at(i + 1), at(i + 2))
+        closes = _SOLID[raw[last]] | (raw[last] > 127) & ~_blank_at(at(last - 1), raw[last], 0 * raw[last]) & ~_blank_at(at(last - 2), at(last - 1), raw[last])
+        spaced, bare = (raw[starts] == 32) & (size > 1) & opens(starts + 1) & closes, opens(starts) & closes
+        where = [np.flatnonzero(spaced), np.flatnonzero(bare), np.flatnonzero(~spaced & ~bare)]
+        found = [self._joined(raw, starts[where[k]], size[where[k]], k) for k in (0, 1)]
+        odd = self.whole([raw[starts[i] : starts[i] + size[i]].tobytes().decode("utf-8", "replace") for i in where[2]])
+        found.append((np.concatenate([np.zeros(0, np.uint32), *odd]), np.array([len(x) for x in odd], dtype=np.int64)))
+        order = np.concatenate(where)
+        size = size[order]
+        self._remember(hashes[order], raw[ragged(starts[order], size)], size, np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found]))
+
+    def _units(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each unit). raw holds these units and no more."""
+        self.turn += 1
+        size = ends - starts
+        own = size > LONG
+        short = np.flatnonzero(~own)
+        h = run_hashes(raw, starts[short], ends[short])
+        u, which = np.unique(h, return_inverse=True)
+        new = np.ones(len(u), dtype=bool)
+        if len(self.hashes):
+            near = np.minimum(np.searchsorted(self.hashes, u), len(self.hashes) - 1)
+            new = self.hashes[near] != u
+        if new.any():
+            first = np.empty(len(u), dtype=np.int64)
+            first[which[::-1]] = short[::-1]
+            self._learn(u[new], raw, starts[first[new]], size[first[new]])
+        entry = self.entry[np.searchsorted(self.hashes, u)]
+        self.seen.now[entry] = self.turn
+        entry = entry[which]
+        # the same hash is not enough
+        wrong = self.size.now[entry] != size[short]
+        same = np.flatnonzero(~wrong)
+        n = size[short[same]]
+        other = self.bytes.now[ragged(self.at.now[entry[same]], n)] != raw[ragged(starts[short[same]], n)]
+        if other.any():
+            wrong[same[np.unique(np.searchsorted(np.cumsum(n), np.flatnonzero(other), side="right"))]] = True
+        own[short[wrong]] = True
+        short, entry = short[~wrong], entry[~wrong]
+        counts = np.zeros(len(starts), dtype=np.int64)
+        counts[short] = self.id_n.now[entry]
+        ids = self.ids.now[ragged(self.id_at.now[entry], counts[short])]
+        if own.any():
+            alone = np.flatnonzero(own)
+            found = self.whole([raw[starts[i] : ends[i]].tobytes().decode("utf-8", "replace") for i in alone])
+            counts[alone] = [len(x) for x in found]
+            to = np.cumsum(counts) - counts
+            every = np.empty(counts.sum(), dtype=np.uint32)
+            every[ragged(to[short], counts[short])] = ids
+            for i, x in zip(alone, found):
+                every[to[i] : to[i] + len(x)] = x
+            ids = every
+        if self.seen.n > self.memo:
+            self._halve()
+        return ids, counts
+
+    def encode(self, column, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows of an Arrow column of strings, the n + 1 offsets of the rows among them). end: an id after each row's."""
+        raw, offsets = column_bytes(column)
+        starts = unit_starts(raw, offsets)
+        ends = np.append(starts[1:], len(raw)).astype(np.int64)
+        ids, counts, lo = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        while lo < len(starts):
+            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + self.chunk, side="right")))
+            a, b = starts[lo], ends[hi - 1]
+            x, n = self._units(raw[a:b], starts[lo:hi] - a, ends[lo:hi] - a)
+            ids.append(x)
+            counts.append(n)
+            lo = hi
+        total = np.append(0, np.cumsum(np.concatenate(counts)))
+        flat, at = np.concatenate(ids), total[np.searchsorted(starts, offsets)]
+        flat, at = self._with_added(raw, offsets, flat, at)
+        if end is not None:
+            flat, at = np.insert(flat, at[1:], end), at + np.arange(len(at))
+        return flat, at
+
+    def _with_added(self, raw, offsets, flat, at) -> tuple[np.ndarray, np.ndarray]:
+        """Rows in which the text of an added token stands, by the library."""
+        text, rows = raw.tobytes(), set()
+        for token in self.added:
+            found = text.find(token)
+            while found >= 0:
+                row = int(np.searchsorted(offsets, found, side="right")) - 1
+                if found + len(token) <= offsets[row + 1]:
+                    rows.add(row)
+                found = text.find(token, found + 1)
+        if not rows:
+            return flat, at
+        parts = [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+        for row in rows:
+            parts[row] = self.whole([text[offsets[row] : offsets[row + 1]].decode("utf-8", "replace")])[0]
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -137,16 +282,22 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def encode_rows(batches, path: str, columns: list[str], text_col: str, end_id: int, out_type, lean: bool = False):
-    """Arrow batches with the given columns and ``ids``: little-endian unsigned 32-bit ids of the text (null: empty), then end_id."""
-    import pyarrow as pa
-
-    enc = WordEncoder(path, LEAN_MEMO, LEAN_CHUNK) if lean else encoder(path)
-    end = end_id.to_bytes(4, "little")
+def encode_batches(batches, path: str, text_col: str, end_id: int):
+    """(part of a batch, ids as unsigned 32-bit numbers, offsets of the rows among them). Ids are those of the text (null: empty), then end_id."""
+    enc = encoder(path)
     for batch in batches:
-        for at in range(0, max(1, batch.num_rows), 1024):
-            part = batch.slice(at, 1024)
-            ids = [x + end for x in enc.encode_batch(part.column(text_col).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array(ids, out_type)], [*columns, "ids"])
-    del enc
+        sizes = column_bytes(batch.column(text_col))[1]
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + BATCH_BYTES, side="right")) - 1)
+            part = batch.slice(at, to - at)
+            yield part, *enc.encode(part.column(text_col), end_id)
+            at = to
     tidy()
+
+
+def as_binary(ids: np.ndarray, offsets: np.ndarray):
+    """An Arrow column of the ids as little-endian bytes."""
+    import pyarrow as pa
+
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids, dtype="<u4"))])

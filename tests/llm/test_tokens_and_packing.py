@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqlab.llm import packing, token_output
+from seqlab.llm import packing, token_output, tokenise
 from seqlab.llm.queries import tokenizer_path
 from seqlab.llm.tokenise import WordEncoder
 
@@ -17,23 +17,40 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
 TEXTS = ["", None, "a", " ", "  ", "a  b", " a", "a ", "\n\n a  \n b", "don't you'll 've", "x　 y  z \t q  w", "é ñ 12 ab12  !! ?", "a\n b", "a \nb", "<|endoftext|> x", "word " * 3000, "\x85 b\x1c c", "日本語 テキスト"]
 
 
-def test_ids_are_the_librarys(monkeypatch):
+def test_ids_are_the_librarys():
     rng = random.Random(1)
-    parts = ["a", " ", "\n", "\t", " ", "\x1c", "\x85", "​", "'s", "1", "!", "é", "﻿", "the", " of"]
-    texts = TEXTS + ["".join(rng.choices(parts, k=25)) for _ in range(3000)]
+    parts = ["a", " ", "\n", "\t", "\u2003", "\x1c", "\x85", "\u200b", "'s", "'", "1", "!", "(", "é", "ñ", "×", "÷", "\u0301", "日", "\ufeff", "the", " of", "\r\n", "<|endof", "text|>", "<|endoftext|>"]
+    texts = TEXTS + ["".join(rng.choices(parts, k=25)) for _ in range(1500)]
     ids = plain()
-    want = [np.asarray(ids(t), dtype="<u4").tobytes() for t in texts]
-    for memo in (450_000, 5):
-        monkeypatch.setattr("seqlab.llm.tokenise.MEMO", memo)
-        e = WordEncoder(tokenizer_path())
-        assert e.encode_batch(texts) == want and [x for t in texts for x in e.encode_batch([t])] == want
+    want = [[*ids(t or ""), 7] for t in texts]
+    for memo, chunk in ((None, None), (5, 3000), (500, 1)):
+        e = WordEncoder(tokenizer_path(), memo, chunk)
+        for _ in range(2):
+            flat, at = e.encode(pa.array(texts), 7)
+            assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+    one = WordEncoder(tokenizer_path())
+    for t, w in list(zip(texts, want))[:300]:
+        assert one.encode(pa.array(["x", t]).slice(1), 7)[0].tolist() == w
+    assert one.encode(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+def test_added_tokens_in_a_text_are_tokens():
+    e = WordEncoder(tokenizer_path())
+    flat, at = e.encode(pa.array(["a<|endoftext|>b c", "plain text", "<|endof", "text|>"]))
+    assert 50256 in flat[: at[1]] and 50256 not in flat[at[1] :]
+
+
+def test_units_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tokenise, "run_hashes", lambda raw, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    texts = ["one two three four", "five sixty seven", "one"]
+    flat, at = WordEncoder(tokenizer_path()).encode(pa.array(texts))
+    assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [plain()(t) for t in texts]
 
 
 def docs_of(spark, rows):
@@ -55,6 +72,9 @@ def test_token_files_round_trip(spark, tmp_path, monkeypatch):
     assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()] and sum(r["n_tokens"] for r in got) == at
     few = token_output.read_some(spark, f"{tmp_path}/t", [rows[0][0], 999_999]).collect()
     assert {r["id"] for r in few} == {rows[0][0]}
+    assert bytes(few[0]["ids"]) in [x for d, x in want if d == rows[0][0]] and token_output.read_some(spark, f"{tmp_path}/t", []).count() == 0
+    index = spark.read.parquet(f"{tmp_path}/t/index")
+    assert index.columns == ["id", "part", "shard", "at", "size", "n_tokens", "start"] and index.count() == len(rows)
     _, digest = token_output.dictionary(spark, f"{tmp_path}/t")
     assert {r[0] for r in spark.read.parquet(f"{tmp_path}/t/shards").select("dict_hash").collect()} == {digest}
 
@@ -143,5 +163,14 @@ def test_dictionary_of_little():
 
 def test_long_words_are_not_remembered():
     e = WordEncoder(tokenizer_path())
-    e.encode_batch(["x " + "q" * 500 + " " + "r" * 300 + "!! short"])
-    assert max(map(len, [*e.new, *e.old])) <= 64 and "short" in e.new
+    e.encode(pa.array(["x " + "q" * 500 + " " + "r" * 300 + "!! short"]))
+    assert e.size.now.max() <= 64 and e.seen.n == 3
+
+
+def test_a_hot_length_is_ranked_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ROWS", 10)
+    found = spark.createDataFrame([(i, 0, 7 if i % 3 else 64 if i % 2 else 5 + i % 50) for i in range(600)], "doc_id long, piece int, length long")
+    got = packing.pack(found, 64).toPandas()
+    assert len(got) == 600 and not got.duplicated(["sequence_id", "offset"]).any()
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert (g["offset"].to_numpy() == np.concatenate([[0], g["length"].cumsum()[:-1]])).all() and g["length"].sum() <= 64
