@@ -19,9 +19,12 @@ def lower_ascii(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir. Where that is unset, one of our own in local mode, where there is one machine;
+    elsewhere ValueError, as executors would write to disks that others do not see."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-seqlab-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -87,15 +90,11 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, sp
     return dealt.join(held, [*keys, "_salt"], "left").drop("_salt")
 
 
-#: Rows of one Arrow batch at most, as a text may be long.
-BATCH_ROWS = 1_000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Hold Spark's Arrow batches to BATCH_ROWS rows in this session; its default of 10,000 is made for short rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+def row_and_more(found: DataFrame, more: list[str]) -> DataFrame:
+    """The fields of _row and the columns named in more, which take the place of fields with their names (in whatever case)."""
+    taken = {c.lower() for c in more}
+    fields = [c for c in found.schema["_row"].dataType.names if c.lower() not in taken]
+    return found.select(*[F.col("_row")[c].alias(c) for c in fields], *more)
 
 
 def tidy() -> None:

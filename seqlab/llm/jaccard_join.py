@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, shuffle_partitions, sieve, small_batches, tidy
+from .common import cut, join_hot, shuffle_partitions, sieve, tidy
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -309,7 +309,6 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     Ids are whole numbers. Two texts link when 100 * (shared shingles) >= percent * (shingles of either).
     """
     spark = docs.sparkSession
-    small_batches(spark)
     signed = cut(signatures(docs, id_col, text_col, k, percent).withColumn("_id", F.col("_id").cast("long")), "signed")
     first = lambda c: F.first(c).alias(c)  # noqa: E731  equal sets have equal ones
     named = signed.filter(F.col("n") > 0).groupBy("n", "a", "b").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), first("prefix"), first("bits"))

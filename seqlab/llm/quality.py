@@ -7,7 +7,8 @@ its length. Training reads a bounded sample, the FIT_DOCS labelled rows with the
 one task; the weights (one float for each of 2^BITS) are broadcast.
 
 Defined results: null and empty texts have the score of the bias alone; labels other than 0 and 1, and rows without id or text, teach nothing;
-a document labelled more than once counts each time; without labels every score is 0.5; equal texts have equal scores; other columns pass.
+a document labelled more than once counts each time; without labels every score is 0.5; equal texts have equal scores; other columns pass, but one named quality_score
+gives way to the result.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import row_and_more
 from .shingles import _powers, column_bytes, mix, run_hashes
 
 BITS = 18
@@ -143,7 +144,6 @@ def scores_of(column, w: np.ndarray, bias: float) -> np.ndarray:
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns named in keep (all of docs where None) and quality_score. One pass, no shuffle."""
     spark = docs.sparkSession
-    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
     keep = docs.columns if keep is None else keep
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(text_col).alias("_text"))
@@ -154,6 +154,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
 
         w, bias = held.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(scores_of(batch.column("_text"), w, bias), pa.float64())], ["_row", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(scores_of(batch.column("_text"), w, bias), pa.float64())], ["_row", "quality_score"])
 
-    return rows.mapInArrow(judge, f"_row {row_type}, score double").select("_row.*", F.col("score").alias("quality_score"))
+    return row_and_more(rows.mapInArrow(judge, f"_row {row_type}, quality_score double"), ["quality_score"])

@@ -64,7 +64,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = language_id.fit(docs.filter(~held_out(F.col("doc_id"))))
     found = language_id.classify(docs, known, keep=["doc_id"])
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 @query
