@@ -7,22 +7,29 @@
 2. ``memberships`` gives each text its posterior of each domain. The evidence for or against a domain is held to EVIDENCE either way, so that long
    texts stay soft members.
 3. ``fit_rates`` finds a rate from 0 to ``top`` for each document such that the expected tokens of the domains, the sum of rate * tokens * posterior,
-   come to the targets: projected gradient steps on the squared misfit, each domain scaled by its tokens at rate 1. A step is one sum over all
-   documents; nothing else leaves the executors.
+   come to the targets: projected gradient steps on the squared misfit. A step's length in each direction comes from the domains' Gram matrix (tokens
+   * posterior * posterior) of the documents whose rate is free to move; where such a step does not lower the misfit, the Gram matrix of all
+   documents sets a length that must. A step is one sum over all documents of as many numbers as there are pairs of domains; nothing else
+   leaves the executors.
 4. ``mix`` keeps a document where a hash of its id, as a number from 0 to 1, is below its rate.
 
-Tokens are the text's words. The target total is the largest that rates up to ``top`` can serve in every domain, unless one is given.
+Tokens are the text's words. The target total, unless one is given, is SLACK times the largest that one rate for each cell of similar posteriors
+(CELLS cells at most, whatever the corpus) serves in all domains together; whatever such rates reach, rates for each document reach too.
 
 Defined results: a null or empty text has no tokens, the prior's posterior and takes part at its rate; a domain of the targets that no document
 belongs to is left out and the others share its weight; without labelled texts all posteriors are even; rows that repeat an id go or stay
 together, by the least rate among them; a row without an id stays; labels of unknown domains teach nothing; an empty table gives an empty table;
 other columns pass through ``mix``.
+Where rates serve
+less than LEAST of all tokens in all domains together (as with even posteriors), there is no such mix and every rate is top. A given total that
+no rates reach raises ValueError, as does a fit that is not within TOLERANCE of every target after STEPS steps.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +39,12 @@ FIT_DOCS = 6_000
 BUCKETS = 1 << 15
 SEEN, SMOOTH, WEAK = 0.0035, 0.017, 0.7
 EVIDENCE = 6.0
-STEPS = 40
+STEPS = 60
+#: Posteriors are summed up in so many cells to find the total.
+CELLS = 4_000
+SLACK = 0.99
+#: Of all tokens at the rate top: a smaller total is no mix.
+LEAST = 0.001
 TOLERANCE = 1e-4
 CUT_EVERY = 8
 SEED = 17
@@ -97,47 +109,107 @@ def memberships(docs: DataFrame, model: tuple[DataFrame, list[float]], id_col: s
     return rows.withColumn("_e", scaled).select(id_col, "tokens", F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
 
 
-def feasible(sums: list[float], weights: list[float], top: float, total: float | None) -> list[float]:
-    """Target tokens of each domain."""
-    open_ = [k for k, (s, w) in enumerate(zip(sums, weights)) if s > 0 and w > 0]
-    share = sum(weights[k] for k in open_)
-    if not open_:
-        return [0.0] * len(sums)
-    most = min(top * sums[k] * share / weights[k] for k in open_)
-    total = most if total is None else total
-    return [total * weights[k] / share if k in open_ else 0.0 for k in range(len(sums))]
+def _settle(tokens: np.ndarray, p: np.ndarray, target: np.ndarray, top: float, steps: int = 300) -> bool:
+    """Whether rates from 0 to top bring these cells to the targets: fit_rates on arrays."""
+    whole = (p * tokens[:, None]).T @ p
+    rate, free = np.full(len(p), top), np.ones(len(p), dtype=bool)
+    miss = top * tokens @ p - target
+    for _ in range(steps):
+        if (np.abs(miss) <= 0.1 * TOLERANCE * np.maximum(target, 1.0)).all():
+            return True
+        for gram in ((p[free] * tokens[free, None]).T @ p[free], whole):
+            tried = np.clip(rate - p @ _direction(gram, whole, miss), 0.0, top)
+            left = tokens * tried @ p - target
+            if gram is whole or _misfit(left, whole) < 0.9 * _misfit(miss, whole):
+                break
+        rate, miss = tried, left
+        free = (rate > 0) & (rate < top)
+    return False
+
+
+def _direction(gram: np.ndarray, whole: np.ndarray, miss: np.ndarray) -> np.ndarray:
+    """What to take off the rates, for each unit of a domain's posterior."""
+    return np.linalg.lstsq(gram + 1e-9 * np.trace(whole) * np.eye(len(miss)), miss, rcond=None)[0]
+
+
+def _misfit(miss: np.ndarray, whole: np.ndarray) -> float:
+    return float(miss @ _direction(whole, whole, miss))
+
+
+def cells(members: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, mean posteriors) of at most CELLS cells of a grid over the posteriors."""
+    fine = max(g for g in range(1, CELLS) if math.comb(g + k - 1, k - 1) <= CELLS or g == 1)
+    cell = F.transform("p", lambda x: F.floor(x * fine).cast("int"))
+    rows = members.groupBy(cell.alias("cell")).agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(k)]).filter("n > 0").orderBy("cell").collect()
+    n = np.array([float(r["n"]) for r in rows])
+    return n, np.array([[r[f"s{i}"] for i in range(k)] for r in rows]).reshape(len(rows), k) / n[:, None]
+
+
+def feasible(tokens: np.ndarray, p: np.ndarray, weights: list[float], top: float) -> np.ndarray:
+    """Target tokens of each domain: SLACK times the most that the cells serve in all open domains together."""
+    sums = tokens @ p
+    w = np.where(sums > 0, weights, 0.0)
+    if not w.sum():
+        return np.zeros(len(w))
+    w = w / w.sum()
+    below, above = 0.0, float(min(top * sums[k] / w[k] for k in range(len(w)) if w[k] > 0))
+    if not _settle(tokens, p, above * w, top):
+        while above - below > 1e-4 * above:
+            mid = (below + above) / 2
+            below, above = (mid, above) if _settle(tokens, p, mid * w, top) else (below, mid)
+    else:
+        below = above
+    return SLACK * below * w
 
 
 def fit_rates(members: DataFrame, weights: list[float], top: float = 1.0, total: float | None = None, steps: int = STEPS) -> DataFrame:
     """members with a rate for each row. members: tokens, p; give a written table."""
-    k_all = range(len(weights))
-
-    def sums(rows: DataFrame) -> list[float]:
-        row = rows.agg(*[F.sum(F.col("rate") * F.col("tokens") * F.col("p")[k]).alias(f"s{k}") for k in k_all]).head()
-        return [row[f"s{k}"] or 0.0 for k in k_all]
-
-    base = members.withColumn("rate", F.lit(1.0))
-    at_one = sums(base)
-    target = feasible(at_one, weights, top, total)
-    now, moves = base, []
-    for step in range(steps):
-        have = at_one if step == 0 else sums(now)
-        if all(abs(h - t) <= TOLERANCE * max(t, 1.0) for h, t in zip(have, target)):
-            break
-        moves.append([(h - t) / s if s > 0 else 0.0 for h, t, s in zip(have, target, at_one)])
-        if len(moves) == CUT_EVERY:
-            base, moves = cut(now.select(*members.columns, F.least(F.greatest(F.col("rate") - _dot(moves[-1]), F.lit(0.0)), F.lit(top)).alias("rate")), "rates"), []
-            now = base
-            continue
-        # the moves since the last written rates, one after another
+    k = len(weights)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    mass = lambda x: F.coalesce(F.sum(x * F.col("tokens")), F.lit(0.0))
+    p = F.col("p")
+
+    def sums(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(expected tokens of each domain, Gram matrix of the rows whose rate is free)."""
+        free = F.when((F.col("rate") > 0) & (F.col("rate") < top), 1.0).otherwise(0.0)
+        row = rows.agg(*[mass(F.col("rate") * p[i]).alias(f"s{i}") for i in range(k)], *[mass(free * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs]).head()
+        gram = np.zeros((k, k))
+        for i, j in pairs:
+            gram[i, j] = gram[j, i] = row[f"g{i}_{j}"]
+        return np.array([row[f"s{i}"] for i in range(k)]), gram
+
+    n, q = cells(members, k)
+    if not len(n):
+        return members.withColumn("rate", F.lit(float(top)))
+    whole = (q * n[:, None]).T @ q
+    target = feasible(n, q, weights, top) if total is None else total * np.asarray(weights) / sum(weights)
+    if total is None and target.sum() < LEAST * top * n.sum():
+        return members.withColumn("rate", F.lit(float(top)))
+    moved = lambda rate, move: F.least(F.greatest(rate - sum((move[i] * p[i] for i in range(k)), F.lit(0.0)), F.lit(0.0)), F.lit(float(top)))
+
+    def after(base: DataFrame, moves: list[np.ndarray]) -> DataFrame:
+        """The moves since the last written rates, one after another."""
+        if not moves:
+            return base
         turns = F.array(*[F.array(*[F.lit(float(x)) for x in m]) for m in moves])
-        moved = F.aggregate(turns, F.col("rate"), lambda r, g: F.least(F.greatest(r - sum((g[k] * F.col("p")[k] for k in k_all), F.lit(0.0)), F.lit(0.0)), F.lit(top)))
-        now = base.select(*members.columns, moved.alias("rate"))
-    return now
-
-
-def _dot(move: list[float]) -> Column:
-    return sum((F.lit(float(x)) * F.col("p")[k] for k, x in enumerate(move)), F.lit(0.0))
+        return base.withColumn("rate", F.aggregate(turns, F.col("rate"), moved))
+
+    base, moves = members.withColumn("rate", F.lit(float(top))), []
+    have, gram = sums(base)
+    gram = whole  # at first all rates may fall
+    for _ in range(steps):
+        miss = have - target
+        if (np.abs(miss) <= TOLERANCE * np.maximum(target, 1.0)).all():
+            return after(base, moves)
+        for g in (gram, whole):
+            move = _direction(g, whole, miss)
+            have, gram_after = sums(after(base, [*moves, move]))
+            if g is whole or _misfit(have - target, whole) < 0.9 * _misfit(miss, whole):
+                break
+        moves, gram = [*moves, move], gram_after
+        if len(moves) == CUT_EVERY:
+            base, moves = cut(after(base, moves), "rates"), []
+    raise ValueError(f"no rates from 0 to {top} bring the domains to {target.tolist()} tokens: they have {have.tolist()} after {steps} steps")
 
 
 def chosen(id_: Column, rate: Column, seed: int = SEED) -> Column:

@@ -38,14 +38,52 @@ def test_language_edges(spark):
     labelled = spark.createDataFrame(rows + [(None, "x", 1), ("fr", None, 2), ("fr", "x", None)], "lang string, text string, doc_id long")
     known = language_id.fit(labelled)
     assert set(known) == {"en", "de"}
-    got = language_id.classify(docs_of(spark, EDGES + [(8, "das haus ist nicht mit einem haus und der mit")]), known, keep=["doc_id"])
+    docs = docs_of(spark, EDGES + [(8, "das haus ist nicht mit einem haus und der mit")])
+    got = language_id.classify(docs, known)
+    assert got.columns == ["doc_id", "text", "p", "rate", "_text", "hash", "lang_pred", "score", "rejected"]
     by = {r["doc_id"]: r for r in got.collect()}
-    assert got.count() == len(EDGES) + 1
-    assert all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0 for i in (1, 2, 3, 4)) and by[8]["lang_pred"] == "de" and by[5]["lang_pred"] == "en"
-    assert {r["lang_pred"] for r in language_id.classify(docs_of(spark, EDGES), {}, keep=["doc_id"]).collect()} == {"und"}
-    assert language_id.fit(labelled.limit(0)) == {} and language_id.classify(docs_of(spark, []), known, keep=["doc_id"]).count() == 0
-    strict = language_id.classify(docs_of(spark, [(1, "the house of")]), known, min_margin=1.1, keep=["doc_id"]).head()
-    assert strict["rejected"] and strict["lang_pred"] == "und" and strict["score"] > 0
+    assert got.count() == len(EDGES) + 1 and 0 <= by[8]["score"] <= 1
+    assert all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0 and by[i]["rejected"] for i in (1, 2, 3, 4)) and by[8]["lang_pred"] == "de" and by[5]["lang_pred"] == "en"
+    stay = language_id.keep_known(docs, known)
+    assert stay.columns == docs.columns and {r["doc_id"] for r in stay.collect()} == {i for i, r in by.items() if not r["rejected"]} and {r["score"] for r in stay.collect()} == {"x"}
+    assert {r["lang_pred"] for r in language_id.classify(docs_of(spark, EDGES), {}).collect()} == {"und"}
+    assert language_id.fit(labelled.limit(0)) == {} and language_id.classify(docs_of(spark, []), known).count() == 0
+    strict = language_id.classify(docs_of(spark, [(1, "the house of")]), known, min_margin=1.1).head()
+    assert strict["rejected"] and strict["lang_pred"] == "en" and strict["score"] > 0
+
+
+def test_language_by_definition(spark):
+    """Dictionaries hold pieces of whole texts; sizes are those of plain compression of equal blocks."""
+    import zstandard as zstd
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    known = language_id.fit(docs)
+    rows = [r for r in docs.collect() if r["text"]]
+    texts = {lang: " ".join(r["text"].lower() for r in rows if r["lang"] == lang) for lang in known}
+    for lang, raw in known.items():
+        lines = raw.decode("utf-8", "ignore")
+        assert len(raw) <= language_id.DICT_BYTES and lines[1:200] in texts[lang] or lines[1:40] in texts[lang]
+    got = {r["doc_id"]: r for r in language_id.classify(docs, known).collect()}
+    how = zstd.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=3, target_length=16, strategy=zstd.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+    for r in rows:
+        raw = r["text"].lower().encode()
+        k = -(-len(raw) // 2048)
+        step = -(-len(raw) // max(1, k))
+        sizes = {}
+        for lang, d in known.items():
+            z = zstd.ZstdCompressor(compression_params=how, dict_data=zstd.ZstdCompressionDict(d, dict_type=zstd.DICT_TYPE_RAWCONTENT))
+            lead = d[len(d) // 2 :][:256]
+            sizes[lang] = sum(len(z.compress(lead + raw[i : i + step])) for i in range(0, len(raw), step))
+        first, second = sorted(sizes.values())[:2]
+        if not any(map(str.isalpha, r["text"])):
+            continue
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 - first / second, abs=5e-3) and (first == second or abs(first - second) < 3 or got[r["doc_id"]]["lang_pred"] == min(sizes, key=sizes.get))
+
+
+def test_one_id_of_most_rows_teaches_once(spark):
+    rows = [("en", f"the house of number {i % 5} and more", 1) for i in range(3000)] + [("de", f"das haus nummer {i} und mehr", i) for i in range(40)]
+    known = language_id.fit(spark.createDataFrame(rows, "lang string, text string, doc_id long"))
+    assert list(known) == ["en", "de"] and len(known["en"]) < 60 and len(known["de"]) > 600
 
 
 def test_quality_held_out(spark):
@@ -58,13 +96,15 @@ def test_quality_held_out(spark):
 
 def test_quality_edges(spark):
     none = quality.fit(docs_of(spark, EDGES), spark.createDataFrame([], "doc_id long, y int"), "y")
-    assert {r["quality_score"] for r in quality.score(docs_of(spark, EDGES), none, keep=["doc_id"]).collect()} == {0.5}
+    assert {r["quality_score"] for r in quality.score(docs_of(spark, EDGES), none).collect()} == {0.5}
     rows = [(i, "fine words here" if i % 2 else "### bad !! $$$") for i in range(60)]
     model = quality.fit(docs_of(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 9), (None, 1)], "doc_id long, y int"), "y")
-    got = quality.score(docs_of(spark, EDGES + [(90, "fine words"), (91, "### !!")]), model, keep=["doc_id"]).collect()
+    scored = quality.score(docs_of(spark, EDGES + [(90, "fine words"), (91, "### !!")]).withColumn("Quality_Score", F.lit("x")), model)
+    assert scored.columns == [*docs_of(spark, []).columns, "quality_score"]
+    got = scored.collect()
     by = {r["doc_id"]: r["quality_score"] for r in got}
     assert len(got) == len(EDGES) + 2 and by[90] > 0.5 > by[91] and by[1] == by[2] == by[3] and all(0 <= s <= 1 for s in by.values())
-    assert quality.score(docs_of(spark, []), model, keep=["doc_id"]).count() == 0
+    assert quality.score(docs_of(spark, []), model).count() == 0
 
 
 def test_features_do_not_depend_on_batching():
@@ -78,6 +118,33 @@ def test_features_do_not_depend_on_batching():
     assert whole[0] == pytest.approx(1 / (1 + np.exp(-(quality.SCALE * w[quality.features(pa.array(texts[:1]))[0]].astype(float).mean() + 0.1))), rel=1e-6)
 
 
+def test_ftrl_like_plain_python():
+    import math
+
+    rng = np.random.default_rng(7)
+    rows = [(np.unique(rng.integers(0, 40, 6)), None, int(rng.integers(0, 2))) for _ in range(60)]
+    rows = [(u, rng.random(len(u)) + 0.1, y) for u, _, y in rows]
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= (quality.L1 if i != "bias" else 0.0):
+            return 0.0
+        l1, l2 = (quality.L1, quality.L2) if i != "bias" else (0.0, 0.0)
+        return -(z[i] - math.copysign(l1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + l2)
+
+    for _ in range(2):
+        for u, v, y in rows:
+            x = [(int(i), float(k)) for i, k in zip(u, v)] + [("bias", 1.0)]
+            w = {i: weight(i) for i, _ in x}
+            g = 1 / (1 + math.exp(-sum(w[i] * k for i, k in x))) - y
+            for i, k in x:
+                s = (math.sqrt(n[i] + (g * k) ** 2) - math.sqrt(n[i])) / quality.ALPHA
+                z[i] += g * k - s * w[i]
+                n[i] += (g * k) ** 2
+    w, bias = quality.ftrl(rows, 2)
+    assert np.allclose(w[:40], [weight(i) for i in range(40)], atol=1e-6) and bias == pytest.approx(weight("bias")) and np.abs(w[:40]).sum() > 0
+
+
 def test_ftrl_learns_a_line():
     rng = np.random.default_rng(1)
     rows = []
@@ -88,23 +155,75 @@ def test_ftrl_learns_a_line():
     assert np.mean([(w[u] @ v + b > 0) == y for u, v, y in rows]) > 0.93
 
 
-def test_rates_like_numpy(spark):
+def plain_rates(n, p, target, top=1.0):
+    """The steps of the docstring on whole arrays."""
+    whole, r, free = (p * n[:, None]).T @ p, np.full(len(n), top), None
+    k = p.shape[1]
+    size = lambda m: m @ np.linalg.solve(whole + 1e-9 * np.trace(whole) * np.eye(k), m)
+    for _ in range(mixing.STEPS):
+        miss = (r[:, None] * p * n[:, None]).sum(axis=0) - target
+        if (np.abs(miss) <= mixing.TOLERANCE * np.maximum(target, 1)).all():
+            return r
+        for gram in (whole if free is None else (p[free] * n[free, None]).T @ p[free], whole):
+            tried = np.clip(r - p @ np.linalg.solve(gram + 1e-9 * np.trace(whole) * np.eye(k), miss), 0, top)
+            if gram is whole or size((tried[:, None] * p * n[:, None]).sum(axis=0) - target) < 0.9 * size(miss):
+                break
+        r = tried
+        free = (r > 0) & (r < top)
+    raise AssertionError
+
+
+@pytest.mark.parametrize("weights,sharp", [([0.5, 0.3, 0.2], 0.3), ([0.97, 0.02, 0.01], 0.3), ([0.3, 0.2, 0.5], 3.0)])
+def test_rates_like_numpy(spark, weights, sharp):
     rng = np.random.default_rng(4)
-    p = rng.dirichlet([0.3, 0.3, 0.3], 400)
-    n = rng.integers(1, 500, 400)
+    p = rng.dirichlet([sharp] * 3, 400)
+    n = rng.integers(0, 500, 400)
     df = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(400)], "doc_id long, tokens long, p array<double>")
-    got = mixing.fit_rates(df, [0.5, 0.3, 0.2], steps=25).orderBy("doc_id").toPandas()["rate"].to_numpy()
-    at_one = (p * n[:, None]).sum(axis=0)
-    target = np.array(mixing.feasible(at_one.tolist(), [0.5, 0.3, 0.2], 1.0, None))
-    r = np.ones(400)
-    for _ in range(25):
-        have = (r[:, None] * p * n[:, None]).sum(axis=0)
-        if (np.abs(have - target) <= mixing.TOLERANCE * target).all():
-            break
-        r = np.clip(r - p @ ((have - target) / at_one), 0, 1)
-    assert np.allclose(got, r, atol=1e-9) and got.min() >= 0 and got.max() <= 1
+    got = mixing.fit_rates(df, weights).orderBy("doc_id").toPandas()["rate"].to_numpy()
     have = (got[:, None] * p * n[:, None]).sum(axis=0)
-    assert np.allclose(have / have.sum(), [0.5, 0.3, 0.2], atol=0.02)
+    assert np.allclose(have / have.sum(), weights, rtol=2e-4) and got.min() >= 0 and got.max() <= 1
+    bound = ((p * n[:, None]).sum(axis=0) / weights).min()
+    assert 0.05 * bound < have.sum() <= bound
+    assert np.allclose(got, plain_rates(n.astype(float), p, have.sum() * np.array(weights)), atol=2e-3)
+    q, cells = mixing.cells(df, 3)
+    assert len(q) <= mixing.CELLS and q.sum() == n.sum() and np.allclose(q @ cells, n @ p)
+
+
+def test_totals_out_of_reach(spark):
+    df = spark.createDataFrame([(1, 100, [0.9, 0.1]), (2, 50, [0.2, 0.8])], "doc_id long, tokens long, p array<double>")
+    with pytest.raises(ValueError, match="no rates"):
+        mixing.fit_rates(df, [0.99, 0.01], total=140.0)
+    even = df.withColumn("p", F.array(F.lit(0.5), F.lit(0.5)))
+    assert {r["rate"] for r in mixing.fit_rates(even, [0.9, 0.1]).collect()} == {1.0}
+    assert mixing.fit_rates(df.limit(0), [0.9, 0.1]).count() == 0
+
+
+def test_memberships_by_definition(spark):
+    import math
+
+    import xxhash
+
+    rng = random.Random(12)
+    words = {"good": [f"g{i}" for i in range(30)], "bad": [f"b{i}" for i in range(30)]}
+    rows = [(i, " ".join(rng.choices(words["good" if i % 3 else "bad"] + [f"n{j}" for j in range(20)], k=rng.randint(1, 60)))) for i in range(200)] + [(900, None), (901, " ")]
+    known = [(i, "good" if i % 3 else "bad") for i in range(150)]
+    model = mixing.fit_domains(docs_of(spark, rows), spark.createDataFrame(known, "doc_id long, domain string"), ["good", "bad"])
+    got = {r["doc_id"]: r for r in mixing.memberships(docs_of(spark, rows), model).collect()}
+    bucket = lambda w: ((xxhash.xxh64(w.encode(), seed=42).intdigest() + 2**63) % 2**64 - 2**63) % mixing.BUCKETS
+    sets = {i: {bucket(w) for w in (t or "").split()} for i, t in rows}
+    held = Counter(d for _, d in known)
+    n = {d: Counter(b for i, x in known if x == d for b in sets[i]) for d in held}
+    total, smooth = 150, max(5.0, mixing.SMOOTH * 150)
+    odds = {}
+    for b in {b for s in sets.values() for b in s}:
+        common = n["good"][b] + n["bad"][b]
+        share = {d: math.log((n[d][b] + smooth * (common + 0.5) / (total + 1)) / (held[d] + smooth)) for d in held}
+        if common >= max(4.0, mixing.SEEN * total) and abs(share["bad"] - share["good"]) >= mixing.WEAK:
+            odds[b] = share["bad"] - share["good"]
+    prior = {d: math.log((held[d] + 1) / (total + 2)) for d in held}
+    for i, t in rows:
+        x = max(-mixing.EVIDENCE, min(mixing.EVIDENCE, sum(odds.get(b, 0.0) for b in sets[i]))) + prior["bad"] - prior["good"]
+        assert got[i]["p"][1] == pytest.approx(1 / (1 + math.exp(-x)), abs=1e-9) and got[i]["tokens"] == len((t or "").split())
 
 
 def test_mixing_edges(spark):
