@@ -20,8 +20,7 @@ MIN_MARGIN = 0.02
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; the rest, and those without a letter, go."""
-    found = language_id.classify(docs, language_id.fit(docs), min_margin=MIN_MARGIN)
-    return found.filter("not rejected").select(*docs.columns)
+    return language_id.keep_known(docs, language_id.fit(docs), min_margin=MIN_MARGIN)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +41,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 2048 tokens."""
     digest = lambda p: p.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack_documents(docs, tokenizer_path(), end_id=0, derive=digest, lean=True)
+    return packing.pack_documents(docs, tokenizer_path(), end_id=0, derive=digest)
 
 
 STAGES = [("language ID", language), ("exact dedup", exact), ("near duplicates", near), ("mixing", mixed), ("packing", packed)]
