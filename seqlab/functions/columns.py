@@ -68,28 +68,3 @@ def age_years(day: Column, birth: Column) -> Column:
 def general_number(c: Column) -> Column:
     """A number as text without trailing zeros: 100, 0.5, 0.25."""
     return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", c.cast("double")), "0+$", ""), r"\.$", "")
-
-
-def frame_rows(span: int) -> int:
-    """So many rows back, what is older weighs less than 1e-17 in an average of this span."""
-    keep = 1 - 2 / (span + 1)
-    rows, weight = 1, 1.0
-    while weight > 1e-17:
-        weight, rows = weight * keep, rows + 1
-    return rows
-
-
-def ewma(values: Column, span: int) -> Column:
-    """The exponentially weighted mean of an array of struct<v: double> in order of time.
-
-    Recursive form with alpha = 2 / (span + 1): the first value seeds it; a null lets the weight of the past decay and changes nothing else.
-    """
-    a = 2 / (span + 1)
-
-    def step(state: Column, x: Column) -> Column:
-        v, past = x["v"], state["w"] * (1 - a)
-        mean = F.when(v.isNull(), state["m"]).when(state["m"].isNull(), v).otherwise((past * state["m"] + a * v) / (past + a))
-        return F.struct(mean.alias("m"), F.when(v.isNull(), past).otherwise(F.lit(1.0)).alias("w"))
-
-    start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(1.0).alias("w"))
-    return F.aggregate(values, start, step)["m"]

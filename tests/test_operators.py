@@ -56,8 +56,8 @@ def test_agreement(spark):
 
 def test_side_by_side_refuses_repeated_keys(spark):
     df = spark.createDataFrame([(1, "a", 0, 0), (1, "a", 0, 1)], "k int, model string, true_class int, predicted_class int")
-    with pytest.raises(ValueError):
-        evaluate.side_by_side(df, ["k"], "model", "a", "b")
+    with pytest.raises(Exception, match="more than one prediction"):
+        evaluate.side_by_side(df, ["k"], "model", "a", "b").collect()
 
 
 def days(n, step=7, start=dt.date(2019, 10, 1)):
@@ -245,10 +245,10 @@ def test_sources(spark, tmp_path):
     spark.createDataFrame([(1, "b"), (1, "a")], "player_id int, name string").write.parquet(f"{p}/n")
     assert files.read_names(spark, f"{p}/n").collect()[0]["name"] == "a"
     (tmp_path / "j").mkdir()
-    (tmp_path / "j" / "12_34.json").write_text('{"mlb": [{"gamedate": "2020-01-01", "GS": "1"}, {"gamedate": "2020-01-02", "GS": 0}]}')
-    (tmp_path / "j" / "13_35.json").write_text('{"mlb": []}')
+    (tmp_path / "j" / "12_34.json").write_text('{"rows": [{"gamedate": "2020-01-01", "GS": "1"}, {"gamedate": "2020-01-02", "GS": 0}]}')
+    (tmp_path / "j" / "13_35.json").write_text('{"rows": []}')
     (tmp_path / "j" / "14_36.json").write_text("{}")
-    rows = files.read_payloads(spark, f"{p}/j", "mlb", "gamedate string, GS string").collect()
+    rows = files.read_payloads(spark, f"{p}/j", "rows", "gamedate string, GS string").collect()
     assert [(r["entity"], r["source_id"], r["GS"]) for r in rows] == [(12, 34, "1"), (12, 34, "0")]
     files.write_report_csv(spark.range(2), f"{p}/r")
     files.write_report_json(spark, f"{p}/s", {"seed": "42"}, board=spark.range(2))
