@@ -7,10 +7,11 @@
 2. ``memberships`` gives each text its posterior of each domain. The evidence for or against a domain is held to EVIDENCE either way, so that long
    texts stay soft members.
 3. ``fit_rates`` finds a rate from 0 to ``top`` for each document such that the expected tokens of the domains, the sum of rate * tokens * posterior,
-   come to the targets: projected gradient steps on the squared misfit. A step's length in each direction comes from the domains' Gram matrix (tokens
-   * posterior * posterior) of the documents whose rate is free to move; where such a step does not lower the misfit, the Gram matrix of all
-   documents sets a length that must. A step is one sum over all documents of as many numbers as there are pairs of domains; nothing else
-   leaves the executors.
+   come to the targets, with the least squared distance (weighed by tokens) of the rates from ``top``: projected gradient steps, in which the moves
+   add up and a document's rate is the projection of top - moves * posterior on 0 to ``top``. The gradient, which is the misfit, is scaled by the
+   domains' Gram matrix (tokens * posterior * posterior) of the documents whose rate is free to move, or of all documents; of several lengths of a
+   step (LENGTHS) the best is taken. One sum over all documents tries them all; nothing leaves the executors but as many numbers for each as there
+   are pairs of domains, and no rates are stored.
 4. ``mix`` keeps a document where a hash of its id, as a number from 0 to 1, is below its rate.
 
 Tokens are the text's words. The target total, unless one is given, is SLACK times the largest that one rate for each cell of similar posteriors
@@ -43,10 +44,11 @@ STEPS = 60
 #: Posteriors are summed up in so many cells to find the total.
 CELLS = 4_000
 SLACK = 0.99
+#: Lengths of a step that are tried, by the Gram matrix of the documents free to move and by that of all.
+LENGTHS = ((1.0, 0.4, 0.1), (1.0, 10.0, 100.0))
 #: Of all tokens at the rate top: a smaller total is no mix.
 LEAST = 0.001
 TOLERANCE = 1e-4
-CUT_EVERY = 8
 SEED = 17
 
 
@@ -109,31 +111,33 @@ def memberships(docs: DataFrame, model: tuple[DataFrame, list[float]], id_col: s
     return rows.withColumn("_e", scaled).select(id_col, "tokens", F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
 
 
-def _settle(tokens: np.ndarray, p: np.ndarray, target: np.ndarray, top: float, steps: int = 300) -> bool:
+def _settle(tokens: np.ndarray, p: np.ndarray, target: np.ndarray, top: float, steps: int = 100) -> bool:
     """Whether rates from 0 to top bring these cells to the targets: fit_rates on arrays."""
-    whole = (p * tokens[:, None]).T @ p
-    rate, free = np.full(len(p), top), np.ones(len(p), dtype=bool)
-    miss = top * tokens @ p - target
-    for _ in range(steps):
-        if (np.abs(miss) <= 0.1 * TOLERANCE * np.maximum(target, 1.0)).all():
-            return True
-        for gram in ((p[free] * tokens[free, None]).T @ p[free], whole):
-            tried = np.clip(rate - p @ _direction(gram, whole, miss), 0.0, top)
-            left = tokens * tried @ p - target
-            if gram is whole or _misfit(left, whole) < 0.9 * _misfit(miss, whole):
-                break
-        rate, miss = tried, left
-        free = (rate > 0) & (rate < top)
-    return False
 
+    def at(move: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        rate = np.clip(top - p @ move, 0.0, top)
+        free = (rate > 0) & (rate < top)
+        return tokens * rate @ p, float(tokens @ (top - rate) ** 2), (p[free] * tokens[free, None]).T @ p[free]
 
-def _direction(gram: np.ndarray, whole: np.ndarray, miss: np.ndarray) -> np.ndarray:
-    """What to take off the rates, for each unit of a domain's posterior."""
-    return np.linalg.lstsq(gram + 1e-9 * np.trace(whole) * np.eye(len(miss)), miss, rcond=None)[0]
+    return _ascend(lambda tried: [at(m) for m in tried], target, (p * tokens[:, None]).T @ p, 0.1 * TOLERANCE, steps)[1]
 
 
-def _misfit(miss: np.ndarray, whole: np.ndarray) -> float:
-    return float(miss @ _direction(whole, whole, miss))
+def _ascend(sums, target: np.ndarray, whole: np.ndarray, tolerance: float, steps: int) -> tuple[np.ndarray, bool, np.ndarray]:
+    """(moves, whether they come to the targets, the totals there). sums: some moves to their totals, squared distance and free Gram matrix."""
+    k = len(target)
+    small = 1e-9 * np.trace(whole) * np.eye(k)
+    move, gram = np.zeros(k), whole
+    have, _, _ = sums([move])[0]
+    for _ in range(steps):
+        miss = have - target
+        if (np.abs(miss) <= tolerance * np.maximum(target, 1.0)).all():
+            return move, True, have
+        tried = [move + x * np.linalg.lstsq(g + small, miss, rcond=None)[0] for g, lengths in zip((gram, whole), LENGTHS) for x in lengths]
+        found = sums(tried)
+        # the dual of the least squares problem, which the moves ascend
+        best = max(range(len(tried)), key=lambda t: found[t][1] / 2 + tried[t] @ (found[t][0] - target))
+        move, (have, _, gram) = tried[best], found[best]
+    return move, False, have
 
 
 def cells(members: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,47 +173,28 @@ def fit_rates(members: DataFrame, weights: list[float], top: float = 1.0, total:
     mass = lambda x: F.coalesce(F.sum(x * F.col("tokens")), F.lit(0.0))
     p = F.col("p")
 
-    def sums(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """(expected tokens of each domain, Gram matrix of the rows whose rate is free)."""
-        free = F.when((F.col("rate") > 0) & (F.col("rate") < top), 1.0).otherwise(0.0)
-        row = rows.agg(*[mass(F.col("rate") * p[i]).alias(f"s{i}") for i in range(k)], *[mass(free * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs]).head()
-        gram = np.zeros((k, k))
-        for i, j in pairs:
-            gram[i, j] = gram[j, i] = row[f"g{i}_{j}"]
-        return np.array([row[f"s{i}"] for i in range(k)]), gram
+    def rate(move) -> Column:
+        return F.least(F.greatest(F.lit(float(top)) - sum((F.lit(float(x)) * p[i] for i, x in enumerate(move)), F.lit(0.0)), F.lit(0.0)), F.lit(float(top)))
+
+    def sums(tried: list) -> list[tuple[np.ndarray, float, np.ndarray]]:
+        rows = members.select("tokens", "p", *[rate(m).alias(f"r{t}") for t, m in enumerate(tried)])
+        free = lambda t: F.when((F.col(f"r{t}") > 0) & (F.col(f"r{t}") < top), 1.0).otherwise(0.0)
+        out = []
+        for t in range(len(tried)):
+            r = F.col(f"r{t}")
+            out += [mass(r * p[i]).alias(f"s{t}_{i}") for i in range(k)] + [mass((top - r) * (top - r)).alias(f"d{t}")] + [mass(free(t) * p[i] * p[j]).alias(f"g{t}_{i}_{j}") for i, j in pairs]
+        row = rows.agg(*out).head()
+        gram = lambda t: np.array([[row[f"g{t}_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+        return [(np.array([row[f"s{t}_{i}"] for i in range(k)]), row[f"d{t}"], gram(t)) for t in range(len(tried))]
 
     n, q = cells(members, k)
-    if not len(n):
-        return members.withColumn("rate", F.lit(float(top)))
-    whole = (q * n[:, None]).T @ q
     target = feasible(n, q, weights, top) if total is None else total * np.asarray(weights) / sum(weights)
-    if total is None and target.sum() < LEAST * top * n.sum():
+    if not len(n) or total is None and target.sum() < LEAST * top * n.sum():
         return members.withColumn("rate", F.lit(float(top)))
-    moved = lambda rate, move: F.least(F.greatest(rate - sum((move[i] * p[i] for i in range(k)), F.lit(0.0)), F.lit(0.0)), F.lit(float(top)))
-
-    def after(base: DataFrame, moves: list[np.ndarray]) -> DataFrame:
-        """The moves since the last written rates, one after another."""
-        if not moves:
-            return base
-        turns = F.array(*[F.array(*[F.lit(float(x)) for x in m]) for m in moves])
-        return base.withColumn("rate", F.aggregate(turns, F.col("rate"), moved))
-
-    base, moves = members.withColumn("rate", F.lit(float(top))), []
-    have, gram = sums(base)
-    gram = whole  # at first all rates may fall
-    for _ in range(steps):
-        miss = have - target
-        if (np.abs(miss) <= TOLERANCE * np.maximum(target, 1.0)).all():
-            return after(base, moves)
-        for g in (gram, whole):
-            move = _direction(g, whole, miss)
-            have, gram_after = sums(after(base, [*moves, move]))
-            if g is whole or _misfit(have - target, whole) < 0.9 * _misfit(miss, whole):
-                break
-        moves, gram = [*moves, move], gram_after
-        if len(moves) == CUT_EVERY:
-            base, moves = cut(after(base, moves), "rates"), []
-    raise ValueError(f"no rates from 0 to {top} bring the domains to {target.tolist()} tokens: they have {have.tolist()} after {steps} steps")
+    move, reached, have = _ascend(sums, target, (q * n[:, None]).T @ q, TOLERANCE, steps)
+    if not reached:
+        raise ValueError(f"no rates from 0 to {top} bring the domains to {target.tolist()} tokens: they have {have.tolist()} after {steps} steps")
+    return members.withColumn("rate", rate(move))
 
 
 def chosen(id_: Column, rate: Column, seed: int = SEED) -> Column:
