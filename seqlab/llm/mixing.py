@@ -170,22 +170,20 @@ def fit_rates(members: DataFrame, weights: list[float], top: float = 1.0, total:
     """members with a rate for each row. members: tokens, p; give a written table."""
     k = len(weights)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    mass = lambda x: F.coalesce(F.sum(x * F.col("tokens")), F.lit(0.0))
-    p = F.col("p")
+    every = range(k)
 
-    def rate(move) -> Column:
-        return F.least(F.greatest(F.lit(float(top)) - sum((F.lit(float(x)) * p[i] for i, x in enumerate(move)), F.lit(0.0)), F.lit(0.0)), F.lit(float(top)))
+    def rate(move) -> str:
+        return f"least(greatest({float(top)!r}D - ({' + '.join(f'{float(x)!r}D * p[{i}]' for i, x in enumerate(move))}), 0D), {float(top)!r}D)"
 
     def sums(tried: list) -> list[tuple[np.ndarray, float, np.ndarray]]:
-        rows = members.select("tokens", "p", *[rate(m).alias(f"r{t}") for t, m in enumerate(tried)])
-        free = lambda t: F.when((F.col(f"r{t}") > 0) & (F.col(f"r{t}") < top), 1.0).otherwise(0.0)
+        rows = members.selectExpr("tokens", "p", *[f"{rate(m)} AS r{t}" for t, m in enumerate(tried)])
         out = []
         for t in range(len(tried)):
-            r = F.col(f"r{t}")
-            out += [mass(r * p[i]).alias(f"s{t}_{i}") for i in range(k)] + [mass((top - r) * (top - r)).alias(f"d{t}")] + [mass(free(t) * p[i] * p[j]).alias(f"g{t}_{i}_{j}") for i, j in pairs]
-        row = rows.agg(*out).head()
-        gram = lambda t: np.array([[row[f"g{t}_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-        return [(np.array([row[f"s{t}_{i}"] for i in range(k)]), row[f"d{t}"], gram(t)) for t in range(len(tried))]
+            out += [f"sum(r{t} * p[{i}] * tokens) AS s{t}_{i}" for i in every] + [f"sum(pow({float(top)!r}D - r{t}, 2) * tokens) AS d{t}"]
+            out += [f"sum(CASE WHEN r{t} > 0 AND r{t} < {float(top)!r}D THEN p[{i}] * p[{j}] * tokens ELSE 0D END) AS g{t}_{i}_{j}" for i, j in pairs]
+        row = {c: x or 0.0 for c, x in rows.selectExpr(*out).head().asDict().items()}
+        gram = lambda t: np.array([[row[f"g{t}_{min(i, j)}_{max(i, j)}"] for j in every] for i in every])
+        return [(np.array([row[f"s{t}_{i}"] for i in every]), row[f"d{t}"], gram(t)) for t in range(len(tried))]
 
     n, q = cells(members, k)
     target = feasible(n, q, weights, top) if total is None else total * np.asarray(weights) / sum(weights)
@@ -194,7 +192,7 @@ def fit_rates(members: DataFrame, weights: list[float], top: float = 1.0, total:
     move, reached, have = _ascend(sums, target, (q * n[:, None]).T @ q, TOLERANCE, steps)
     if not reached:
         raise ValueError(f"no rates from 0 to {top} bring the domains to {target.tolist()} tokens: they have {have.tolist()} after {steps} steps")
-    return members.withColumn("rate", rate(move))
+    return members.withColumn("rate", F.expr(rate(move)))
 
 
 def chosen(id_: Column, rate: Column, seed: int = SEED) -> Column:
