@@ -1,20 +1,22 @@
 """Document fingerprints: closed syncmers over words, as DataFrame functions only.
 
-A text is a sequence of words, with K - 1 marks before and after it. A run of K words is an anchor where the least hash of its S-word runs is the
-first or the last of them: whether a run is an anchor depends on nothing outside it, so two texts choose the same anchors wherever they
-agree for K words, however their positions differ. ``anchors`` gives them all, with positions; ``match_positions`` lines two texts up.
+A text is a sequence of units, with K - 1 marks before and after it. Units are its words; a word of more than LONG characters (a text without spaces
+is one) is so many units as it has characters. A run of K units is an anchor where the least hash of its one-unit runs is the first or the last of
+them: whether a run is an anchor depends on nothing outside it, so two texts choose the same anchors wherever they agree for K units, however
+their positions differ. Texts of SHORT characters or fewer have anchors of CHAR_K characters besides, as a few words have too few runs.
+``anchors`` gives all word anchors, with positions; ``match_positions`` lines two texts up.
+
+A fingerprint is the text's anchors, all of them, in order: the position and DIGITS of the hash in hexadecimal; after a bar those of characters where
+the text is short. Nothing is cut off, so it grows with the text, to about the text's own size. ``anchors_in`` reads it.
 
 ``with_alignment`` compares two texts of one row by all their anchors: those whose hash each text has once match wherever they stand, and the
 shift most of them share (the least of several) is that of the texts; anchors that repeat match where they line up at that shift. The matched
-part is 2 * matched / (anchors of both).
-
-The fingerprint keeps the SKETCH anchors with the smallest hashes, in that order, as 12 hexadecimal digits each, for texts that are not at hand
-together. ``likeness`` looks at the SKETCH smallest hashes of two fingerprints together: from the share J of them that both have (the anchors'
-Jaccard similarity, or its bottom-k estimate where there are more) it takes 2J / (1 + J), the part of the two texts' anchors that is shared.
+part is 2 * matched / (anchors of both). ``comparable`` chooses what is compared: characters where both texts are short, else words.
 
-Defined results: null counts as empty; a text without a word has the fingerprint '' and is like another such text (1.0) and unlike all others
-(0.0); equal texts have equal fingerprints; words are cut at white space and A-Z lower-cased; rows that repeat an id follow each other in some
-order; the next document of the last is the first, of a single one itself; null ids come first; an empty table gives an empty table.
+Defined results: null counts as empty; a text without a word has no word anchors, an empty text the fingerprint ''; texts without any anchors are
+like each other (1.0) and unlike all others (0.0); equal texts have equal fingerprints; words are cut at white space and A-Z lower-cased; rows that
+repeat an id follow each other in order of a hash of their texts; the next document of the last is the first, of a single one itself; null ids
+come first; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,26 +28,44 @@ from pyspark.sql.window import Window
 from .common import cut, lower_ascii, shuffle_partitions
 
 K = 5
-SKETCH = 128
-DIGITS = 12
-#: Stands before and after a text; no word holds a space.
-MARK = " "
+CHAR_K = 6
+SHORT = 400
+LONG = 24
+DIGITS = 10
+#: Stands before and after a text; no word holds a space, and no character of a text is two.
+MARK = "  "
+_NONE = "array<bigint>"
 
 
-def word_hashes(text: Column, k: int = K) -> Column:
-    """xxhash64 of each word, with k - 1 marks on either side; empty for a text without words."""
-    words = F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), "[ \\t-\\r]+"), lambda w: w != "")
+def _marked(units: Column, k: int) -> Column:
     mark = F.array_repeat(F.xxhash64(F.lit(MARK)), k - 1)
-    return F.when(F.size(words) > 0, F.concat(mark, F.transform(words, lambda w: F.xxhash64(w)), mark)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(units) > 0, F.concat(mark, F.transform(units, lambda w: F.xxhash64(w)), mark)).otherwise(F.array().cast(_NONE))
+
+
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), "[ \\t-\\r]+"), lambda w: w != "")
+
+
+def unit_hashes(words: Column, k: int = K) -> Column:
+    """xxhash64 of each unit of words_of, with k - 1 marks on either side; empty for a text without words."""
+    cut_up = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > LONG, F.filter(F.split(w, ""), lambda c: c != "")).otherwise(F.array(w))))
+    return _marked(F.when(F.exists(words, lambda w: F.length(w) > LONG), cut_up).otherwise(words), k)
+
+
+def char_hashes(text: Column, k: int = CHAR_K) -> Column:
+    """The same of the characters of a short text; null for others."""
+    units = F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), ""), lambda c: c != "")
+    return F.when(F.length(F.coalesce(text, F.lit(""))) <= SHORT, _marked(units, k))
 
 
 def anchors_of(hashes: Column, k: int = K) -> Column:
-    """array<struct<pos, hash>> in order of position. S is one word: of k words, the least hash is the first or the last."""
+    """array<struct<pos, hash>> in order of position. Of k units, the least hash is the first or the last. hashes must be a column of a table and no
+    expression, as it is read for every place of a run."""
 
     def at(i: Column) -> Column:
         h = [F.get(hashes, i + j) for j in range(k)]
         edge = F.least(h[0], h[-1]) <= (F.least(*h[1:-1]) if k > 3 else h[1])
-        return F.when(edge, F.struct(i.alias("pos"), F.xxhash64(*h).alias("hash")))
+        return F.when(edge, F.struct(i.alias("pos"), F.shiftrightunsigned(F.xxhash64(*h), 64 - 4 * DIGITS).alias("hash")))
 
     runs = F.when(F.size(hashes) >= k, F.transform(F.sequence(F.lit(0), F.size(hashes) - k), at)).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
     return F.filter(runs, lambda x: x.isNotNull())
@@ -53,7 +73,7 @@ def anchors_of(hashes: Column, k: int = K) -> Column:
 
 def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """One row per anchor: id, pos (words before it, marks included), hash."""
-    rows = docs.select(F.col(id_col).alias("id"), word_hashes(F.col(text_col), k).alias("h"))
+    rows = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w")).select("id", unit_hashes(F.col("w"), k).alias("h"))
     return rows.select("id", F.explode(anchors_of(F.col("h"), k)).alias("a")).select("id", "a.pos", "a.hash")
 
 
@@ -67,22 +87,43 @@ def match_positions(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.groupBy("id", "other_id", (F.col("other_pos") - F.col("pos")).alias("shift")).agg(F.count(F.lit(1)).alias("matched"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
-def fingerprint_of(hashes: Column, k: int = K, sketch: int = SKETCH) -> Column:
-    """The fingerprint as a string, from word_hashes."""
+def with_anchors(rows: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """Adds for each name of texts, from a column of texts, <name>_words and <name>_chars: anchors_of its words, and of its characters, which are null
+    for a text that is not short. A null text counts as empty. Each step is a column of its own, so that no array is computed more than once."""
+    kept = rows.columns
+    out = rows.withColumns({f"_w_{n}": words_of(F.col(c)) for n, c in texts.items()})
+    out = out.withColumns({f"_h_{n}": unit_hashes(F.col(f"_w_{n}")) for n in texts} | {f"_c_{n}": char_hashes(F.col(c)) for n, c in texts.items()})
+    chars = lambda n: F.when(F.col(f"_c_{n}").isNotNull(), anchors_of(F.col(f"_c_{n}"), CHAR_K))
+    return out.select(*kept, *[anchors_of(F.col(f"_h_{n}")).alias(f"{n}_words") for n in texts], *[chars(n).alias(f"{n}_chars") for n in texts])
+
+
+def as_text(name: str) -> Column:
+    """The fingerprint, from the columns that with_anchors adds for a name."""
+    one = lambda x: F.concat(F.lower(F.hex(x["pos"])), F.lit(":"), F.lower(F.lpad(F.hex(x["hash"]), DIGITS, "0")))
+    joined = lambda c: F.array_join(F.transform(c, one), " ")
+    words, chars = F.col(f"{name}_words"), F.col(f"{name}_chars")
+    return F.concat(joined(words), F.when(F.size(chars) > 0, F.concat(F.lit("|"), joined(chars))).otherwise(""))
 
-    def at(i: Column) -> Column:
-        h = [F.get(hashes, i + j) for j in range(k)]
-        edge = F.least(h[0], h[-1]) <= (F.least(*h[1:-1]) if k > 3 else h[1])
-        return F.when(edge, F.xxhash64(*h))
 
-    runs = F.when(F.size(hashes) >= k, F.transform(F.sequence(F.lit(0), F.size(hashes) - k), at))
-    return sketch_of(F.array_compact(runs), sketch)
+def read_anchors(rows: DataFrame, fingerprints: dict[str, str]) -> DataFrame:
+    """What with_anchors adds, from columns of fingerprints. Nothing in the fingerprint '' tells the length of its text: it counts as short."""
+    number = lambda x: F.conv(x, 16, 10).cast("bigint")
+    one = lambda x: F.struct(number(F.substring_index(x, ":", 1)).cast("int").alias("pos"), number(F.substring_index(x, ":", -1)).alias("hash"))
+    read = lambda c: F.transform(F.filter(F.split(c, " "), lambda x: x != ""), one)
+    out = {}
+    for n, c in fingerprints.items():
+        out[f"{n}_words"] = read(F.substring_index(c, "|", 1))
+        out[f"{n}_chars"] = F.when(F.col(c).contains("|") | (F.col(c) == ""), read(F.when(F.col(c) == "", "").otherwise(F.substring_index(c, "|", -1))))
+    return rows.withColumns(out)
 
 
-def sketch_of(hashes: Column, sketch: int = SKETCH) -> Column:
-    """The fingerprint as a string, from the hashes of all anchors."""
-    least = F.slice(F.sort_array(F.array_distinct(hashes)), 1, sketch)
-    return F.coalesce(F.array_join(F.transform(least, lambda x: F.lower(F.substring(F.lpad(F.hex(x.bitwiseXOR(F.lit(-(2**63)))), 16, "0"), 1, DIGITS))), ""), F.lit(""))
+def comparable(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Adds <pair>_0 and <pair>_1 for each pair of names: the anchors to compare, of characters where both texts are short, else of words."""
+    out = {}
+    for n, ab in pairs.items():
+        short = F.col(f"{ab[0]}_chars").isNotNull() & F.col(f"{ab[1]}_chars").isNotNull()
+        out |= {f"{n}_{k}": F.when(short, F.col(f"{x}_chars")).otherwise(F.col(f"{x}_words")) for k, x in enumerate(ab)}
+    return rows.withColumns(out)
 
 
 #: Added to the positions of the second text where two are sorted together; no text has as many words.
@@ -120,38 +161,40 @@ def with_alignment(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFr
     matched = lambda n: F.size(f"_shifts_{n}") - F.col(f"_most_{n}")["n"] + F.col(f"_aligned_{n}")
     near = lambda n, a, b: F.coalesce(F.try_divide(2.0 * matched(n), (F.size(a) + F.size(b)).cast("double")), F.lit(1.0))
     found = {n: F.struct(near(n, a, b).alias("near"), F.col(f"_most_{n}")["shift"].alias("shift"), matched(n).alias("matched"), F.col(f"_aligned_{n}").alias("aligned")) for n, (a, b) in pairs.items()}
-    return out.select(*kept, *[c.alias(n) for n, c in found.items()])
+    # through a generator, so that a filter on the result is not worked out below, where every array would be computed anew for each of its elements
+    return out.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in found.items()]))))
 
 
-def likeness(a: Column, b: Column, sketch: int = SKETCH) -> Column:
-    """0 to 1. The digits keep the order of the hashes, so the smallest of both together are known."""
-    cut_up = lambda c: F.when(F.length(c) > 0, F.split(F.regexp_replace(c, f"(.{{{DIGITS}}})(?=.)", "$1 "), " ")).otherwise(F.array().cast("array<string>"))
-    x, y = cut_up(a), cut_up(b)
-    least = F.slice(F.sort_array(F.array_union(x, y)), 1, sketch)
-    shared = F.size(F.array_intersect(F.array_intersect(least, x), y))
-    return F.when(a == b, 1.0).otherwise(F.coalesce(F.try_divide(2.0 * shared, (F.size(least) + shared).cast("double")), F.lit(1.0)))
+def likeness(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Adds for each name of pairs the likeness (0 to 1) of two columns of fingerprints."""
+    held = read_anchors(rows, {f"_{n}{k}": c for n, ab in pairs.items() for k, c in enumerate(ab)})
+    held = comparable(held, {f"_p_{n}": (f"_{n}0", f"_{n}1") for n in pairs})
+    found = with_alignment(held, {n: (f"_p_{n}_0", f"_p_{n}_1") for n in pairs})
+    return found.select(*rows.columns, *[F.col(n)["near"].alias(n) for n in pairs])
 
 
-def with_next(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Adds _next: the row (as a struct) with the next larger id; after the last comes the first. Ids are numbers.
+def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the rows dealt into ranges of the id and sorted: _part, _id, _tie, _text; of each range the text that follows it: _part, _after).
 
-    Ids are dealt into ranges by their quantiles, so that the rows cross the network once; the last row of each range takes the first row of the
-    range after it, from a table of one row for each range.
+    Ranges are made by the ids' quantiles, so texts cross the network once. A range's first row is found by ids and hashes alone; then its text is
+    fetched, one for each range.
     """
-    spark = rows.sparkSession
-    n = max(24, 2 * shuffle_partitions(spark))
-    bounds = rows.select(F.percentile_approx(F.col(id_col), F.array(*[F.lit(i / n) for i in range(1, n)]), 10 * n).alias("q")).head()["q"] or []
+    spark = docs.sparkSession
+    n = ranges or max(24, 2 * shuffle_partitions(spark))
+    bounds = docs.select(F.percentile_approx(F.col(id_col), F.array(*[F.lit(i / n) for i in range(1, n)]), 10 * n).alias("q")).head()["q"] or []
     bounds = sorted(set(bounds))
     part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("_id"))) if bounds else F.lit(0)
-    ranged = rows.select(F.col(id_col).alias("_id"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"))
-    ranged = ranged.withColumn("_part", F.when(F.col("_id").isNull(), -1).otherwise(part))
-    firsts = cut(ranged.groupBy("_part").agg(F.min_by("_row", F.struct(F.col("_id").isNotNull(), "_id")).alias("_first")), "firsts")
-    present = [r["_part"] for r in firsts.select("_part").orderBy("_part").collect()]
-    after = spark.createDataFrame([(p, present[(k + 1) % len(present)]) for k, p in enumerate(present)], "_at int, _part int")
-    follow = after.join(firsts, "_part").select(F.col("_at").alias("_part"), "_first")
-    inside = Window.partitionBy("_part").orderBy("_id")
-    led = ranged.withColumn("_lead", F.lead("_row").over(inside))
-    return led.join(follow, "_part", "left").select("_row.*", F.coalesce("_lead", "_first").alias("_next"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = rows.select(F.when(F.col("_id").isNull(), -1).otherwise(part).alias("_part"), "_id", F.xxhash64("_text").alias("_tie"), "_text")
+    place = F.struct(F.col("_id").isNotNull().alias("a"), F.coalesce("_id", F.lit(0)).alias("b"), F.col("_tie").alias("c"))
+    firsts = rows.groupBy("_part").agg(F.min(place).alias("p")).collect()  # a row for each range
+    order = sorted((r["_part"], r["p"]) for r in firsts)
+    # the row that follows range k is the first of the range after it
+    follows = [(order[k - 1][0], p["a"], p["b"], p["c"]) for k, (_, p) in enumerate(order)]
+    wanted = F.broadcast(spark.createDataFrame(follows, "_at int, a boolean, b long, c long"))
+    same = (F.col("_id").isNotNull() == F.col("a")) & (F.coalesce("_id", F.lit(0)) == F.col("b")) & (F.col("_tie") == F.col("c"))
+    after = cut(rows.join(wanted, same).groupBy("_at").agg(F.min("_text").alias("_after")).withColumnRenamed("_at", "_part"), "after")
+    return rows.repartition(n, "_part").sortWithinPartitions("_part", "_id", "_tie"), after
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -163,4 +206,21 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, text (null: empty) and fingerprint of every row."""
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.withColumn("_hashes", word_hashes(F.col("text"))).select(id_col, "text", fingerprint_of(F.col("_hashes")).alias("fingerprint"))
+    return with_anchors(rows, {"_own": "text"}).select(id_col, "text", as_text("_own").alias("fingerprint"))
+
+
+def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id, text and edited text of every row, with what with_anchors adds for own, new and next: the text, the edited one and the next row's text.
+
+    A text's anchors are computed once, after the shuffle, and are at hand for the row before it.
+    """
+    rows, after = in_order(docs, id_col, text_col)
+    w = Window.partitionBy("_part").orderBy("_id", "_tie")
+    led = with_anchors(rows, {"own": "_text"})
+    led = led.withColumns({"_lead": F.lead("_text").over(w), "_lead_words": F.lead("own_words").over(w), "_lead_chars": F.lead("own_chars").over(w)})
+    # one text for each range, whatever the corpus
+    led = led.join(F.broadcast(after), "_part", "left")
+    led = led.withColumns({"_new": edited(F.col("_text"), F.coalesce("_lead", "_after")), "_last": F.when(F.col("_lead").isNull(), F.col("_after"))})
+    found = with_anchors(led, {"new": "_new", "_other": "_last"})
+    following = [F.when(F.col("_lead").isNull(), F.col(f"_other_{c}")).otherwise(F.col(f"_lead_{c}")).alias(f"next_{c}") for c in ("words", "chars")]
+    return found.select(F.col("_id").alias(id_col), F.col("_text").alias("text"), F.col("_new").alias("edited"), "own_words", "own_chars", "new_words", "new_chars", *following)

@@ -79,15 +79,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = fingerprint.with_next(own).select("doc_id", "text", fingerprint.edited(F.col("text"), F.col("_next.text")).alias("edited"), F.col("_next.text").alias("following"))
-    texts = ("text", "edited", "following")
-    hashed = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[fingerprint.word_hashes(F.col(c)).alias(c) for c in texts])
-    anchored = hashed.withColumns({c: fingerprint.anchors_of(F.col(c)) for c in texts})
-    found = fingerprint.with_alignment(anchored, {"to_edited": ("text", "edited"), "to_next": ("text", "following")})
-    sketch = lambda c: fingerprint.sketch_of(F.col(c)["hash"])
-    return found.select("doc_id", "n_chars", "edited_sha256", sketch("text").alias("fingerprint"), sketch("edited").alias("edited_fingerprint"), F.col("to_edited.near").alias("near_edited"), F.col("to_next.near").alias("near_next"))
-
+    rows = fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
+    pairs = {"to_edited": ("own", "new"), "to_next": ("own", "next")}
+    found = fingerprint.with_alignment(fingerprint.comparable(rows, pairs), {n: (f"{n}_0", f"{n}_1") for n in pairs})
+    digest = [F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint.as_text("own").alias("fingerprint"), fingerprint.as_text("new").alias("edited_fingerprint")]
+    return found.select("doc_id", *digest, F.col("to_edited.near").alias("near_edited"), F.col("to_next.near").alias("near_next"))
 
 
 #: The rules of the contract.

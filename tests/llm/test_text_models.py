@@ -1,6 +1,7 @@
 """Language ID, quality, mixing and fingerprints: held-out accuracy, brute force, edges."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -246,7 +247,7 @@ def test_anchors_by_definition(spark):
     words = [f"w{rng.randrange(500)}" for _ in range(300)]
     docs = docs_of(spark, [(1, " ".join(words)), (2, "new start " + " ".join(words[40:]))])
     found = fingerprint.anchors(docs)
-    hashes = docs.filter("doc_id = 1").select(fingerprint.word_hashes(F.col("text"))).head()[0]
+    hashes = docs.filter("doc_id = 1").select(fingerprint.unit_hashes(fingerprint.words_of(F.col("text")))).head()[0]
     assert len(hashes) == 308 and sorted(r["pos"] for r in found.filter("id = 1").collect()) == syncmers(hashes)
     one, two = found.filter("id = 1"), found.filter("id = 2")
     best = fingerprint.match_positions(one, two).orderBy(F.desc("matched")).head()
@@ -271,7 +272,7 @@ def test_alignment_by_definition(spark):
     base, line = words(300), words(12)
     pairs = [(base, base), (base, base[:150] + ["new"] + base[150:]), (base, words(40) + base[60:]), (line * 20, words(30) + line * 15), (["x"] * 5_000, ["x"] * 4_000), (base, []), ([], []), (words(4), words(3)), (words(900, 40), words(900, 40))]
     rows = spark.createDataFrame([(k, " ".join(a), " ".join(b)) for k, (a, b) in enumerate(pairs)], "k int, a string, b string")
-    held = rows.select("k", *[fingerprint.word_hashes(F.col(c)).alias(c) for c in "ab"]).select("k", *[fingerprint.anchors_of(F.col(c)).alias(c) for c in "ab"])
+    held = rows.select("k", *[fingerprint.unit_hashes(fingerprint.words_of(F.col(c))).alias(c) for c in "ab"]).select("k", *[fingerprint.anchors_of(F.col(c)).alias(c) for c in "ab"])
     got = {r["k"]: r for r in fingerprint.with_alignment(held, {"x": ("a", "b")}).collect()}
     for k in range(len(pairs)):
         a, b = ([(x["pos"], x["hash"]) for x in got[k][c]] for c in "ab")
@@ -291,22 +292,80 @@ def test_a_passage_shared_by_long_texts_is_found(spark, tmp_path):
     assert len(h[0] & h[1]) > 10 and all(r["near_next"] == pytest.approx(want) and r["near_edited"] > 0.7 for r in got)
 
 
+def units_of(t):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+    return [u for w in words for u in (list(w) if len(w) > fingerprint.LONG else [w])]
+
+
+def anchors_by_definition(units, k):
+    """(pos, hash) of runs of k units, k - 1 marks about them."""
+    import xxhash
+
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    one = lambda u: signed(xxhash.xxh64(u.encode(), seed=42).intdigest())
+    h = [one("  ")] * (k - 1) + [one(u) for u in units] + [one("  ")] * (k - 1) if units else []
+    out = []
+    for i in range(len(h) - k + 1):
+        run = h[i : i + k]
+        if min(run[0], run[-1]) <= min(run[1:-1]):
+            x = 42
+            for v in run:
+                x = xxhash.xxh64((v % 2**64).to_bytes(8, "little"), seed=x).intdigest()
+            out.append((i, x >> (64 - 4 * fingerprint.DIGITS)))
+    return out
+
+
+def plain_fingerprint(t):
+    both = [anchors_by_definition(units_of(t), 5), anchors_by_definition(list("".join(c.lower() if "A" <= c <= "Z" else c for c in t)), fingerprint.CHAR_K) if len(t) <= fingerprint.SHORT else None]
+    text = [" ".join(f"{p:x}:{h:010x}" for p, h in x or []) for x in both]
+    return text[0] + (f"|{text[1]}" if text[1] else ""), both
+
+
+def test_every_column_of_the_query_by_definition(spark, tmp_path):
+    import hashlib
+
+    rng = random.Random(10)
+    words = [f"w{rng.randrange(300)}" for _ in range(900)]
+    texts = [None, "", "a b", "A b", " \n", "x " * 3_000, "a b c d e f g h i j", "thirty letters are in this one", "q" * 700, "".join(rng.choices("日本語文字列", k=500)), " ".join(words), " ".join(words[100:]), " ".join(words[:60]) + " " + "z1" * 40]
+    rows = [(10 * i if i else None, t) for i, t in enumerate(texts)] + [(30, "again"), (30, "a b")]
+    docs_of(spark, rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op5_fingerprints"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    tie = {t or "": spark.range(1).select(F.xxhash64(F.lit(t or ""))).head()[0] for _, t in rows}
+    order = sorted(((i is not None, i or 0, tie[t or ""], t or "") for i, t in rows))
+    want = []
+    for k, (known, i, _, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][3]
+        n = len(t) // 4
+        e = t[: len(t) - n] + following[:n]
+        (f, a), (g, b), (_, c) = map(plain_fingerprint, (t, e, following))
+        near = [aligned_by_definition(*((x[1], y[1]) if x[1] is not None and y[1] is not None else (x[0], y[0])))[0] for x, y in ((a, b), (a, c))]
+        want.append((i if known else None, len(t), hashlib.sha256(e.encode()).hexdigest(), f, g, near[0], near[1]))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[3], r[2])
+    for r, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key)):
+        assert r[:5] == w[:5] and r[5:] == pytest.approx(w[5:])
+    near = {r["doc_id"]: r["near_edited"] for r in got}
+    assert near[70] > 0.5 and near[80] > 0.6 and near[90] > 0.5
+
+
+def test_likeness_of_stored_fingerprints(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    QUERIES["op5_fingerprints"](spark, sf).write.parquet(f"{tmp_path}/f")
+    got = spark.read.parquet(f"{tmp_path}/f")
+    again = fingerprint.likeness(got, {"near": ("fingerprint", "edited_fingerprint")})
+    assert again.filter("abs(near - near_edited) > 1e-9").count() == 0
+    short = got.filter("n_chars between 30 and 400")
+    assert short.count() > 5 and short.filter("near_edited <= 0.5").count() == 0
+
+
 def test_fingerprint_edges(spark):
-    rows = [(1, None), (2, ""), (3, "a b"), (4, "A b"), (5, "x " * 30_000), (6, "a b c d e f g h i j"), (None, "n"), (9, "a b c d e f g h i z")]
-    rows.append((9, rows[-1][1]))
-    own = fingerprint.fingerprints(docs_of(spark, rows))
-    got = fingerprint.with_next(own)
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
-    follow = Counter((order[i][1] or "", order[(i + 1) % len(order)][1] or "") for i in range(len(order)))
-    assert Counter((r["text"], r["_next"]["text"]) for r in got.collect()) == follow
-    fp = {r["doc_id"]: r["fingerprint"] for r in own.collect()}
+    rows = [(1, None), (2, ""), (3, "a b"), (4, "A b"), (5, "x " * 30_000), (None, "n"), (9, " ")]
+    fp = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(docs_of(spark, rows)).collect()}
     assert fp[1] == fp[2] == "" and fp[3] == fp[4] != "" and fp[5] != ""
-    like = lambda a, b: own.limit(1).select(fingerprint.likeness(F.lit(a), F.lit(b))).head()[0]
-    assert like("", "") == 1 and like("", fp[3]) == 0 and like(fp[6], fp[6]) == 1 and 0.3 < like(fp[6], fp[9]) < 1
-    one = fingerprint.with_next(own.filter("doc_id = 3")).head()
-    assert one["_next"]["text"] == "a b" and fingerprint.with_next(own.limit(0)).count() == 0
-    e = own.limit(1).select(fingerprint.edited(F.lit("éabcdefgh"), F.lit("12345"))).head()[0]
-    assert e == "éabcdef12" and own.limit(1).select(fingerprint.edited(F.lit("abcdefgh"), F.lit("1"))).head()[0] == "abcdef1"
+    one = fingerprint.edited_pairs(docs_of(spark, [(3, "a b c d")])).head()
+    assert one["text"] == "a b c d" and one["edited"] == "a b c a" and fingerprint.edited_pairs(docs_of(spark, [])).count() == 0
+    e = spark.range(1).select(fingerprint.edited(F.lit("éabcdefgh"), F.lit("12345")), fingerprint.edited(F.lit("abcdefgh"), F.lit("1"))).head()
+    assert tuple(e) == ("éabcdef12", "abcdef1")
 
 
 def test_held_out_fold(spark):
