@@ -68,16 +68,25 @@ def test_propagation_like_numpy(spark):
     edges = spark.createDataFrame([(f"h{i}", f"h{j}", float(w[i, j])) for i in range(n) for j in range(n) if w[i, j]], "src string, dst string, weight double")
     t, b = rng.random(n), rng.random(n)
     seeds = spark.createDataFrame([(f"h{i}", float(t[i]), float(b[i])) for i in range(n)], "host string, trusted double, blocked double")
-    got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(edges, seeds).collect()}
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(edges, seeds, tolerance=1e-6, steps=120).collect()}
     for k, (m, s) in enumerate(((w, t), (w.T, b))):
-        s = s / s.sum()
         out = m.sum(axis=1, keepdims=True)
         m = np.divide(m, out, out=np.zeros_like(m), where=out > 0)
-        r = s.copy()
-        for _ in range(url_filter.STEPS):
-            moved = r @ m
-            r = url_filter.DAMPING * moved + s * (1 - url_filter.DAMPING * moved.sum())
-        assert np.allclose([got[f"h{i}"][k] for i in range(n)], r)
+        r = np.linalg.solve(np.eye(n) - url_filter.DAMPING * m.T, s)
+        assert np.allclose([got[f"h{i}"][k] for i in range(n)], r / r.sum(), atol=1e-5)
+    with pytest.raises(ValueError, match="still change"):
+        url_filter.propagate(edges, seeds, steps=4)
+
+
+def test_threshold_by_definition(spark):
+    link = lambda *hosts: "".join(f'<a href="https://{h}/x">' for h in hosts)
+    rows = [(1, "http://x.com/de/1", link("mid.net")), (2, "http://mid.net/1", link("x.com", "good.org")), (3, "http://good.org/1", link("mid.net")), (4, "http://bad.net/1", link("x.com")), (5, "http://off.info/1", "")]
+    got = url_filter.judge(pages_of(spark, rows), URL_RULES).collect()
+    hosts = 5
+    for r in got:
+        own = "block" if r["distrust"] > url_filter.FLOOR / hosts and r["distrust"] > url_filter.RATIO * r["trust"] else "allow"
+        assert r["rule"] or r["verdict"] == own
+    assert {r["verdict"] for r in got if not r["rule"]} == {"block", "allow"}
 
 
 def test_host_graph_of_whole_table(spark):
