@@ -4,7 +4,8 @@
 2. Texts whose hash occurs more than once are grouped by (hash, text): that grouping compares their bytes, and again combines copies inside each
    map task, so a text of which there are millions of copies crosses the network once per map task. Other texts are not shuffled at all; a
    sieve lets through those that may matter.
-3. Where one hash stands for different texts, and only there, rows look up their group by the text; elsewhere by the hash. The row of a
+3. ``deduplicate`` decides by ids and hashes; then only the rows that stay, of those that may have a copy, are shuffled with their texts.
+4. Where one hash stands for different texts, and only there, rows look up their group by the text; elsewhere by the hash. The row of a
    large group is held once for each of several salts, so that the rows of one very common text meet it in so many tasks.
 
 Defined results: a null text counts as empty; empty texts are copies of each other; a null id is smaller than any other, and is kept
@@ -68,17 +69,19 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs that stay, one per different text, with the columns of docs. Only texts that may have a copy are shuffled."""
     digests = _digests(docs, id_col, text_col, hash_fn)
     by_hash, by_text = _lookup(docs, id_col, text_col, keep, hash_fn, digests)
-    norm = normalised(F.col(text_col))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), norm.alias("_norm"), hash_fn(norm).alias("_hash"))
     copied = sieve(F.col("_hash"), by_hash, F.col("_hash"))
-    one = Window.partitionBy("_hash", "_who", "_norm").orderBy("_hash")
-    key = [F.col("_hash"), F.struct(F.col("_id").isNull().alias("none"), F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("id")).alias("_who")]
-    keeper = [F.col("_hash"), F.struct(F.col("keep_id").isNull().alias("none"), F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("id")).alias("_who")]
-    maybe = rows.filter(copied).select("*", key[1])
-    plain = maybe.join(by_hash.filter("not _clash").select(*keeper), ["_hash", "_who"], "left_semi")
-    alone = maybe.join(by_hash.select("_hash"), "_hash", "left_anti")
-    kept = plain
+    who = lambda c: F.struct(F.col(c).isNull().alias("none"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("id")).alias("_who")
+    # what stays is found by ids and hashes: a group's keeper, and texts that the sieve let through although they are alone
+    alone = join_hot(digests.filter(copied), by_hash, ["_hash"], "group_size", "_id").filter("group_size is null")
+    plain = by_hash.filter("not _clash").select("_hash", who("keep_id")).unionByName(alone.select("_hash", who("_id")))
+    stay = plain if by_text.isEmpty() else plain.unionByName(by_text.select("_hash", who("keep_id")))
+    stay, plain = cut(stay, "stay"), cut(plain, "plain")
+    norm = normalised(F.col(text_col))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), norm.alias("_norm"), hash_fn(norm).alias("_hash"), who(id_col))
+    both = lambda: F.xxhash64("_hash", "_who")
+    # rows that repeat id and text are combined in the map tasks, before anything is joined
+    maybe = rows.filter(copied & sieve(both(), stay, both())).groupBy("_hash", "_who", "_norm").agg(F.first("_row").alias("_row"))
+    kept = maybe.join(plain, ["_hash", "_who"], "left_semi")
     if not by_text.isEmpty():
-        kept = kept.unionByName(maybe.join(by_text.select(*keeper, "_norm"), ["_hash", "_who", "_norm"], "left_semi"))
-    kept = kept.withColumn("_n", F.row_number().over(one)).filter("_n = 1")
-    return rows.filter(~copied).select("_row.*").unionByName(alone.select("_row.*")).unionByName(kept.select("_row.*"))
+        kept = kept.unionByName(maybe.join(by_text.select("_hash", who("keep_id"), "_norm"), ["_hash", "_who", "_norm"], "left_semi"))
+    return rows.filter(~copied).select("_row.*").unionByName(kept.select("_row.*"))
