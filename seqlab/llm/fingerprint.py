@@ -6,8 +6,8 @@ them: whether a run is an anchor depends on nothing outside it, so two texts cho
 their positions differ. Texts of SHORT characters or fewer have anchors of CHAR_K characters besides, as a few words have too few runs.
 ``anchors`` gives all word anchors, with positions; ``match_positions`` lines two texts up.
 
-A fingerprint is the text's anchors, all of them, in order: the position and DIGITS of the hash in hexadecimal; after a bar those of characters where
-the text is short. Nothing is cut off, so it grows with the text, to about the text's own size. ``anchors_in`` reads it.
+A fingerprint is the text's anchors, all of them, in order: the position and DIGITS of the hash as one hexadecimal number; after a bar those of
+characters where the text is short. Nothing is cut off, so it grows with the text, to about the text's own size. ``read_anchors`` reads it.
 
 ``with_alignment`` compares two texts of one row by all their anchors: those whose hash each text has once match wherever they stand, and the
 shift most of them share (the least of several) is that of the texts; anchors that repeat match where they line up at that shift. The matched
@@ -31,13 +31,14 @@ K = 5
 CHAR_K = 6
 SHORT = 400
 LONG = 24
-DIGITS = 10
+DIGITS = 9
 #: Stands before and after a text; no word holds a space, and no character of a text is two.
 MARK = "  "
 _NONE = "array<bigint>"
 
 
-def _marked(units: Column, k: int) -> Column:
+def marked_hashes(units: Column, k: int) -> Column:
+    """xxhash64 of each unit, with k - 1 marks on either side; empty where there is none. units must be a column of a table."""
     mark = F.array_repeat(F.xxhash64(F.lit(MARK)), k - 1)
     return F.when(F.size(units) > 0, F.concat(mark, F.transform(units, lambda w: F.xxhash64(w)), mark)).otherwise(F.array().cast(_NONE))
 
@@ -46,16 +47,15 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), "[ \\t-\\r]+"), lambda w: w != "")
 
 
-def unit_hashes(words: Column, k: int = K) -> Column:
-    """xxhash64 of each unit of words_of, with k - 1 marks on either side; empty for a text without words."""
+def units_of(words: Column) -> Column:
+    """The words, with those of more than LONG characters cut into characters. words must be a column of a table."""
     cut_up = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > LONG, F.filter(F.split(w, ""), lambda c: c != "")).otherwise(F.array(w))))
-    return _marked(F.when(F.exists(words, lambda w: F.length(w) > LONG), cut_up).otherwise(words), k)
+    return F.when(F.exists(words, lambda w: F.length(w) > LONG), cut_up).otherwise(words)
 
 
-def char_hashes(text: Column, k: int = CHAR_K) -> Column:
-    """The same of the characters of a short text; null for others."""
-    units = F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), ""), lambda c: c != "")
-    return F.when(F.length(F.coalesce(text, F.lit(""))) <= SHORT, _marked(units, k))
+def chars_of(text: Column) -> Column:
+    """The characters of a short text; null for others."""
+    return F.when(F.length(F.coalesce(text, F.lit(""))) <= SHORT, F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), ""), lambda c: c != ""))
 
 
 def anchors_of(hashes: Column, k: int = K) -> Column:
@@ -73,7 +73,7 @@ def anchors_of(hashes: Column, k: int = K) -> Column:
 
 def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """One row per anchor: id, pos (words before it, marks included), hash."""
-    rows = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w")).select("id", unit_hashes(F.col("w"), k).alias("h"))
+    rows = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w")).select("id", units_of(F.col("w")).alias("u")).select("id", marked_hashes(F.col("u"), k).alias("h"))
     return rows.select("id", F.explode(anchors_of(F.col("h"), k)).alias("a")).select("id", "a.pos", "a.hash")
 
 
@@ -91,15 +91,16 @@ def with_anchors(rows: DataFrame, texts: dict[str, str]) -> DataFrame:
     """Adds for each name of texts, from a column of texts, <name>_words and <name>_chars: anchors_of its words, and of its characters, which are null
     for a text that is not short. A null text counts as empty. Each step is a column of its own, so that no array is computed more than once."""
     kept = rows.columns
-    out = rows.withColumns({f"_w_{n}": words_of(F.col(c)) for n, c in texts.items()})
-    out = out.withColumns({f"_h_{n}": unit_hashes(F.col(f"_w_{n}")) for n in texts} | {f"_c_{n}": char_hashes(F.col(c)) for n, c in texts.items()})
-    chars = lambda n: F.when(F.col(f"_c_{n}").isNotNull(), anchors_of(F.col(f"_c_{n}"), CHAR_K))
+    out = rows.withColumns({f"_w_{n}": words_of(F.col(c)) for n, c in texts.items()} | {f"_l_{n}": chars_of(F.col(c)) for n, c in texts.items()})
+    out = out.withColumns({f"_u_{n}": units_of(F.col(f"_w_{n}")) for n in texts})
+    out = out.withColumns({f"_h_{n}": marked_hashes(F.col(f"_u_{n}"), K) for n in texts} | {f"_c_{n}": marked_hashes(F.col(f"_l_{n}"), CHAR_K) for n in texts})
+    chars = lambda n: F.when(F.col(f"_l_{n}").isNotNull(), anchors_of(F.col(f"_c_{n}"), CHAR_K))
     return out.select(*kept, *[anchors_of(F.col(f"_h_{n}")).alias(f"{n}_words") for n in texts], *[chars(n).alias(f"{n}_chars") for n in texts])
 
 
 def as_text(name: str) -> Column:
     """The fingerprint, from the columns that with_anchors adds for a name."""
-    one = lambda x: F.concat(F.lower(F.hex(x["pos"])), F.lit(":"), F.lower(F.lpad(F.hex(x["hash"]), DIGITS, "0")))
+    one = lambda x: F.hex(x["pos"].cast("bigint") * (1 << 4 * DIGITS) + x["hash"])
     joined = lambda c: F.array_join(F.transform(c, one), " ")
     words, chars = F.col(f"{name}_words"), F.col(f"{name}_chars")
     return F.concat(joined(words), F.when(F.size(chars) > 0, F.concat(F.lit("|"), joined(chars))).otherwise(""))
@@ -107,9 +108,8 @@ def as_text(name: str) -> Column:
 
 def read_anchors(rows: DataFrame, fingerprints: dict[str, str]) -> DataFrame:
     """What with_anchors adds, from columns of fingerprints. Nothing in the fingerprint '' tells the length of its text: it counts as short."""
-    number = lambda x: F.conv(x, 16, 10).cast("bigint")
-    one = lambda x: F.struct(number(F.substring_index(x, ":", 1)).cast("int").alias("pos"), number(F.substring_index(x, ":", -1)).alias("hash"))
-    read = lambda c: F.transform(F.filter(F.split(c, " "), lambda x: x != ""), one)
+    one = lambda v: F.struct(F.shiftright(v, 4 * DIGITS).cast("int").alias("pos"), v.bitwiseAND(F.lit((1 << 4 * DIGITS) - 1)).alias("hash"))
+    read = lambda c: F.transform(F.transform(F.filter(F.split(c, " "), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("bigint")), one)
     out = {}
     for n, c in fingerprints.items():
         out[f"{n}_words"] = read(F.substring_index(c, "|", 1))

@@ -29,7 +29,7 @@ BLOCK = 2_048
 LEAD = 256
 UNKNOWN = "und"
 #: Above nearly all texts in none of the learned languages and below nearly all texts in one (README, "Language ID in the pipeline").
-MIN_MARGIN = 0.02
+MIN_MARGIN = 0.03
 
 
 def _few(labelled: DataFrame, often: dict[str, int]) -> DataFrame:

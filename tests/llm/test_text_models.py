@@ -247,7 +247,7 @@ def test_anchors_by_definition(spark):
     words = [f"w{rng.randrange(500)}" for _ in range(300)]
     docs = docs_of(spark, [(1, " ".join(words)), (2, "new start " + " ".join(words[40:]))])
     found = fingerprint.anchors(docs)
-    hashes = docs.filter("doc_id = 1").select(fingerprint.unit_hashes(fingerprint.words_of(F.col("text")))).head()[0]
+    hashes = docs.filter("doc_id = 1").select(fingerprint.marked_hashes(fingerprint.words_of(F.col("text")), 5)).head()[0]
     assert len(hashes) == 308 and sorted(r["pos"] for r in found.filter("id = 1").collect()) == syncmers(hashes)
     one, two = found.filter("id = 1"), found.filter("id = 2")
     best = fingerprint.match_positions(one, two).orderBy(F.desc("matched")).head()
@@ -272,7 +272,7 @@ def test_alignment_by_definition(spark):
     base, line = words(300), words(12)
     pairs = [(base, base), (base, base[:150] + ["new"] + base[150:]), (base, words(40) + base[60:]), (line * 20, words(30) + line * 15), (["x"] * 5_000, ["x"] * 4_000), (base, []), ([], []), (words(4), words(3)), (words(900, 40), words(900, 40))]
     rows = spark.createDataFrame([(k, " ".join(a), " ".join(b)) for k, (a, b) in enumerate(pairs)], "k int, a string, b string")
-    held = rows.select("k", *[fingerprint.unit_hashes(fingerprint.words_of(F.col(c))).alias(c) for c in "ab"]).select("k", *[fingerprint.anchors_of(F.col(c)).alias(c) for c in "ab"])
+    held = rows.select("k", *[fingerprint.marked_hashes(fingerprint.words_of(F.col(c)), 5).alias(c) for c in "ab"]).select("k", *[fingerprint.anchors_of(F.col(c)).alias(c) for c in "ab"])
     got = {r["k"]: r for r in fingerprint.with_alignment(held, {"x": ("a", "b")}).collect()}
     for k in range(len(pairs)):
         a, b = ([(x["pos"], x["hash"]) for x in got[k][c]] for c in "ab")
@@ -317,7 +317,7 @@ def anchors_by_definition(units, k):
 
 def plain_fingerprint(t):
     both = [anchors_by_definition(units_of(t), 5), anchors_by_definition(list("".join(c.lower() if "A" <= c <= "Z" else c for c in t)), fingerprint.CHAR_K) if len(t) <= fingerprint.SHORT else None]
-    text = [" ".join(f"{p:x}:{h:010x}" for p, h in x or []) for x in both]
+    text = [" ".join(f"{(p << 4 * fingerprint.DIGITS) + h:X}" for p, h in x or []) for x in both]
     return text[0] + (f"|{text[1]}" if text[1] else ""), both
 
 
