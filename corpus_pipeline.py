@@ -15,7 +15,7 @@ from seqlab.llm.queries import MIX_WEIGHTS, labelled_domains, tokenizer_path
 
 #: A text is rejected where its best language saves less than this share of the next one's bytes: above nearly all texts in none of the learned
 #: languages and nearly none in them (README, "Language ID in the pipeline").
-MIN_MARGIN = 0.02
+MIN_MARGIN = 0.03
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
