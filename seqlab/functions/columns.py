@@ -33,6 +33,12 @@ def try_date(c: Column) -> Column:
     return c.try_cast("date")
 
 
+def strict_date(c: Column) -> Column:
+    """A date; null stays null, and reading a text that is no date fails."""
+    found = try_date(c)
+    return F.when(found.isNull() & c.isNotNull(), F.raise_error(F.concat(F.lit("not a date: "), c.cast("string"))).cast("date")).otherwise(found)
+
+
 def clean_numbers(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Every named column as a finite double or null."""
     return df.withColumns({c: try_double(F.col(c)) for c in columns})

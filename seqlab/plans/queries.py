@@ -6,9 +6,9 @@ Measures are rounded on both sides, so that the order of a sum cannot change a r
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket, clean_numbers, tertile
@@ -190,7 +190,7 @@ def regular_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- panel ------------------------------------------------------------------------------------------------------------------------------
 
 JOINED = f"""{EVENTS}, {SCORES}, jn AS (
-  SELECT ev.entity, ev.day, count(*) AS event_count, avg(price) AS price, any_value(sc.score) AS score
+  SELECT ev.entity, ev.day, count(*) AS event_count, avg(price) AS price, avg(quantity) AS quantity, avg(discount) AS discount, avg(tax) AS tax, any_value(sc.score) AS score
   FROM ev JOIN sc USING (entity, day) GROUP BY ev.entity, ev.day HAVING count(*) >= {LEAST_EVENTS}
 )"""
 YEARS = ", ".join(map(str, QUALIFY))
@@ -203,14 +203,14 @@ WORKLOAD = """SELECT *, CAST(date_diff('day', lag(day) OVER w, day) AS INT) AS r
 PANEL = f"""{QUALIFIED}, pn AS (SELECT jn.* FROM jn SEMI JOIN ql USING (entity))"""
 
 
-def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+def joined(spark: SparkSession, sf_dir: str, measures: Sequence[str] = ("price",)) -> DataFrame:
     ev = events(spark, sf_dir)
-    outings = rollup.roll_up(ev, KEYS, rollup.means(ev, ["price"]))
+    outings = rollup.roll_up(ev, KEYS, rollup.means(ev, measures))
     return panel.join_scores(outings, scores(spark, sf_dir), "entity", "day", "source_order", count="event_count", least=LEAST_EVENTS)
 
 
-def base_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.only_qualified(joined(spark, sf_dir), "entity", "day", QUALIFY, LEAST_OUTINGS)
+def base_panel(spark: SparkSession, sf_dir: str, measures: Sequence[str] = ("price",)) -> DataFrame:
+    return panel.only_qualified(joined(spark, sf_dir, measures), "entity", "day", QUALIFY, LEAST_OUTINGS)
 
 
 @query(f"WITH {JOINED} SELECT entity, day, event_count, {R('price', 'price')}, {R('score', 'score')} FROM jn")
@@ -287,6 +287,85 @@ def feature_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(full_panel(spark, sf_dir, (4,)).select(*KEYS, "event_count", "price", "score", "prior", "price_mean5", "price_slope5", "score_slope5", "ewma4", "prior_minus_ewma4", "mean_minus_ewma4"))
 
 
+def _window_sql(columns: Sequence[str]) -> str:
+    return ", ".join(f"avg({c}) OVER b AS {c}_mean5, CASE WHEN count({c}) OVER b > 1 THEN regr_slope({c}, pos) OVER b END AS {c}_slope5" for c in columns)
+
+
+WIDE = f"""{PANEL}, wl AS ({WORKLOAD}), wd AS (
+  SELECT *, CASE WHEN count(rest_days) OVER t = 3 AND max(rest_days) OVER t <= 21 THEN raw_density END AS density
+  FROM wl WINDOW t AS (PARTITION BY entity, year(day) ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)
+), hi AS (
+  SELECT *, {_window_sql([*MEASURES, 'score'])}, lag(score) OVER (PARTITION BY entity ORDER BY day) AS prior
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY entity ORDER BY day) AS DOUBLE) AS pos FROM wd)
+  WINDOW b AS (PARTITION BY entity ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)
+), ew AS (
+  SELECT *, {', '.join(f'CASE WHEN len(past) > 0 THEN {ewma_sql(s)} END AS ewma{s}' for s in SPANS)}
+  FROM (SELECT *, list(score) OVER (PARTITION BY entity ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM hi)
+)"""
+#: What a model may be given, but for the differences, which depend on the span.
+POOL = [*[f"{c}_mean5" for c in [*MEASURES, "score"]], *[f"{c}_slope5" for c in [*MEASURES, "score"]], "prior", "rest_days", "previous_count", "density"]
+
+
+def feature_set(name: str, span: int) -> list[str]:
+    """compact: the differences, the score's slope, the workload and the measures' slopes; full: all there is. Each column once, in order."""
+    differences = [f"prior_minus_ewma{span}", f"mean_minus_ewma{span}"]
+    sets = {"compact": [*differences, "score_slope5", "previous_count", "rest_days", "density", *[f"{c}_slope5" for c in MEASURES]], "full": [*POOL, *differences]}
+    return list(dict.fromkeys(sets[name]))
+
+
+def wide_panel(spark: SparkSession, sf_dir: str, spans: Sequence[int] = SPANS) -> DataFrame:
+    """The panel with all features, complete rows only, of whichever set a model uses."""
+    base = panel.season_workload(base_panel(spark, sf_dir, MEASURES), "entity", "day")
+    found = panel.prior_value(panel.history(base, "entity", "day", [*MEASURES, "score"]), "entity", "day", "score")
+    found = panel.differences(panel.ewma_prior(found, "entity", "day", "score", spans), spans, mean="score_mean5")
+    return folds.complete_cases(found, ["score", *POOL, *[f"ewma{s}" for s in spans]])
+
+
+def _set_sql(name: str) -> str:
+    named = {"prior_minus_ewma4": "(prior - ewma4)", "mean_minus_ewma4": "(score_mean5 - ewma4)"}
+    columns = [named.get(c, c) for c in feature_set(name, 4)]
+    return f"SELECT entity, day, '{name}' AS feature_set, {len(columns)} AS features, {R(' + '.join(columns), 'total', 5)} FROM ew WHERE {' AND '.join(f'{c} IS NOT NULL' for c in ['score', *POOL, 'ewma4'])}"
+
+
+@query(f"WITH {WIDE} {_set_sql('compact')} UNION ALL {_set_sql('full')}")
+def feature_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete rows of the panel in either set of features, with the sum of its features."""
+    rows = wide_panel(spark, sf_dir, (4,))
+    sets = [F.struct(F.lit(n).alias("feature_set"), F.lit(len(feature_set(n, 4))).alias("features"), sum((F.col(c) for c in feature_set(n, 4)), F.lit(0.0)).alias("total")) for n in ("compact", "full")]
+    return rounded(rows.select(*KEYS, F.inline(F.array(*sets))), 5)
+
+
+@query(f"""
+WITH {EVENTS}
+SELECT entity, day, count(*) AS event_count, {R('coalesce(avg(tax), avg(discount))', 'charge')} FROM ev GROUP BY entity, day
+""")
+def fallback_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = events(spark, sf_dir)
+    return rounded(rollup.roll_up(ev, KEYS, rollup.coalesce_measures(ev, "charge", ["absent", "tax", "discount"])))
+
+
+@query(f"WITH {EVENTS}, {SCORES} SELECT entity, day, count(*) AS event_count, {R('any_value(score)', 'score')} FROM ev JOIN sc USING (entity, day) GROUP BY entity, day")
+def one_to_one_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = panel.keep_last(scores(spark, sf_dir), KEYS, ["source_order"]).drop("source_order")
+    return rounded(panel.join_one_to_one(rollup.roll_up(events(spark, sf_dir), KEYS, []), latest, KEYS))
+
+
+@query("""
+SELECT r_regionkey AS region, r_name AS name, count(*) AS nations, 2 * count(*) AS read_twice FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL
+""")
+def files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations of each region, written as Parquet (by region) and as CSV, and read back from one directory, from two, and as logs and names."""
+    folder = models._folder(spark, "files")
+    nations = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"))
+    files.write_table(nations, f"{folder}/a")
+    files.write_table(nations, f"{folder}/b", partition_by=["region"])
+    files.write_report_csv(table(spark, sf_dir, "region").select("r_regionkey", "r_name"), f"{folder}/names")
+    files.write_table(files.read_directory(spark, f"{folder}/names").select(F.col("r_regionkey").cast("long").alias("region"), F.col("r_name").alias("name")), f"{folder}/dimension")
+    once = files.read_directories(spark, [f"{folder}/a"]).groupBy("region").agg(F.count(F.lit(1)).alias("nations"))
+    twice = files.read_logs(spark, [f"{folder}/a", f"{folder}/b"]).groupBy("region").agg(F.count(F.lit(1)).alias("read_twice"))
+    return once.join(twice, "region").join(files.read_names(spark, f"{folder}/dimension", "region"), "region").select("region", "name", "nations", "read_twice")
+
+
 # --- dimensions and keys ----------------------------------------------------------------------------------------------------------------
 
 
@@ -533,9 +612,9 @@ def residuals(rows: DataFrame) -> DataFrame:
     return rows.withColumn("residual", F.col("score") - F.col("ewma4"))
 
 
-def two_feature_sql() -> str:
+def two_feature_sql(years: tuple[int, ...] = FOLDS) -> str:
     """Standardised ridge on two features in closed form, from population moments: (C + alpha/n I) w = c."""
-    return f"""{fold_sql(FOLDS)}, rs AS (SELECT *, score - ewma4 AS residual, prior - ewma4 AS x1, price_mean5 AS x2 FROM cl), mo AS (
+    return f"""{fold_sql(years)}, rs AS (SELECT *, score - ewma4 AS residual, prior - ewma4 AS x1, price_mean5 AS x2 FROM cl), mo AS (
   SELECT entity, fold, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(residual) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2,
     corr(x1, x2) AS r12, covar_pop(x1, residual) / stddev_pop(x1) AS c1, covar_pop(x2, residual) / stddev_pop(x2) AS c2
   FROM rs WHERE split = 'train' GROUP BY ALL
@@ -591,53 +670,136 @@ def ridge_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- boosting ---------------------------------------------------------------------------------------------------------------------------
 
-STUMP = {"rounds": 1, "depth": 1, "rate": 0.1, "min_child": 5.0, "reg_lambda": 10.0, "bins": 2}
+STUMP = {"depth": 1, "rate": 0.1, "min_child": 5.0, "reg_lambda": 10.0, "bins": 2}
+
+
+def stump_sql(rounds: int, years: tuple[int, ...] = FOLDS, before: str = "") -> str:
+    """Rounds of stumps on one feature with two bins, split at its lower median; each is one aggregation. The last table has the prediction as pred."""
+    out = f"""{before or fold_sql(years)}, r0 AS (SELECT entity, fold, day, split, score - ewma4 AS residual, prior FROM cl), mu AS (
+  SELECT entity, fold, avg(residual) AS m, quantile_disc(prior, 0.5) AS edge FROM r0 WHERE split = 'train' GROUP BY ALL
+), nd0 AS (SELECT r0.*, m AS pred, CASE WHEN prior > edge THEN 1 ELSE 0 END AS hi FROM r0 JOIN mu USING (entity, fold))"""
+    for k in range(rounds):
+        out += f""", sm{k} AS (
+  SELECT entity, fold, count(*) AS h, count(*) FILTER (WHERE hi = 0) AS hl, count(*) FILTER (WHERE hi = 1) AS hr, coalesce(sum(pred - residual) FILTER (WHERE hi = 0), 0) AS gl,
+    coalesce(sum(pred - residual) FILTER (WHERE hi = 1), 0) AS gr, sum(pred - residual) AS g FROM nd{k} WHERE split = 'train' GROUP BY ALL
+), sp{k} AS (SELECT *, hl >= 5 AND hr >= 5 AND 0.5 * (gl * gl / (hl + 10) + gr * gr / (hr + 10) - g * g / (h + 10)) > 0 AS cuts FROM sm{k}), nd{k + 1} AS (
+  SELECT nd{k}.* REPLACE (pred + 0.1 * CASE WHEN NOT cuts THEN -g / (h + 10) WHEN hi = 0 THEN -gl / (hl + 10) ELSE -gr / (hr + 10) END AS pred) FROM nd{k} JOIN sp{k} USING (entity, fold)
+)"""
+    return out
+
+
+def stumps(rows: DataFrame, rounds: int) -> DataFrame:
+    slim = residuals(rows).select(*KEYS, "fold", "split", "residual", "prior")
+    return models.boost(slim, MODEL_KEYS, ["prior"], "residual", rounds=rounds, **STUMP).filter("split = 'test'")
+
+
+@query(f"WITH {stump_sql(1)} SELECT entity, day, CAST(fold AS INT) AS fold, {R('pred', 'correction', 3)} FROM nd1 WHERE split = 'test'")
+def boosted_stump_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of depth one on one feature with two bins."""
+    return rounded(stumps(classed(spark, sf_dir), 1).select("entity", "day", "fold", "correction"), 3)
+
+
+@query(f"WITH {stump_sql(3)} SELECT entity, day, CAST(fold AS INT) AS fold, {R('pred', 'correction', 3)} FROM nd3 WHERE split = 'test'")
+def boosted_stump_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds, each on what the ones before left."""
+    return rounded(stumps(classed(spark, sf_dir), 3).select("entity", "day", "fold", "correction"), 3)
+
+
+#: The hold-out year by five models: boosted (two rounds of stumps), ridge on two features, the average, the prior value, the majority.
+FIVE = f"""{stump_sql(2, (HOLDOUT,), two_feature_sql((HOLDOUT,)))}, mj AS (
+  SELECT entity, fold, true_class AS majority_class FROM (SELECT entity, fold, true_class, row_number() OVER (PARTITION BY entity, fold ORDER BY count(*) DESC, true_class) AS n FROM cl WHERE split = 'train' GROUP BY entity, fold, true_class) WHERE n = 1
+), fx AS (
+  SELECT cl.entity, cl.day, cl.true_class, q33, q67, prior, ewma4, majority_class, round(ewma4 + 0.5 * (my + w1 * (prior - ewma4 - m1) / s1 + w2 * (price_mean5 - m2) / s2), 5) AS ridge, round(ewma4 + nd2.pred, 5) AS boosted
+  FROM cl JOIN mj USING (entity, fold) JOIN ri USING (entity, fold) JOIN (SELECT entity, fold, day, pred FROM nd2) nd2 USING (entity, fold, day) WHERE split = 'test'
+), fm AS (
+  {' UNION ALL '.join(f"SELECT '{m}' AS model, entity, day, true_class, {m} AS score, {_class_sql(m)} AS predicted_class FROM fx" for m in ('boosted', 'ridge', 'ewma4', 'prior'))}
+  UNION ALL SELECT 'majority', entity, day, true_class, NULL, majority_class FROM fx
+)"""
+
+
+def five_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = classed(spark, sf_dir, (HOLDOUT,))
+    fits = models.fit_ridge(residuals(rows).filter("split = 'train'"), MODEL_KEYS, TWO, "residual", [ALPHA])
+    test = models.score_ridge(rows.filter("split = 'test'").withColumnRenamed("score", "true_score"), fits, MODEL_KEYS, TWO, "ewma4", [0.5]).withColumnRenamed("score", "ridge")
+    test = test.join(stumps(rows, 2).select(*KEYS, "fold", "correction"), [*KEYS, "fold"]).join(folds.majority(rows, MODEL_KEYS), MODEL_KEYS)
+    test = test.withColumn("ridge", F.round("ridge", 5)).withColumn("boosted", F.round(F.col("ewma4") + F.col("correction"), 5))
+    each = [F.struct(F.lit(m).alias("model"), F.col(m).alias("score"), tertile(F.col(m), F.col("q33"), F.col("q67")).alias("predicted_class")) for m in ("boosted", "ridge", "ewma4", "prior")]
+    each.append(F.struct(F.lit("majority").alias("model"), F.lit(None).cast("double").alias("score"), F.col("majority_class").alias("predicted_class")))
+    return test.select(*KEYS, "fold", "true_class", F.inline(F.array(*each)))
+
+
+@query(f"WITH {FIVE} SELECT model, entity, day, true_class, {R('score', 'score', 3)}, predicted_class FROM fm")
+def holdout_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hold-out year in long form: the boosted primary, its ridge companion, the average, the prior value and the majority."""
+    return rounded(five_models(spark, sf_dir).select("model", *KEYS, "true_class", "score", "predicted_class"), 3)
 
 
 @query(f"""
-WITH {fold_sql(FOLDS)}, rs AS (SELECT entity, fold, day, split, score - ewma4 AS residual, prior FROM cl), mu AS (
-  SELECT entity, fold, avg(residual) AS m, quantile_disc(prior, 0.5) AS edge FROM rs WHERE split = 'train' GROUP BY ALL
-), nd AS (SELECT rs.*, m, CASE WHEN prior > edge THEN 1 ELSE 0 END AS hi FROM rs JOIN mu USING (entity, fold)), sm AS (
-  SELECT entity, fold, count(*) AS h, count(*) FILTER (WHERE hi = 0) AS hl, count(*) FILTER (WHERE hi = 1) AS hr, coalesce(sum(m - residual) FILTER (WHERE hi = 0), 0) AS gl, coalesce(sum(m - residual) FILTER (WHERE hi = 1), 0) AS gr, sum(m - residual) AS g
-  FROM nd WHERE split = 'train' GROUP BY ALL
-), sp AS (SELECT *, hl >= 5 AND hr >= 5 AND 0.5 * (gl * gl / (hl + 10) + gr * gr / (hr + 10) - g * g / (h + 10)) > 0 AS cuts FROM sm)
-SELECT entity, day, CAST(fold AS INT) AS fold, {R('m + 0.1 * CASE WHEN NOT cuts THEN -g / (h + 10) WHEN hi = 0 THEN -gl / (hl + 10) ELSE -gr / (hr + 10) END', 'correction', 3)}
-FROM nd JOIN sp USING (entity, fold) WHERE split = 'test'
+WITH {FIVE}, w AS (SELECT a.true_class, a.predicted_class AS p, b.predicted_class AS q FROM fm a JOIN fm b USING (entity, day) WHERE a.model = 'boosted' AND b.model = 'ridge')
+SELECT count(*) AS n, count(*) FILTER (WHERE p = q) AS n_agree, {R('avg(CAST(p = q AS INT))', 'agreement_rate')}, {R('avg(CAST(p = true_class AS INT)) FILTER (WHERE p = q)', 'accuracy_agree')},
+  {R('avg(CAST(p = true_class AS INT)) FILTER (WHERE p <> q)', 'first_accuracy_disagree')}, {R('avg(CAST(q = true_class AS INT)) FILTER (WHERE p <> q)', 'second_accuracy_disagree')} FROM w
 """)
-def boosted_stump_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One round of depth one on one feature with two bins, split at its lower median."""
-    rows = residuals(classed(spark, sf_dir)).select(*KEYS, "fold", "split", "residual", "prior")
-    return rounded(models.boost(rows, MODEL_KEYS, ["prior"], "residual", **STUMP).filter("split = 'test'").select("entity", "day", "fold", "correction"), 3)
+def fitted_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the boosted model and its ridge companion agree on the hold-out year."""
+    return rounded(evaluate.agreement(evaluate.side_by_side(five_models(spark, sf_dir), [*KEYS, "fold"], "model", "boosted", "ridge")))
+
+
+@query(f"""
+WITH {STABILITY}, b2 AS (SELECT model, round(b - 0.5 * s, 8) AS score FROM st)
+SELECT {R("max(score) FILTER (WHERE model = 'ewma4') - max(score) FILTER (WHERE model = 'prior')", 'advantage')}, max(score) FILTER (WHERE model = 'ewma4') - max(score) FILTER (WHERE model = 'prior') >= 0.005 AS promoted FROM b2
+""")
+def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(search.promotion(rounded(_board(spark, sf_dir), 8), "ewma4", "prior"))
+
+
+# --- whole grids and searches -----------------------------------------------------------------------------------------------------------
+
+#: The two profiles of the grid, and what both share.
+PROFILES = {"shallow": {"rounds": 100, "depth": 1}, "moderate": {"rounds": 150, "depth": 2}}
+SHARED = {"rate": 0.03, "min_child": 5.0, "reg_lambda": 10.0, "row_share": 0.8, "column_share": 0.8, "bins": 64}
+SET_COLUMNS = {f"{n}_{s}": feature_set(n, s) for n in ("compact", "full") for s in SPANS}
+
+
+def model_rows(spark: SparkSession, sf_dir: str, years: Sequence[int] = FOLDS) -> DataFrame:
+    """Complete rows with classes, by fold. Years after the last fold are refused: a search must not see them."""
+    # written once, as folds and their thresholds both read it
+    found = models._shared(wide_panel(spark, sf_dir).filter(F.year("day") <= max(years)), "panel")
+    rows = folds.fold_table(folds.guard_development(found, "day", max(years)), "day", years, START)
+    return folds.with_classes(rows, folds.thresholds(rows, MODEL_KEYS, "score"), MODEL_KEYS, "score")
+
+
+def _tuned(rows: list) -> list[dict]:
+    """Candidates of the grid with the parameters that their names stand for."""
+    return [{**r.asDict(), "candidate": r["model_id"], **({**SHARED, **PROFILES[r["profile"]]} if r["profile"] else {})} for r in rows]
 
 
 @query()
 def boosted_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three rounds of depth two for all entities and folds at once: metrics by fold."""
-    rows = residuals(classed(spark, sf_dir)).select(*KEYS, "fold", "split", "residual", "ewma4", "true_class", "q33", "q67", *FEATURES)
-    found = models.boost(rows, MODEL_KEYS, FEATURES, "residual", rounds=3, depth=2, rate=0.3, bins=16)
-    scored = found.filter("split = 'test'").withColumn("predicted_class", tertile(F.col("ewma4") + F.col("correction"), F.col("q33"), F.col("q67")))
-    return rounded(evaluate.metrics(scored, ["fold"]))
+    """Both profiles on both sets of features at one span and scale 1, for every entity and fold: metrics by candidate and fold."""
+    few = _tuned(search.candidate_grid(spark, (4,), scales=(1.0,), alphas=(), profiles=tuple(PROFILES)).filter("family = 'boosted'").collect())  # four candidates
+    found = models.candidate_predictions(model_rows(spark, sf_dir), MODEL_KEYS, few, SET_COLUMNS, "score")
+    return rounded(evaluate.metrics(found, ["candidate", "fold"]))
 
 
 @query()
-def staged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled ridge penalties in three stages, fewer candidates over more folds each time; the simplest near the best wins."""
-    rows = models._shared(residuals(classed(spark, sf_dir)).select(*KEYS, "fold", "split", "residual", "ewma4", "true_class", "q33", "q67", *FEATURES), "search")
-    candidates = search.sampled_candidates(spark, 12)
+def grid_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 222 candidates of the grid fitted and scored in every fold, ranked by stability, and within their families."""
+    grid = search.candidate_grid(spark, SPANS)
+    found = models.candidate_predictions(model_rows(spark, sf_dir), MODEL_KEYS, _tuned(grid.collect()), SET_COLUMNS, "score")  # 222 candidates
+    board = evaluate.stability(evaluate.metrics(found, ["candidate", "fold"]), ["candidate"]).withColumnRenamed("candidate", "model_id")
+    return rounded(search.leaderboard(rounded(board, 8).join(grid, "model_id")))
 
-    def evaluated(left: DataFrame, years) -> DataFrame:
-        part = rows.filter(F.col("fold").isin(*years))
-        return _board_of(left, part)
 
-    return rounded(search.staged_search(candidates, evaluated, [((FOLDS[0],), 6), (FOLDS[:2], 3), (FOLDS, 1)]).select("candidate", "depth", "scale", "reg_lambda", "stability_score"))
+@query()
+def staged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """32 sampled boosted candidates, each with all its own parameters: one fold keeps 10, two keep 3, three decide; the simplest near the best wins."""
+    rows = models._shared(model_rows(spark, sf_dir), "search")
+    candidates = search.sampled_candidates(spark, 32)
 
+    def evaluated(left: DataFrame, years) -> DataFrame:
+        chosen = [{**r.asDict(), "family": "boosted", "span": 4, "feature_set": "compact"} for r in left.collect()]  # 32 candidates at most
+        found = models.candidate_predictions(rows.filter(F.col("fold").isin(*years)), MODEL_KEYS, chosen, SET_COLUMNS, "score")
+        return evaluate.stability(evaluate.metrics(found, ["candidate", "fold"]), ["candidate"]).withColumn("candidate", F.col("candidate").cast("int"))
 
-def _board_of(left: DataFrame, part: DataFrame) -> DataFrame:
-    chosen = [(r["candidate"], r["reg_lambda"], r["scale"]) for r in left.select("candidate", "reg_lambda", "scale").collect()]  # a board of candidates
-    fits = models.fit_ridge(part.filter("split = 'train'"), MODEL_KEYS, FEATURES, "residual", [a for _, a, _ in chosen])
-    scored = models.score_ridge(part.filter("split = 'test'"), fits, MODEL_KEYS, FEATURES, "ewma4", [1.0])
-    of = F.inline(F.array(*[F.struct(F.lit(c).alias("candidate"), F.lit(float(a)).alias("a"), F.lit(float(s)).alias("s")) for c, a, s in chosen]))
-    each = scored.select("*", of).filter(F.abs(F.col("a") - F.col("alpha")) < 1e-12)
-    score: Column = F.col("ewma4") + F.col("s") * (F.col("score") - F.col("ewma4"))
-    classes = each.withColumn("predicted_class", tertile(score, F.col("q33"), F.col("q67")))
-    return evaluate.stability(evaluate.metrics(classes, ["candidate", "fold"]), ["candidate"])
+    found = search.staged_search(candidates, evaluated, [((FOLDS[0],), 10), (FOLDS[:2], 3), (FOLDS, 1)])
+    return rounded(found.select("candidate", "depth", "rounds", "rate", "min_child", "reg_lambda", "reg_alpha", "gamma", "row_share", "column_share", "scale", "mean_balanced_accuracy", "stability_score"))

@@ -159,8 +159,9 @@ def test_folds(spark):
     t = {r["fold"]: r for r in folds.thresholds(f, ["entity", "fold"], "v", 25).collect()}
     want = np.quantile(np.tile(np.arange(10.0), 3), [1 / 3, 2 / 3])
     assert list(t) == [2019] and (t[2019]["q33"], t[2019]["q67"]) == pytest.approx(tuple(want))
-    with pytest.raises(ValueError):
-        folds.guard_development(df, "day", 2019)
+    with pytest.raises(Exception, match="must not be seen"):
+        folds.guard_development(df, "day", 2019).count()
+    assert folds.guard_development(df, "day", 2020).count() == df.count()
     tie = spark.createDataFrame([(1, "train", c) for c in (2, 1, 1, 2, 0)], "k int, split string, true_class int")
     assert folds.majority(tie, ["k"]).head()["majority_class"] == 1
     bad = spark.createDataFrame([(1.0,), (math.nan,), (math.inf,), (None,)], "v double")
@@ -211,6 +212,47 @@ def test_boosting_like_numpy(spark):
     assert np.allclose(got, plain_boost(x, y, 3, 0.3, 1.0, 4), atol=1e-8)
 
 
+def test_boosting_of_one_key_is_that_of_all_keys(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(70, 3)), 1)
+    y = np.where(x[:, 0] > 0, 1.0, -1.0) * x[:, 1] + rng.normal(size=70) * 0.3
+    train = np.arange(70) < 55
+    df = spark.createDataFrame([(1, i, "train" if t else "test", *map(float, r), float(v)) for i, (r, v, t) in enumerate(zip(x, y, train))], "k int, i int, split string, a double, b double, c double, y double")
+    for how in ({"depth": 2, "bins": 8, "reg_alpha": 0.2}, {"depth": 3, "bins": 64, "gamma": 0.05}):
+        want = models.boost(df, ["k"], ["a", "b", "c"], "y", rounds=3, rate=0.3, min_child=4.0, reg_lambda=1.0, **how).orderBy("i").toPandas()["correction"]
+        got = models.boost_arrays(x, y, train, rounds=3, rate=0.3, min_child=4.0, reg_lambda=1.0, **how)
+        assert np.allclose(got, want, atol=1e-8)
+    assert np.allclose(models.boost_arrays(x[:, :1], y, np.ones(70, bool), rounds=4, depth=1, rate=0.3, min_child=4.0, reg_lambda=1.0, bins=400), plain_boost(x[:, :1], y, 4, 0.3, 1.0, 4), atol=1e-8)
+    drawn = models.boost_arrays(x, y, train, rounds=200, rate=0.1, row_share=0.7, column_share=0.5)
+    assert np.corrcoef(drawn[train], y[train])[0, 1] > 0.6 and (drawn == models.boost_arrays(x, y, train, rounds=200, rate=0.1, row_share=0.7, column_share=0.5)).all()
+
+
+def test_candidates_of_a_key(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(60, 2)), rng.normal(size=60)
+    rows = [(e, 2000, i, "train" if i < 45 else "test", float(y[i]), -0.4, 0.4, 1, 0.1 * i, *map(float, x[i])) for e in (1, 2) for i in range(60)] + [(3, 2000, 0, "train", 0.0, 0.0, 0.0, 1, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "entity int, fold int, day int, split string, score double, q33 double, q67 double, true_class int, ewma4 double, a double, b double")
+    few = [{"candidate": "e", "family": "ewma", "span": 4}, {"candidate": "r", "family": "ridge", "span": 4, "feature_set": "s", "alpha": 10.0, "scale": 0.5}, {"candidate": "b", "family": "boosted", "span": 4, "feature_set": "s", "scale": 0.25, "rounds": 3, "depth": 1, "bins": 8}]
+    got = models.candidate_predictions(df, ["entity", "fold"], few, {"s_4": ["a", "b"]}, "score", carry=["day"]).toPandas()
+    assert len(got) == 2 * 15 * 3
+    base = df.withColumn("residual", F.col("score") - F.col("ewma4"))
+    fits = models.fit_ridge(base.filter("split = 'train'"), ["entity", "fold"], ["a", "b"], "residual", [10.0])
+    ridge = models.score_ridge(base.filter("split = 'test'").drop("score"), fits, ["entity", "fold"], ["a", "b"], "ewma4", [0.5]).toPandas().sort_values(["entity", "day"])["score"]
+    assert np.allclose(got[got.candidate == "r"].sort_values(["entity", "day"])["score"], ridge)
+    fix = models.boost(base.filter("entity < 3"), ["entity", "fold"], ["a", "b"], "residual", rounds=3, depth=1, bins=8).filter("split = 'test'").toPandas().sort_values(["entity", "day"])
+    assert np.allclose(got[got.candidate == "b"].sort_values(["entity", "day"])["score"], fix["ewma4"] + 0.25 * fix["correction"])
+    e = got[got.candidate == "e"]
+    assert np.allclose(e["score"], 0.1 * e["day"]) and set(e["predicted_class"]) == {2}
+
+
+def test_strict_dates(spark, tmp_path):
+    spark.createDataFrame([("2020-01-02",), (None,)], "day string").write.parquet(f"{tmp_path}/a")
+    spark.createDataFrame([("soon",)], "day string").write.parquet(f"{tmp_path}/b")
+    assert files.read_logs(spark, [f"{tmp_path}/a"], day="day").filter("day = date'2020-01-02'").count() == 1
+    with pytest.raises(Exception, match="not a date"):
+        files.read_logs(spark, [f"{tmp_path}/a", f"{tmp_path}/b"], day="day").collect()
+
+
 def test_candidates(spark):
     grid = search.candidate_grid(spark)
     assert grid.count() == 222 and grid.select("model_id").distinct().count() == 222
