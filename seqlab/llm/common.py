@@ -97,6 +97,18 @@ def row_and_more(found: DataFrame, more: list[str]) -> DataFrame:
     return found.select(*[F.col("_row")[c].alias(c) for c in fields], *more)
 
 
+#: Rows of one Arrow batch at most, as a text may be long.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold Spark's Arrow batches to BATCH_ROWS rows from here on in this session. A DataFrame is run after its function has returned, so the setting
+    cannot be put back; batches of 64 MB, Spark's other bound, took an executor of 3 GB beyond its memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def tidy() -> None:
     """Hand memory that a task has freed back to the system: Python workers live on between tasks, beside the executor's heap."""
     import ctypes

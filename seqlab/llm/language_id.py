@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import row_and_more, tidy
+from .common import row_and_more, small_batches, tidy
 
 SAMPLE_DOCS = 800
 PIECE = 256
@@ -102,6 +102,7 @@ class Classifier:
 
 def _judged(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float, text_col: str, keep: list[str]) -> DataFrame:
     """_row (the columns named in keep), lang_pred, score, rejected. One pass, no shuffle."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)  # DICT_BYTES for each language
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(text_col).alias("_text"))
     row_type = rows.schema["_row"].dataType.simpleString()

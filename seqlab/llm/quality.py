@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_and_more
+from .common import row_and_more, small_batches
 from .shingles import _powers, column_bytes, mix, run_hashes
 
 BITS = 18
@@ -144,6 +144,7 @@ def scores_of(column, w: np.ndarray, bias: float) -> np.ndarray:
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns named in keep (all of docs where None) and quality_score. One pass, no shuffle."""
     spark = docs.sparkSession
+    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
     keep = docs.columns if keep is None else keep
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(text_col).alias("_text"))
