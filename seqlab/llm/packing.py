@@ -39,15 +39,15 @@ STEPS = 300
 BLOCK_ROWS = 1_000
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
-    """id, piece, start, length, ids (little-endian unsigned 32-bit) of every whole text, each document ended by end_id."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, lean: bool = False) -> DataFrame:
+    """id, piece, start, length, ids (little-endian unsigned 32-bit) of every whole text, each document ended by end_id. lean: less memory, more time."""
     small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def split(batches):
         import pyarrow as pa
 
-        for part, ids, at in encode_batches(batches, tokenizer, text_col, end_id):
+        for part, ids, at in encode_batches(batches, tokenizer, text_col, end_id, lean):
             n = np.diff(at)
             many = -(-n // capacity)
             row = np.repeat(np.arange(len(n)), many)
@@ -232,7 +232,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, few: int = FEW, length_col:
     return short.unionByName(alone)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, few: int = FEW, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, derive=None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, few: int = FEW, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, derive=None, lean: bool = False) -> DataFrame:
     """Pieces of all documents with their places. derive: maps the pieces (which hold their ids) to what is to be kept of them."""
-    found = pieces(docs, tokenizer, capacity, id_col, text_col, end_id)
+    found = pieces(docs, tokenizer, capacity, id_col, text_col, end_id, lean)
     return pack(cut(derive(found) if derive else found, "pieces"), capacity, few, order_cols=(id_col, "piece"))

@@ -27,6 +27,8 @@ MEMO = 1_000_000
 CHUNK = 1_000_000
 #: Bytes of text in one batch of results.
 BATCH_BYTES = 8_000_000
+#: The same for workers that must leave memory to others.
+LEAN_MEMO, LEAN_CHUNK = 150_000, 250_000
 #: Longer units are encoded but not remembered.
 LONG = 64
 
@@ -282,17 +284,21 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def encode_batches(batches, path: str, text_col: str, end_id: int):
-    """(part of a batch, ids as unsigned 32-bit numbers, offsets of the rows among them). Ids are those of the text (null: empty), then end_id."""
+def encode_batches(batches, path: str, text_col: str, end_id: int, lean: bool = False):
+    """(part of a batch, ids as unsigned 32-bit numbers, offsets of the rows among them). Ids are those of the text (null: empty), then end_id. lean: the
+    memo is small, and is given up after the task, for workers that live on beside other stages."""
     enc = encoder(path)
+    enc.memo, enc.chunk = (LEAN_MEMO, LEAN_CHUNK) if lean else (MEMO, CHUNK)
     for batch in batches:
         sizes = column_bytes(batch.column(text_col))[1]
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + BATCH_BYTES, side="right")) - 1)
+            to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + (BATCH_BYTES // 4 if lean else BATCH_BYTES), side="right")) - 1)
             part = batch.slice(at, to - at)
             yield part, *enc.encode(part.column(text_col), end_id)
             at = to
+    if lean:
+        enc._forget()
     tidy()
 
 
