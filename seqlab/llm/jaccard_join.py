@@ -17,8 +17,9 @@
 No pair of a group is ever a row, nothing is capped, and a group's memory is bounded by GROUP_TOKENS and one longest text.
 
 Defined results: null and wordless texts have no set and link with nothing; a text of fewer than k words has one shingle, the whole; rows
-that repeat an id count as one document with the links of all of them; rows without an id keep a null component unless an equal set has an
-id, and link with nothing else; an empty table gives an empty table; other columns are ignored.
+that repeat an id are one document, whose texts all have its component (``jaccard_classes``), while ``keep_one_each`` decides by texts, so
+that none is lost with another one of its id; rows without an id keep a null component unless an equal set has an id, and link with nothing
+else; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,9 +69,9 @@ def among(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """id, n, a, b (128 bits of the set), prefix (its first tokens in the global order), bits (its bitmap)."""
+    """_id, _text_hash, n, class (a hash of the set's 128 bits and size, or of the id where it is empty), prefix (its first tokens in the global
+    order), bits (its bitmap)."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, id_col, text_col, k))
-    id_type = docs.schema[id_col].dataType.simpleString()
 
     def sign(batches):
         import pyarrow as pa
@@ -81,8 +82,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
             for s in shingle_sets(batch.column("_text"), k):
                 n.append(len(s))
                 bits.append(bitmap(s).tobytes())
-                a.append(int(mix(s, 1).sum(dtype=np.uint64).astype(np.int64)))
-                b.append(int(mix(s, 2).sum(dtype=np.uint64).astype(np.int64)))
+                x, y = set_key(s)
+                a.append(x)
+                b.append(y)
                 if len(s):
                     rare = among(late, s)
                     first.append(np.concatenate([s[~rare], s[rare]])[: prefix_size(len(s), percent)] if rare.any() else s[: prefix_size(len(s), percent)])
@@ -91,12 +93,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
             at = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32) if first else np.zeros(1, np.int32)
             flat = np.concatenate(first).view(np.int64) if first else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(bits, pa.binary())],
-                ["_id", "n", "a", "b", "prefix", "bits"],
+                [batch.column("_id"), batch.column("_text_hash"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(bits, pa.binary())],
+                ["_id", "_text_hash", "n", "a", "b", "prefix", "bits"],
             )
         tidy()
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(sign, f"_id {id_type}, n long, a long, b long, prefix array<long>, bits binary")
+    slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_text_hash"))
+    signed = slim.mapInArrow(sign, "_id long, _text_hash long, n long, a long, b long, prefix array<long>, bits binary")
+    return signed.withColumn("class", F.when(F.col("n") > 0, F.xxhash64("n", "a", "b")).otherwise(F.xxhash64(F.lit("empty"), "_id")))
+
+
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set."""
+    return tuple(int(mix(s, seed).sum(dtype=np.uint64).astype(np.int64)) for seed in (1, 2))
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -229,7 +238,7 @@ def _opened(k: int, percent: int):
     def open_groups(batches):
         import pyarrow as pa
 
-        now, group, roots = None, None, None
+        now, last, group, roots = None, None, None, None
         ids, sets, copies = [], [], []
         out: list[tuple] = []
 
@@ -268,8 +277,11 @@ def _opened(k: int, percent: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                columns = [part.column(c).to_pylist() for c in ("_gid", "_role", "_id", "_copies")]
+                columns = [part.column(c).to_pylist() for c in ("_gid", "_role", "_class", "_copies")]
                 for gid, role, x, c, s in zip(*columns, shingle_sets(part.column("_text"), k)):
+                    if (gid, role, x) == last:  # another row of the same id and text
+                        continue
+                    last = (gid, role, x)
                     if gid != now:
                         if ids:
                             build()
@@ -303,59 +315,89 @@ def _opened(k: int, percent: int):
     return open_groups
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: the id, n_shingles, component_id (the smallest id reachable by links, itself included), n_links.
-
-    Ids are whole numbers. Two texts link when 100 * (shared shingles) >= percent * (shingles of either).
-    """
+def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a row for each row of docs: _id, _text_hash, n, class; classes: class, who (its least id and that one's text), copies; edges of classes: a, b, links)."""
     spark = docs.sparkSession
     small_batches(spark)
-    signed = cut(signatures(docs, id_col, text_col, k, percent).withColumn("_id", F.col("_id").cast("long")), "signed")
+    signed = cut(signatures(docs, id_col, text_col, k, percent), "signed")
     first = lambda c: F.first(c).alias(c)  # noqa: E731  equal sets have equal ones
-    named = signed.filter(F.col("n") > 0).groupBy("n", "a", "b").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), first("prefix"), first("bits"))
-    classes = cut(named.filter("rep is not null"), "classes")
-    facts = classes.select("rep", "n", "copies", "bits")
+    who = F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "_text_hash"))).alias("who")
+    every = cut(signed.groupBy("class").agg(who, F.count(F.lit(1)).alias("copies"), *[first(c) for c in ("n", "prefix", "bits")]), "classes")
+    classes = every.filter("n > 0 and who is not null")
+    facts = classes.select("class", "n", "copies", "bits")
 
     # tokens that more classes have among their first ones; the rest of the tokens cannot lead anywhere
-    rows = classes.select("rep", F.explode("prefix").alias("token"))
+    rows = classes.select("class", F.explode("prefix").alias("token"))
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     lists = cut(rows.join(shared, "token"), "lists")
-    chosen = lists.groupBy("rep").agg(F.max(F.struct("held", "token"))["token"].alias("key")).join(facts, "rep")
+    chosen = lists.groupBy("class").agg(F.max(F.struct("held", "token"))["token"].alias("key")).join(facts, "class")
     weight = chosen.groupBy("key").agg(F.sum("n").alias("w"))
-    dealt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("w") / GROUP_TOKENS).cast("long"))
-    members = cut(chosen.join(weight, "key").select("rep", "n", "copies", "bits", F.xxhash64("key", dealt).alias("gid")), "members")
+    dealt = F.pmod(F.xxhash64("class"), F.ceil(F.col("w") / GROUP_TOKENS).cast("long"))
+    members = cut(chosen.join(weight, "key").select("class", "n", "copies", "bits", F.xxhash64("key", dealt).alias("gid")), "members")
 
-    placed = lists.select("token", "rep").join(members.select("rep", "gid", "n"), "rep")
+    placed = lists.select("token", "class").join(members.select("class", "gid", "n"), "class")
     matrix = placed.groupBy("token", "gid").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     q, g = placed.alias("q"), matrix.alias("g")
     asks = q.join(g, (F.col("q.token") == F.col("g.token")) & (F.col("g.gid") < F.col("q.gid")) & (F.col("q.n") * percent <= F.col("g.most") * 100) & (F.col("g.least") * percent <= F.col("q.n") * 100))
-    asks = asks.select("q.rep", "g.gid").distinct().join(members.drop("gid"), "rep")
+    asks = asks.select("q.class", "g.gid").distinct().join(members.drop("gid"), "class")
 
     n = max(24, 2 * shuffle_partitions(spark))
-    row = lambda role: [F.col("gid").alias("_gid"), F.lit(role).alias("_role"), F.col("rep").alias("_id"), F.col("copies").alias("_copies"), "n", "bits"]
+    row = lambda role: [F.col("gid").alias("_gid"), F.lit(role).alias("_role"), F.col("class").alias("_id"), F.col("copies").alias("_copies"), "n", "bits"]
     both = members.select(*row(0)).unionByName(asks.select(*row(1))).repartition(n, "_gid").sortWithinPartitions("_gid", "_role")
-    wanted = cut(both.mapInArrow(_screened(percent), "_id long, _gid long, _role int, _copies long"), "wanted")
+    screened = both.mapInArrow(_screened(percent), "_id long, _gid long, _role int, _copies long").withColumnRenamed("_id", "_class")
+    wanted = cut(screened.join(classes.select(F.col("class").alias("_class"), "who.*"), "_class"), "wanted")
 
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    fetched = wanted.join(texts.filter(sieve(F.col("_id"), wanted, F.col("_id"))), "_id")
-    opened = fetched.select("_gid", "_role", "_id", "_copies", "_text").repartition(n, "_gid").sortWithinPartitions("_gid", "_role").mapInArrow(_opened(k, percent), "a long, b long, links long")
-    edges = cut(opened, "links")
+    # a text is found by its id and hash, as an id may have several
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_text_hash"), F.col(text_col).alias("_text"))
+    both = F.xxhash64("_id", "_text_hash")
+    fetched = wanted.join(texts.filter(sieve(both, wanted, both)), ["_id", "_text_hash"])
+    opened = fetched.select("_gid", "_role", "_class", "_copies", "_text").repartition(n, "_gid").sortWithinPartitions("_gid", "_role", "_class").mapInArrow(_opened(k, percent), "a long, b long, links long")
+    return signed.drop("prefix", "bits"), every.select("class", "who", "copies"), cut(opened, "links")
 
-    found = components(edges)
-    links = edges.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+
+def _labels(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """class, who (the least of its component) of classes that edges join to others."""
+    found = components(edges).select(F.col("node").alias("class"), "component")
+    least = found.join(classes, "class").groupBy("component").agg(F.min("who").alias("who"))
+    return found.join(least, "component").select("class", "who")
+
+
+def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: the id, n_shingles, component_id (the smallest id reachable by links, itself included), n_links.
+
+    Ids are whole numbers. Two texts link when 100 * (shared shingles) >= percent * (shingles of either).
+    """
+    signed, classes, edges = _linked(docs, k, percent, id_col, text_col)
+    joined = edges.select("a", "b")
+    # the texts of one id are one document: each of its classes hangs on its first one
+    several = cut(signed.filter("_id is not null").groupBy("_id").agg(F.min("class").alias("a"), F.max("class").alias("_b")).filter("a < _b").select("_id", "a"), "several")
+    if not several.isEmpty():
+        own = signed.filter(sieve(F.col("_id"), several, F.col("_id"))).select("_id", F.col("class").alias("b")).distinct()
+        joined = joined.unionByName(own.join(several, "_id").select("a", "b"))
+    links = edges.groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
+    more = _labels(classes, joined).select("class", F.col("who._id").alias("component"))
     label = (
-        classes.select("n", "a", "b", "rep", "copies")
-        .join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(links, "rep", "left")
+        classes.join(more, "class", "left")
+        .join(links, "class", "left")
         .filter("copies > 1 or component is not null or links > 0")
-        .select("n", "a", "b", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+        .select("class", F.coalesce("component", "who._id").alias("component"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
     )
-    out = join_hot(signed.drop("prefix", "bits"), label, ["n", "a", "b"], "copies", "_id")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = join_hot(signed, label, ["class"], "copies", "_id")
+    n_links = F.when(F.col("n") > 0, F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0))).otherwise(0)
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "_id").alias("component_id"), n_links.alias("n_links"))
 
 
 def keep_one_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component. Rows without an id stay."""
-    found = jaccard_classes(docs, k, percent, id_col, text_col)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast(docs.schema[id_col].dataType)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Of the texts that links join, the one with the smallest id; all other texts. Rows without an id or without words stay; rows that repeat
+    id and text stay or go together."""
+    signed, classes, edges = _linked(docs, k, percent, id_col, text_col)
+    best = classes.join(_labels(classes, edges).withColumnRenamed("who", "best"), "class", "left").filter("copies > 1 or best is not null")
+    best = best.select("class", F.coalesce("best", "who").alias("best"), "copies")
+    rows = join_hot(signed.filter("n > 0 and _id is not null"), best, ["class"], "copies", "_text_hash")
+    gone = cut(rows.filter(F.struct("_id", "_text_hash") != F.col("best")).select("_id", "_text_hash").distinct(), "gone")
+    # only rows that may go are shuffled with their texts
+    key = lambda d: F.xxhash64(d, F.xxhash64(text_col))
+    maybe = sieve(key(F.col(id_col).cast("long")), gone, F.xxhash64("_id", "_text_hash"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    asked = docs.filter(maybe).select(F.struct(*columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_text_hash"))
+    return docs.filter(~maybe).unionByName(asked.join(gone, ["_id", "_text_hash"], "left_anti").select("_row.*"))

@@ -7,7 +7,8 @@ its length. Training reads a bounded sample, the FIT_DOCS labelled rows with the
 one task; the weights (one float for each of 2^BITS) are broadcast.
 
 Defined results: null and empty texts have the score of the bias alone; labels other than 0 and 1, and rows without id or text, teach nothing;
-a document labelled more than once counts each time; without labels every score is 0.5; equal texts have equal scores; other columns pass, but one named quality_score
+a document labelled more than once counts each time, but of the texts
+of one id only the last in order is learnt from; without labels every score is 0.5; equal texts have equal scores; other columns pass, but one named quality_score
 gives way to the result.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_and_more, small_batches
-from .shingles import _powers, column_bytes, mix, run_hashes
+from .shingles import column_bytes, mix, run_hashes
 
 BITS = 18
 FIT_DOCS = 6_000
@@ -104,7 +105,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(id_col).cast("string")).alias("rank"))
     ids = known.orderBy("rank", "id", "y").limit(FIT_DOCS)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    rows = texts.join(F.broadcast(ids), "id").select("rank", "id", "y", "text")  # FIT_DOCS ids at most
+    # FIT_DOCS ids at most, and one text of each, so that an id with many rows is no larger a sample
+    one = texts.join(F.broadcast(ids.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    rows = one.join(F.broadcast(ids), "id").select("rank", "id", "y", "text")
 
     def vectors(batches):
         import pyarrow as pa

@@ -1,8 +1,8 @@
 """Word and shingle hashes of many texts at once, on the bytes of an Arrow column.
 
 Words are maximal runs of bytes other than space and \\t to \\r, after A-Z are lower-cased; all of those are single bytes in UTF-8, so no text
-is decoded. A word's hash is a polynomial in its bytes modulo 2^64, read off prefix sums, then mixed; a shingle's combines its words'.
-Hashes have 64 bits: two different shingles of one comparison agree with a chance of about 2^-64 for each pair.
+is decoded. A word's hash mixes eight bytes at a time into 64 bits; a shingle's is mixed from the sum of its words' hashes, mixed by place.
+Two different shingles of one comparison agree with a chance of about 2^-64 for each pair.
 """
 
 from __future__ import annotations
@@ -23,22 +23,14 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(256, dtype=np.uint64), 7)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        n = max(n, CHUNK)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(n, base, dtype=np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"], _POWERS["down"]
+#: Runs of more bytes are hashed one by one by the library.
+_LONG = 64
+#: The first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 
 
 def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -55,11 +47,25 @@ def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Mixed hash of each run of bytes [start, end)."""
-    up, down = _powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """Mixed hash of each run of bytes [start, end): of its length and then of eight bytes after another; by XXH3 where it is longer than _LONG."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    h = mix(size.astype(np.uint64), 5)
+    short = size <= _LONG
+    live = np.flatnonzero(short & (size > 0))
+    at = 0
+    while len(live):
+        rest = size[live] - at
+        h[live] = mix(h[live] ^ (eight[starts[live] + at] & _FIRST[np.minimum(rest, 8)]))
+        at += 8
+        live = live[rest > 8]
+    if not short.all():
+        import xxhash
+
+        for i in np.flatnonzero(~short):
+            h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes())
+    return h
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

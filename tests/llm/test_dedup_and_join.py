@@ -123,6 +123,38 @@ def test_rows_without_or_with_the_same_id(spark):
     assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter([(1, 1), (1, 1), (None, 1), (None, None), (2, 1)])
 
 
+def test_one_id_with_several_texts_loses_none_of_them(spark):
+    a, b, c = "a b c d e f g", "p q r s t u v", "k l m n o"
+    rows = [(4, b), (5, b), (5, a), (7, a), (5, ""), (9, c), (9, None), (8, "x y"), (8, c)]
+    got = Counter((r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_classes(docs_of(spark, rows)).collect())
+    assert got == Counter([(4, 4), (5, 4), (5, 4), (7, 4), (5, 4), (9, 8), (9, 8), (8, 8), (8, 8)])
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard_join.keep_one_each(docs_of(spark, rows)).collect())
+    assert kept == Counter([(4, b), (5, a), (5, ""), (9, None), (8, "x y"), (8, c)])
+
+
+def test_one_id_on_most_rows(spark):
+    rng = random.Random(3)
+    rows = [(1, " ".join(rng.choices("abcdefghij", k=30))) for _ in range(3000)] + [(i, "one two three four five six") for i in range(2, 300)]
+    got = jaccard_join.jaccard_classes(docs_of(spark, rows).repartition(7)).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter([(1, 1)] * 3000 + [(i, 2) for i in range(2, 300)])
+    kept = jaccard_join.keep_one_each(docs_of(spark, rows).repartition(7))
+    assert kept.count() == 3001 and kept.filter("doc_id = 2").count() == 1
+
+
+def test_words_that_polynomials_confuse():
+    import pyarrow as pa
+
+    for size in (3, 6, 10, 11, 12):
+        t = "a"
+        for _ in range(size):
+            t += t.translate(str.maketrans("ab", "ba"))
+        one, two = shingle_sets(pa.array([t, t.translate(str.maketrans("ab", "ba"))]), 4)
+        assert one.tolist() != two.tolist()
+    words = ["x" * n for n in range(1, 200)] + ["y" + "x" * n for n in range(200)]
+    sets = list(shingle_sets(pa.array([" ".join(words), "z  " + "\n".join(words)]), 1))
+    assert len(sets[0]) == len(words) and set(sets[0].tolist()) <= set(sets[1].tolist())
+
+
 def test_shingles_and_bitmaps():
     import pyarrow as pa
 
