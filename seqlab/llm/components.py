@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sieve
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -39,3 +39,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e = cut(_star(_star(e, True), False), "edges")
     # at the fixed point each node has one edge, to the least node of its component
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def least_of(edges: DataFrame, who: DataFrame, node: str) -> DataFrame:
+    """node, who: of each node with an edge to another, the least ``who`` of its component. who: node, who for every node; nulls are no one's."""
+    found = components(edges).select(F.col("node").alias(node), "component")
+    least = found.join(who.select(node, "who"), node).groupBy("component").agg(F.min("who").alias("who"))
+    return found.join(least, "component").select(node, "who")
+
+
+def edges_of_ids(rows: DataFrame, id_col: str, node: str) -> DataFrame | None:
+    """a, b: for ids that stand at several nodes, from each of them to one. None where there is no such id, which is the rule. Null ids have none."""
+    several = rows.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(node).alias("a"), F.max(node).alias("_b")).filter("a < _b").select(id_col, "a")
+    several = cut(several, "several")
+    if several.isEmpty():
+        return None
+    own = rows.filter(sieve(F.col(id_col), several, F.col(id_col))).select(id_col, F.col(node).alias("b")).distinct()
+    return own.join(several, id_col).select("a", "b")

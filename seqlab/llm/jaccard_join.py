@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, join_hot, shuffle_partitions, sieve, small_batches, tidy
-from .components import components
+from .components import edges_of_ids, least_of
 from .shingles import mix, shingle_sets
 
 SAMPLE = 16
@@ -355,13 +355,6 @@ def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -
     return signed.drop("prefix", "bits"), every.select("class", "who", "copies"), cut(opened, "links")
 
 
-def _labels(classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """class, who (the least of its component) of classes that edges join to others."""
-    found = components(edges).select(F.col("node").alias("class"), "component")
-    least = found.join(classes, "class").groupBy("component").agg(F.min("who").alias("who"))
-    return found.join(least, "component").select("class", "who")
-
-
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: the id, n_shingles, component_id (the smallest id reachable by links, itself included), n_links.
 
@@ -369,13 +362,10 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     signed, classes, edges = _linked(docs, k, percent, id_col, text_col)
     joined = edges.select("a", "b")
-    # the texts of one id are one document: each of its classes hangs on its first one
-    several = cut(signed.filter("_id is not null").groupBy("_id").agg(F.min("class").alias("a"), F.max("class").alias("_b")).filter("a < _b").select("_id", "a"), "several")
-    if not several.isEmpty():
-        own = signed.filter(sieve(F.col("_id"), several, F.col("_id"))).select("_id", F.col("class").alias("b")).distinct()
-        joined = joined.unionByName(own.join(several, "_id").select("a", "b"))
+    own = edges_of_ids(signed, "_id", "class")  # the texts of one id are one document
+    joined = joined if own is None else joined.unionByName(own)
     links = edges.groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
-    more = _labels(classes, joined).select("class", F.col("who._id").alias("component"))
+    more = least_of(joined, classes, "class").select("class", F.col("who._id").alias("component"))
     label = (
         classes.join(more, "class", "left")
         .join(links, "class", "left")
@@ -391,7 +381,7 @@ def keep_one_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     """Of the texts that links join, the one with the smallest id; all other texts. Rows without an id or without words stay; rows that repeat
     id and text stay or go together."""
     signed, classes, edges = _linked(docs, k, percent, id_col, text_col)
-    best = classes.join(_labels(classes, edges).withColumnRenamed("who", "best"), "class", "left").filter("copies > 1 or best is not null")
+    best = classes.join(least_of(edges, classes, "class").withColumnRenamed("who", "best"), "class", "left").filter("copies > 1 or best is not null")
     best = best.select("class", F.coalesce("best", "who").alias("best"), "copies")
     rows = join_hot(signed.filter("n > 0 and _id is not null"), best, ["class"], "copies", "_text_hash")
     gone = cut(rows.filter(F.struct("_id", "_text_hash") != F.col("best")).select("_id", "_text_hash").distinct(), "gone")

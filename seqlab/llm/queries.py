@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprint, jaccard_join, language_id, mixing, packing, quality, token_output, url_filter, warc_audit
+from . import alignment, exact_dedup, fingerprint, jaccard_join, language_id, mixing, packing, quality, simhash, token_output, url_filter, warc_audit
 from .common import held_out, shared_path, table
 
 QUERIES: dict = {}
@@ -146,3 +146,17 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.rates(docs, labelled_domains(table(spark, sf_dir, "labels")), MIX_WEIGHTS)
     p = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(MIX_WEIGHTS)]
     return found.select("doc_id", "tokens", *p, "rate", mixing.chosen(F.col("doc_id"), F.col("rate")).alias("kept"))
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found, _ = alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+    return found
+
+
+@query
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_classes(table(spark, sf_dir, "documents"), threshold=2, k=3)
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id", "n_same")

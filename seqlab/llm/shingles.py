@@ -27,6 +27,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
+_TERM = np.zeros(256, dtype=bool)
+_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: Runs of more bytes are hashed one by one by the library.
 _LONG = 64
 #: The first 0 to 8 bytes of a little-endian word.
@@ -68,20 +70,40 @@ def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return h
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the n + 1 offsets of the rows among them."""
-    raw = _LOWER[raw]
-    inside = ~_SPACE[raw]
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends) of the maximal runs of True that cross no row, and the n + 1 offsets of the rows among them."""
+    n = len(inside)
     before = np.empty_like(inside)
     before[1:] = inside[:-1]
-    before[offsets[:-1][offsets[:-1] < len(raw)]] = False
+    before[offsets[:-1][offsets[:-1] < n]] = False
     starts = np.flatnonzero(inside & ~before)
     after = np.empty_like(inside)
     after[:-1] = inside[1:]
     last = offsets[1:] - 1
     after[last[last >= 0]] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    return run_hashes(raw, starts, ends), np.searchsorted(starts, offsets)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the n + 1 offsets of the rows among them."""
+    starts, ends, rows = runs(~_SPACE[raw], offsets)
+    return run_hashes(_LOWER[raw], starts, ends), rows
+
+
+def term_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for terms: maximal runs of ASCII letters, digits and bytes above 127."""
+    starts, ends, rows = runs(_TERM[raw], offsets)
+    return run_hashes(_LOWER[raw], starts, ends), rows
+
+
+def parts_of(column, size: int = CHUNK):
+    """(slice of the rows of a string column, its bytes, its offsets): as many rows as have size bytes together, one at least."""
+    at, sizes = 0, column_bytes(column)[1]
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + size, side="right")) - 1)
+        yield slice(at, to), *column_bytes(column.slice(at, to - at))
+        at = to
 
 
 def shingle_sets(column, k: int):

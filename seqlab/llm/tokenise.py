@@ -111,20 +111,21 @@ class _Held:
 
 
 class WordEncoder:
-    """Ids of texts as the library gives them with add_special_tokens=False; an added token in a text is that token."""
+    """Ids of texts as the library gives them with add_special_tokens=False; an added token in a text is that token, or with plain=True text like any other."""
 
-    def __init__(self, path: str, memo: int | None = None, chunk: int | None = None):
+    def __init__(self, path: str, memo: int | None = None, chunk: int | None = None, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # units come here once, so the library's own memo only costs
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.n_bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)  # one character of the vocabulary's alphabet stands for one byte
-        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [] if plain else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo, self.chunk = memo or MEMO, chunk or CHUNK
         self._forget()
 
@@ -155,6 +156,9 @@ class WordEncoder:
         self.bytes.add(raw)
         self.ids.add(ids)
 
+    def cuts(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return unit_starts(raw, offsets)
+
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
@@ -238,7 +242,7 @@ class WordEncoder:
     def encode(self, column, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows of an Arrow column of strings, the n + 1 offsets of the rows among them). end: an id after each row's."""
         raw, offsets = column_bytes(column)
-        starts = unit_starts(raw, offsets)
+        starts = self.cuts(raw, offsets)
         ends = np.append(starts[1:], len(raw)).astype(np.int64)
         ids, counts, lo = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
         while lo < len(starts):
@@ -273,6 +277,52 @@ class WordEncoder:
         return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
 
+class PieceEncoder(WordEncoder):
+    """Ids that a sentencepiece model gives for texts which begin with the space that it would add: piece(text[1:]).
+
+    A text is cut where a run of spaces begins after another character. No piece of the vocabulary has a space after another character (that is
+    checked), so no merge crosses such a cut. A unit whose pieces do not spell it, such as one with the model's own sign for a space, is UNLIKE.
+    """
+
+    UNLIKE = 0xFFFFFFFF
+
+    def __init__(self, path: str, memo: int | None = None, chunk: int | None = None):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        ids = range(self.model.get_piece_size())
+        pieces = [self.model.id_to_piece(i) for i in ids]
+        if any(a != SPACE_SIGN and b == SPACE_SIGN for p in pieces for a, b in zip(p, p[1:])):
+            raise ValueError("the model has pieces across words")
+        self.spelled = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE_SIGN, " ").encode() for i, p in zip(ids, pieces)]
+        self.n_bytes = np.array([len(x) for x in self.spelled], dtype=np.int64)
+        self.alone = self.model.piece_to_id(SPACE_SIGN)
+        self.added, self.memo, self.chunk = [], memo or MEMO, chunk or CHUNK
+        self._forget()
+
+    def cuts(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        start = np.zeros(len(raw) + 1, dtype=bool)
+        start[1:-1] = (raw[1:] == 32) & (raw[:-1] != 32)
+        start[offsets] = True
+        start[-1] = False
+        return np.flatnonzero(start)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        out = []
+        for text, ids in zip(texts, self.model.encode([t[1:] for t in texts], num_threads=1) if texts else []):
+            ids = [self.alone] if text == " " else ids
+            same = b"".join([self.spelled[i] for i in ids]) == text.encode()
+            out.append(np.array(ids if same else [self.UNLIKE], dtype=np.uint32))
+        return out
+
+    def _learn(self, hashes: np.ndarray, raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
+        ids = self.whole([raw[s : s + n].tobytes().decode("utf-8", "replace") for s, n in zip(starts, size)])
+        self._remember(hashes, raw[ragged(starts, size)], size, np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(x) for x in ids], dtype=np.int64))
+
+
+#: Fixed value: the character that stands for a space in a sentencepiece vocabulary.
+SPACE_SIGN = "\u2581"
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
