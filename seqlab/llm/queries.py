@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, exact_dedup, fingerprint, jaccard_join, language_id, mixing, packing, quality, simhash, token_output, url_filter, warc_audit
+from . import alignment, exact_dedup, fingerprint, jaccard_join, language_id, mixing, packing, quality, ranked_search, simhash, token_output, url_filter, warc_audit
 from .common import held_out, shared_path, table
 
 QUERIES: dict = {}
@@ -148,6 +148,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "tokens", *p, "rate", mixing.chosen(F.col("doc_id"), F.col("rate")).alias("kept"))
 
 
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
+
+
 @query
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -160,3 +165,20 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_classes(table(spark, sf_dir, "documents"), threshold=2, k=3)
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id", "n_same")
+
+
+#: n bytes are one term's, so its length is found in the UTF-8 text; items are few, documents are read whole.
+ORACLE_SQL["op11_ranked_search"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({ASCII_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents WHERE text IS NOT NULL
+), q AS (
+  SELECT item_id, unnest(list_distinct(regexp_extract_all({ASCII_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))) AS term FROM benchmark
+), c AS (SELECT count(*) AS n, sum(len(terms)) AS l FROM d WHERE len(terms) > 0),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+p AS (
+  SELECT q.item_id, tf.r, tf.doc_id, CAST(floor(1000 * ln((2 * c.n + 2) / (2 * df.df + 1))) AS BIGINT) * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (100 - 90 + CAST((90 * tf.n * c.n) // c.l AS BIGINT)))) AS part
+  FROM q JOIN tf USING (term) JOIN df USING (term) CROSS JOIN c
+), s AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM p GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
