@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket, clean_numbers, tertile
-from ..operators import evaluate, folds, models, panel, rollup, search
+from ..operators import boosting, evaluate, folds, models, panel, rollup, search
 from ..sources import files
+from ..sources.shared import cut, shared_path
 from .fixture import EVENTS, FOLDS, HOLDOUT, LEAST_EVENTS, LEAST_OUTINGS, MEASURES, ORDER, QUALIFY, SCORES, SETS, SPANS, START, events, scores, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -690,7 +691,7 @@ def stump_sql(rounds: int, years: tuple[int, ...] = FOLDS, before: str = "") ->
 
 def stumps(rows: DataFrame, rounds: int) -> DataFrame:
     slim = residuals(rows).select(*KEYS, "fold", "split", "residual", "prior")
-    return models.boost(slim, MODEL_KEYS, ["prior"], "residual", rounds=rounds, **STUMP).filter("split = 'test'")
+    return boosting.boost(slim, MODEL_KEYS, ["prior"], "residual", rounds=rounds, **STUMP).filter("split = 'test'")
 
 
 @query(f"WITH {stump_sql(1)} SELECT entity, day, CAST(fold AS INT) AS fold, {R('pred', 'correction', 3)} FROM nd1 WHERE split = 'test'")
@@ -763,7 +764,7 @@ SET_COLUMNS = {f"{n}_{s}": feature_set(n, s) for n in ("compact", "full") for s
 def model_rows(spark: SparkSession, sf_dir: str, years: Sequence[int] = FOLDS) -> DataFrame:
     """Complete rows with classes, by fold. Years after the last fold are refused: a search must not see them."""
     # written once, as folds and their thresholds both read it
-    found = models._shared(wide_panel(spark, sf_dir).filter(F.year("day") <= max(years)), "panel")
+    found = cut(wide_panel(spark, sf_dir).filter(F.year("day") <= max(years)), "panel")
     rows = folds.fold_table(folds.guard_development(found, "day", max(years)), "day", years, START)
     return folds.with_classes(rows, folds.thresholds(rows, MODEL_KEYS, "score"), MODEL_KEYS, "score")
 
@@ -793,7 +794,7 @@ def grid_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def staged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """32 sampled boosted candidates, each with all its own parameters: one fold keeps 10, two keep 3, three decide; the simplest near the best wins."""
-    rows = models._shared(model_rows(spark, sf_dir), "search")
+    rows = cut(model_rows(spark, sf_dir), "search")
     candidates = search.sampled_candidates(spark, 32)
 
     def evaluated(left: DataFrame, years) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqlab.functions import columns
-from seqlab.operators import evaluate, folds, models, panel, rollup, search
+from seqlab.operators import boosting, evaluate, folds, models, panel, rollup, search
 from seqlab.sources import files
 
 BOOSTED = [[129, 70, 14], [35, 87, 39], [18, 64, 41]]
@@ -208,23 +208,98 @@ def test_boosting_like_numpy(spark):
     x = rng.integers(0, 8, size=(80, 2)).astype(float)
     y = (x[:, 0] > 3) * 2.0 + rng.normal(size=80)
     df = spark.createDataFrame([(1, i, "train", *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], "k int, i int, split string, a double, b double, y double")
-    got = models.boost(df, ["k"], ["a", "b"], "y", rounds=3, depth=1, rate=0.3, min_child=4.0, reg_lambda=1.0, bins=400).orderBy("i").toPandas()["correction"]
+    got = boosting.boost(df, ["k"], ["a", "b"], "y", rounds=3, depth=1, rate=0.3, min_child=4.0, reg_lambda=1.0, bins=400).orderBy("i").toPandas()["correction"]
     assert np.allclose(got, plain_boost(x, y, 3, 0.3, 1.0, 4), atol=1e-8)
 
 
-def test_boosting_of_one_key_is_that_of_all_keys(spark):
+def plain_trees(bins, y, train, key, row, rounds, depth, rate=0.05, min_child=8.0, reg_lambda=10.0, reg_alpha=0.0, gamma=0.0, row_share=1.0, column_share=1.0, seed=42):
+    """One key and one candidate, node by node."""
+    soft = lambda g: math.copysign(max(abs(g) - reg_alpha, 0.0), g)
+    out = np.full(len(y), y[train].mean())
+    for turn in range(rounds):
+        taken = train & (boosting.draws(seed, turn, np.array([key]), row) < int(row_share * 1_000_000))
+        may = [boosting.draws(seed + 1, turn, np.array([key]), np.array([f]))[0] < int(column_share * 1_000_000) for f in range(bins.shape[1])]
+        g = out - y
+
+        def grow(rows, level):
+            best = (0.0, None)
+            mine = rows & taken
+            for f in range(bins.shape[1]) if level < depth else []:
+                for v in range(int(bins.max())) if may[f] else []:
+                    left = mine & (bins[:, f] <= v)
+                    gl, hl, gr, hr = g[left].sum(), left.sum(), g[mine & ~left].sum(), (mine & ~left).sum()
+                    if hr > 0 and hl >= min_child and hr >= min_child:
+                        gain = 0.5 * (soft(gl) ** 2 / (hl + reg_lambda) + soft(gr) ** 2 / (hr + reg_lambda) - soft(gl + gr) ** 2 / (hl + hr + reg_lambda)) - gamma
+                        if gain > 0 and round(gain, 9) > round(best[0], 9):
+                            best = (gain, (f, v))
+            if best[1]:
+                side = bins[:, best[1][0]] <= best[1][1]
+                grow(rows & side, level + 1)
+                grow(rows & ~side, level + 1)
+            elif mine.any():
+                out[rows] -= rate * soft(g[mine].sum()) / (mine.sum() + reg_lambda)
+
+        grow(np.ones(len(y), bool), 0)
+    return out
+
+
+TUNED = [
+    {"rounds": 4, "depth": 1, "rate": 0.3, "min_child": 4.0, "reg_lambda": 1.0},
+    {"rounds": 3, "depth": 2, "reg_alpha": 0.2, "rate": 0.2, "min_child": 3.0, "reg_lambda": 2.0},
+    {"rounds": 2, "depth": 3, "gamma": 0.05, "rate": 0.5, "min_child": 2.0, "reg_lambda": 1.0, "row_share": 0.7, "column_share": 0.6},
+]
+
+
+def candidate_rows(keys=3, n=70):
     rng = np.random.default_rng(5)
-    x = np.round(rng.normal(size=(70, 3)), 1)
-    y = np.where(x[:, 0] > 0, 1.0, -1.0) * x[:, 1] + rng.normal(size=70) * 0.3
-    train = np.arange(70) < 55
-    df = spark.createDataFrame([(1, i, "train" if t else "test", *map(float, r), float(v)) for i, (r, v, t) in enumerate(zip(x, y, train))], "k int, i int, split string, a double, b double, c double, y double")
-    for how in ({"depth": 2, "bins": 8, "reg_alpha": 0.2}, {"depth": 3, "bins": 64, "gamma": 0.05}):
-        want = models.boost(df, ["k"], ["a", "b", "c"], "y", rounds=3, rate=0.3, min_child=4.0, reg_lambda=1.0, **how).orderBy("i").toPandas()["correction"]
-        got = models.boost_arrays(x, y, train, rounds=3, rate=0.3, min_child=4.0, reg_lambda=1.0, **how)
-        assert np.allclose(got, want, atol=1e-8)
-    assert np.allclose(models.boost_arrays(x[:, :1], y, np.ones(70, bool), rounds=4, depth=1, rate=0.3, min_child=4.0, reg_lambda=1.0, bins=400), plain_boost(x[:, :1], y, 4, 0.3, 1.0, 4), atol=1e-8)
-    drawn = models.boost_arrays(x, y, train, rounds=200, rate=0.1, row_share=0.7, column_share=0.5)
-    assert np.corrcoef(drawn[train], y[train])[0, 1] > 0.6 and (drawn == models.boost_arrays(x, y, train, rounds=200, rate=0.1, row_share=0.7, column_share=0.5)).all()
+    rows = []
+    for e in range(keys):
+        x = np.round(rng.normal(size=(n, 3)), 1)
+        y = np.where(x[:, 0] > 0, 1.0, -1.0) * x[:, 1] + rng.normal(size=n) * 0.3
+        rows += [(e, 2000, i, "train" if i < n - 15 else "test", float(y[i]), -0.4, 0.4, 1, 0.01 * i, 0.5 - 0.02 * i, *map(float, x[i])) for i in range(n)]
+    rows += [(90, 2000, 0, "train", 0.0, 0.0, 0.0, 1, 0.0, 0.0, 0.0, 0.0, 0.0), (91, 2000, 0, "test", 0.0, 0.0, 0.0, 1, 0.0, 0.0, 0.0, 0.0, 0.0)]
+    return rows
+
+
+CANDIDATE_SCHEMA = "entity int, fold int, day int, split string, score double, q33 double, q67 double, true_class int, ewma4 double, ewma2 double, a double, b double, c double"
+
+
+@pytest.mark.parametrize("key_rows,cells", [(10**9, 3_000_000), (10**9, 100), (0, 0), (69, 0)])
+def test_boosted_candidates_like_plain_trees(spark, monkeypatch, key_rows, cells):
+    """In tasks with whole keys (in one lot or key by key), by aggregation, and with keys too large for tasks."""
+    monkeypatch.setattr(models, "CELLS", cells or models.CELLS)
+    df = spark.createDataFrame(candidate_rows(2 if key_rows < 100 else 5), CANDIDATE_SCHEMA).repartition(4)
+    few = [{"candidate": f"{span}{i}", "family": "boosted", "span": span, "feature_set": "all" if i else "two", "scale": 0.5, "bins": 16, **how} for i, how in enumerate(TUNED) for span in ((4, 2) if key_rows > 100 else (4,))]
+    sets = {"all_4": ["a", "b", "c"], "all_2": ["c", "b", "a"], "two_4": ["c", "a"], "two_2": ["b"]}
+    got = models.candidate_predictions(df, ["entity", "fold"], few, sets, "score", carry=["day"], key_rows=key_rows).toPandas()
+    assert len(got) == len(few) * 15 * (2 if key_rows < 100 else 5)
+    hashed = df.withColumns({"train": F.col("split") == "train"}).select("entity", "fold", "day", "train", "true_class", "a", "b", "c", *sorted({f"ewma{c['span']}" for c in few}), "score", "q33", "q67")
+    hashed = hashed.withColumn("_row", F.xxhash64(*hashed.columns)).withColumn("_key", F.xxhash64("entity", "fold")).toPandas()
+    for (e, c), part in got.groupby(["entity", "candidate"]):
+        one = hashed[hashed.entity == e].sort_values("day")
+        how = next(f for f in few if f["candidate"] == c)
+        names = sets[f"{how['feature_set']}_{how['span']}"]
+        every = ["a", "b", "c"]
+        bins = boosting.binned(one[every].to_numpy(), one["train"].to_numpy(), 16)
+        for i, f in enumerate(every):
+            if f not in names:
+                bins[:, i] = 0
+        base = one[f"ewma{how['span']}"].to_numpy()
+        tuned = TUNED[int(c[1:])]
+        want = base + 0.5 * plain_trees(bins, one["score"].to_numpy() - base, one["train"].to_numpy(), one["_key"].iloc[0], one["_row"].to_numpy(), **tuned)
+        assert np.allclose(part.sort_values("day")["score"], want[~one["train"].to_numpy()], atol=1e-8), (e, c)
+
+
+def test_stumps_and_depth_two_with_64_bins(spark):
+    rows = candidate_rows(1, 120)[:120]
+    df = spark.createDataFrame(rows, CANDIDATE_SCHEMA)
+    v = df.toPandas()
+    train = (v["split"] == "train").to_numpy()
+    hashed = df.select("day", F.xxhash64(*df.columns).alias("r"), F.xxhash64("entity").alias("k")).toPandas()
+    for depth in (1, 2):
+        want = boosting.boost(df, ["entity"], ["a", "b", "c"], "score", rounds=3, depth=depth, rate=0.2, min_child=4.0, reg_lambda=1.0).orderBy("day").toPandas()["correction"]
+        plain = plain_trees(boosting.binned(v[["a", "b", "c"]].to_numpy(), train, 64), v["score"].to_numpy(), train, hashed["k"][0], hashed["r"].to_numpy(), 3, depth, 0.2, 4.0, 1.0)
+        assert np.allclose(want, plain, atol=1e-8)
 
 
 def test_candidates_of_a_key(spark):
@@ -235,11 +310,14 @@ def test_candidates_of_a_key(spark):
     few = [{"candidate": "e", "family": "ewma", "span": 4}, {"candidate": "r", "family": "ridge", "span": 4, "feature_set": "s", "alpha": 10.0, "scale": 0.5}, {"candidate": "b", "family": "boosted", "span": 4, "feature_set": "s", "scale": 0.25, "rounds": 3, "depth": 1, "bins": 8}]
     got = models.candidate_predictions(df, ["entity", "fold"], few, {"s_4": ["a", "b"]}, "score", carry=["day"]).toPandas()
     assert len(got) == 2 * 15 * 3
+    other = models.candidate_predictions(df, ["entity", "fold"], few, {"s_4": ["a", "b"]}, "score", carry=["day"], key_rows=10).toPandas()
+    order = ["entity", "day", "candidate"]
+    pd.testing.assert_frame_equal(got.sort_values(order)[other.columns].reset_index(drop=True), other.sort_values(order).reset_index(drop=True))
     base = df.withColumn("residual", F.col("score") - F.col("ewma4"))
     fits = models.fit_ridge(base.filter("split = 'train'"), ["entity", "fold"], ["a", "b"], "residual", [10.0])
     ridge = models.score_ridge(base.filter("split = 'test'").drop("score"), fits, ["entity", "fold"], ["a", "b"], "ewma4", [0.5]).toPandas().sort_values(["entity", "day"])["score"]
     assert np.allclose(got[got.candidate == "r"].sort_values(["entity", "day"])["score"], ridge)
-    fix = models.boost(base.filter("entity < 3"), ["entity", "fold"], ["a", "b"], "residual", rounds=3, depth=1, bins=8).filter("split = 'test'").toPandas().sort_values(["entity", "day"])
+    fix = boosting.boost(base.filter("entity < 3"), ["entity", "fold"], ["a", "b"], "residual", rounds=3, depth=1, bins=8).filter("split = 'test'").toPandas().sort_values(["entity", "day"])
     assert np.allclose(got[got.candidate == "b"].sort_values(["entity", "day"])["score"], fix["ewma4"] + 0.25 * fix["correction"])
     e = got[got.candidate == "e"]
     assert np.allclose(e["score"], 0.1 * e["day"]) and set(e["predicted_class"]) == {2}
