@@ -211,7 +211,7 @@ def joined(spark: SparkSession, sf_dir: str, measures: Sequence[str] = ("price",
 
 
 def base_panel(spark: SparkSession, sf_dir: str, measures: Sequence[str] = ("price",)) -> DataFrame:
-    return panel.only_qualified(joined(spark, sf_dir, measures), "entity", "day", QUALIFY, LEAST_OUTINGS)
+    return panel.split_long(panel.only_qualified(joined(spark, sf_dir, measures), "entity", "day", QUALIFY, LEAST_OUTINGS), "entity", "day")
 
 
 @query(f"WITH {JOINED} SELECT entity, day, event_count, {R('price', 'price')}, {R('score', 'score')} FROM jn")

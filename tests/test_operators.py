@@ -92,6 +92,44 @@ def test_history_and_ewma_like_pandas(spark):
         assert np.allclose(found[f"ewma{s}"].astype(float), want, equal_nan=True, atol=1e-12), s
 
 
+def _all_features(df):
+    found = panel.season_workload(df, "entity", "day", ties=["grp"])
+    found = panel.prior_value(panel.history(found, "entity", "day", ["v"], ties=["grp"]), "entity", "day", "v", ties=["grp"])
+    return panel.ewma_prior(found, "entity", "day", "v", [2, 8], ties=["grp"])
+
+
+def test_blocks_of_a_long_entity_give_the_same(spark, monkeypatch):
+    """One entity with 90 % of the rows, days with several rows, long runs without a value, blocks of few rows."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for e, n in ((1, 900), (2, 60), (3, 40)):
+        at = np.sort(rng.integers(0, n * 2, n))
+        for i in range(n):
+            rows.append((e, dt.date(2015, 1, 1) + dt.timedelta(days=int(at[i])), i, int(rng.integers(1, 90)), None if rng.random() < 0.2 or 300 < i < 380 else float(rng.normal())))
+    df = spark.createDataFrame(rows, "entity int, day date, grp int, event_count int, v double").repartition(5)
+    want = _all_features(df).orderBy("entity", "day", "grp").toPandas()
+    split = panel.split_long(df, "entity", "day", rows=70)
+    sizes = {(r["entity"], r["_block"]): r["count"] for r in split.groupBy("entity", "_block").count().collect()}
+    assert sizes[(2, 0)] == 60 and sizes[(3, 0)] == 40 and len(sizes) > 10 and max(sizes.values()) < 3 * np.median(list(sizes.values()))
+    got = _all_features(split).drop("_block").orderBy("entity", "day", "grp").toPandas()
+    pd.testing.assert_frame_equal(got[want.columns], want, rtol=1e-9, atol=1e-9)
+    assert "_block" not in panel.split_long(df, "entity", "day").columns
+
+
+@pytest.mark.parametrize("spans", [[2, 3], [2, 200]])
+def test_ewma_of_long_series(spark, spans):
+    """Segments end and carry on; runs without a value are longer than a segment."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=6000) + 5
+    v[rng.random(6000) < 0.3] = np.nan
+    v[1000:3000] = np.nan
+    rows = [(1, dt.date(2000, 1, 1) + dt.timedelta(days=i), None if np.isnan(x) else float(x)) for i, x in enumerate(v)]
+    got = panel.ewma_prior(spark.createDataFrame(rows, "entity int, day date, v double"), "entity", "day", "v", spans).orderBy("day").toPandas()
+    for s in spans:
+        want = pd.Series(v).shift(1).ewm(span=s, adjust=False).mean()
+        assert np.allclose(got[f"ewma{s}"].astype(float), want, equal_nan=True, rtol=1e-11)
+
+
 def test_features_do_not_see_the_future(spark):
     rows = [(1, d, float(i % 7)) for i, d in enumerate(days(12))]
     make = lambda rs: panel.ewma_prior(panel.history(spark.createDataFrame(rs, "entity int, day date, v double"), "entity", "day", ["v"]), "entity", "day", "v", [4]).orderBy("day").drop("v").collect()
@@ -143,8 +181,10 @@ def test_panel_joins(spark):
     log = spark.createDataFrame([(1, dt.date(2020, 1, 1), 1.0, 0), (1, dt.date(2020, 1, 1), 2.0, 1), (1, dt.date(2020, 1, 8), 3.0, 0)], "entity int, day date, score double, src int")
     got = panel.join_scores(o, log, "entity", "day", "src", ["grp"], "event_count", 50).collect()
     assert [(r["grp"], r["score"]) for r in got] == [(7, 2.0)]
-    with pytest.raises(ValueError):
-        panel.join_one_to_one(o, log, ["entity", "day"])
+    for left, right in ((o, log), (log.filter("src = 0"), log), (log, log.filter("src = 0"))):
+        with pytest.raises(Exception, match="not unique by entity=1, day=2020-01-01"):
+            panel.join_one_to_one(left, right, ["entity", "day"]).collect()
+    assert panel.join_one_to_one(o.filter("grp > 5"), log.filter("src = 0"), ["entity", "day"]).count() == 2
     years = [(1, y, i) for y in (2020, 2021) for i in range(20)] + [(2, 2020, i) for i in range(30)] + [(3, y, i) for y, k in ((2020, 20), (2021, 19)) for i in range(k)]
     df = spark.createDataFrame([(e, dt.date(y, 1, 1) + dt.timedelta(days=i)) for e, y, i in years], "entity int, day date")
     assert [r["entity"] for r in panel.qualified(df, "entity", "day", (2020, 2021), 20).collect()] == [1]
