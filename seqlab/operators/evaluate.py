@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 CLASSES = (0, 1, 2)
 
 
@@ -88,8 +90,11 @@ def agreement(wide: DataFrame) -> DataFrame:
 
 
 def coefficient_summary(coefficients: DataFrame, feature: str = "feature", value: str = "coefficient") -> DataFrame:
-    """Per feature: n, median, mean, quartiles, share above zero, median of the absolute values."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return coefficients.groupBy(feature).agg(
-        F.count(F.lit(1)).alias("n"), q[1].alias("median"), F.avg(value).alias("mean"), q[0].alias("q25"), q[2].alias("q75"), F.avg((F.col(value) > 0).cast("double")).alias("share_positive"), F.percentile(F.abs(F.col(value)), 0.5).alias("median_abs")
-    )
+    """Per feature: n, median, mean, quartiles, share above zero, median of the absolute values. A feature has as many values as there are fits, so its
+    quantiles are selected, not gathered."""
+    rows = coefficients.select(F.col(feature).alias("feature"), F.inline(F.array(F.struct(F.lit(False).alias("_abs"), F.col(value).alias("_c")), F.struct(F.lit(True).alias("_abs"), F.abs(F.col(value)).alias("_c")))))
+    q = exact_quantiles(rows, ["feature", "_abs"], "_c", (0.25, 0.5, 0.75))
+    plain = coefficients.groupBy(F.col(feature).alias("feature")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.avg((F.col(value) > 0).cast("double")).alias("share_positive"))
+    of = lambda absolute, i: F.max(F.when(F.col("_abs") == absolute, F.col("quantiles")[i]))
+    wide = q.groupBy("feature").agg(of(False, 1).alias("median"), of(False, 0).alias("q25"), of(False, 2).alias("q75"), of(True, 1).alias("median_abs"))
+    return plain.join(wide, "feature", "left").select(F.col("feature").alias(feature), "n", "median", "mean", "q25", "q75", "share_positive", "median_abs")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import nullify, tertile
+from .quantiles import exact_quantiles
 
 
 def fold_table(df: DataFrame, day: str, folds: Sequence[int], start: int) -> DataFrame:
@@ -34,10 +35,18 @@ def guard_development(df: DataFrame, day: str, end: int) -> DataFrame:
     return df.filter(F.when(F.year(day) > end, late).otherwise(F.lit(True)))
 
 
+def guard_folds(rows: DataFrame, day: str, fold: str = "fold") -> DataFrame:
+    """rows of folds; reading a training row of the fold's year or later, or a test row of another year, fails."""
+    y = F.year(day)
+    wrong = F.when(F.col("split") == "train", y >= F.col(fold)).otherwise(y != F.col(fold))
+    leak = F.raise_error(F.concat(F.lit("a "), F.col("split"), F.lit(" row of "), y.cast("string"), F.lit(" in the fold of "), F.col(fold).cast("string"))).cast("boolean")
+    return rows.filter(F.when(F.coalesce(wrong, F.lit(True)), leak).otherwise(F.lit(True)))
+
+
 def thresholds(folds: DataFrame, keys: Sequence[str], target: str, least: int = 20) -> DataFrame:
-    """keys, q33, q67, n_train: exact thirds of the training target, of keys with enough training rows."""
-    train = folds.filter(F.col("split") == "train").groupBy(*keys).agg(F.percentile(target, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_q"), F.count(F.lit(1)).alias("n_train"))
-    return train.filter(F.col("n_train") >= least).select(*keys, F.col("_q")[0].alias("q33"), F.col("_q")[1].alias("q67"), "n_train")
+    """keys, q33, q67, n_train: exact thirds of the training target, of keys with enough training rows. No task holds a key's values."""
+    train = exact_quantiles(folds.filter(F.col("split") == "train"), keys, target, (1 / 3, 2 / 3))
+    return train.filter(F.col("n") >= least).select(*keys, F.col("quantiles")[0].alias("q33"), F.col("quantiles")[1].alias("q67"), F.col("n").alias("n_train"))
 
 
 def with_classes(folds: DataFrame, limits: DataFrame, keys: Sequence[str], target: str) -> DataFrame:

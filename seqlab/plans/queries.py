@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.columns import bucket, clean_numbers, tertile
 from ..operators import boosting, evaluate, folds, models, panel, rollup, search
@@ -356,7 +358,7 @@ SELECT r_regionkey AS region, r_name AS name, count(*) AS nations, 2 * count(*)
 """)
 def files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nations of each region, written as Parquet (by region) and as CSV, and read back from one directory, from two, and as logs and names."""
-    folder = models._folder(spark, "files")
+    folder = shared_path(spark, "files")
     nations = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"))
     files.write_table(nations, f"{folder}/a")
     files.write_table(nations, f"{folder}/b", partition_by=["region"])
@@ -460,7 +462,8 @@ def fold_sql(years: tuple[int, ...]) -> str:
 
 def folded(spark: SparkSession, sf_dir: str, years=FOLDS) -> DataFrame:
     found = folds.complete_cases(full_panel(spark, sf_dir, SPANS), NEEDED)
-    return folds.fold_table(found, "day", years, START)
+    # written once, as classes, thresholds and models all read it
+    return cut(folds.guard_folds(folds.fold_table(found, "day", years, START), "day"), "folds")
 
 
 def classed(spark: SparkSession, sf_dir: str, years=FOLDS) -> DataFrame:
@@ -762,11 +765,10 @@ SET_COLUMNS = {f"{n}_{s}": feature_set(n, s) for n in ("compact", "full") for s
 
 
 def model_rows(spark: SparkSession, sf_dir: str, years: Sequence[int] = FOLDS) -> DataFrame:
-    """Complete rows with classes, by fold. Years after the last fold are refused: a search must not see them."""
-    # written once, as folds and their thresholds both read it
-    found = cut(wide_panel(spark, sf_dir).filter(F.year("day") <= max(years)), "panel")
-    rows = folds.fold_table(folds.guard_development(found, "day", max(years)), "day", years, START)
-    return folds.with_classes(rows, folds.thresholds(rows, MODEL_KEYS, "score"), MODEL_KEYS, "score")
+    """Complete rows with classes, by fold, written once. Rows that a fold must not see are refused, not passed over."""
+    rows = folds.fold_table(wide_panel(spark, sf_dir), "day", years, START)
+    rows = cut(folds.guard_development(folds.guard_folds(rows, "day"), "day", max(years)), "folds")
+    return cut(folds.with_classes(rows, folds.thresholds(rows, MODEL_KEYS, "score"), MODEL_KEYS, "score"), "classes")
 
 
 def _tuned(rows: list) -> list[dict]:
@@ -782,25 +784,169 @@ def boosted_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.metrics(found, ["candidate", "fold"]))
 
 
-@query()
-def grid_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 222 candidates of the grid fitted and scored in every fold, ranked by stability, and within their families."""
+def grid_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = search.candidate_grid(spark, SPANS)
     found = models.candidate_predictions(model_rows(spark, sf_dir), MODEL_KEYS, _tuned(grid.collect()), SET_COLUMNS, "score")  # 222 candidates
     board = evaluate.stability(evaluate.metrics(found, ["candidate", "fold"]), ["candidate"]).withColumnRenamed("candidate", "model_id")
-    return rounded(search.leaderboard(rounded(board, 8).join(grid, "model_id")))
+    return search.leaderboard(rounded(board, 8).join(grid, "model_id"))
 
 
 @query()
-def staged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """32 sampled boosted candidates, each with all its own parameters: one fold keeps 10, two keep 3, three decide; the simplest near the best wins."""
-    rows = cut(model_rows(spark, sf_dir), "search")
-    candidates = search.sampled_candidates(spark, 32)
+def grid_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 222 candidates of the grid fitted and scored in every fold, ranked by stability, and within their families."""
+    return rounded(grid_board(spark, sf_dir))
 
-    def evaluated(left: DataFrame, years) -> DataFrame:
-        chosen = [{**r.asDict(), "family": "boosted", "span": 4, "feature_set": "compact"} for r in left.collect()]  # 32 candidates at most
-        found = models.candidate_predictions(rows.filter(F.col("fold").isin(*years)), MODEL_KEYS, chosen, SET_COLUMNS, "score")
-        return evaluate.stability(evaluate.metrics(found, ["candidate", "fold"]), ["candidate"]).withColumn("candidate", F.col("candidate").cast("int"))
 
-    found = search.staged_search(candidates, evaluated, [((FOLDS[0],), 10), (FOLDS[:2], 3), (FOLDS, 1)])
+def searched(spark: SparkSession, sf_dir: str, n: int = 32) -> tuple[DataFrame, DataFrame, str]:
+    """(the winner, the boards of all stages, the ledger): sampled boosted candidates, each with all its own parameters; one fold keeps 10, two keep 3, three decide."""
+    rows = model_rows(spark, sf_dir)
+
+    def fit(todo: DataFrame) -> DataFrame:
+        # n candidates at most for each fold
+        found = [{**r.asDict(), "family": "boosted", "span": 4, "feature_set": "compact"} for r in todo.join(candidates, "candidate").collect()]
+        parts = []
+        for fold in sorted({c["fold"] for c in found}):
+            mine = [c for c in found if c["fold"] == fold]
+            parts.append(models.candidate_predictions(rows.filter(F.col("fold") == fold), MODEL_KEYS, mine, SET_COLUMNS, "score"))
+        return evaluate.metrics(reduce(DataFrame.unionByName, parts), ["candidate", "fold"]).withColumn("candidate", F.col("candidate").cast("int"))
+
+    candidates, ledger = search.sampled_candidates(spark, n), shared_path(spark, "ledger")
+    winner, boards = search.staged_search(candidates, fit, [((FOLDS[0],), 10), (FOLDS[:2], 3), (FOLDS, 1)], ledger)
+    return winner, boards, ledger
+
+
+@query()
+def staged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The simplest of the candidates near the best of the last stage."""
+    found, _, _ = searched(spark, sf_dir)
     return rounded(found.select("candidate", "depth", "rounds", "rate", "min_child", "reg_lambda", "reg_alpha", "gamma", "row_share", "column_share", "scale", "mean_balanced_accuracy", "stability_score"))
+
+
+@query()
+def search_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boards of all stages, with who won."""
+    found, boards, _ = searched(spark, sf_dir)
+    won = found.select("candidate", F.lit(True).alias("won"))
+    ranked = boards.withColumn("rank", F.row_number().over(Window.partitionBy("stage").orderBy(F.desc("stability_score"), "candidate")))
+    return rounded(ranked.join(won, "candidate", "left").select("stage", "rank", "candidate", "folds", "mean_balanced_accuracy", "std_balanced_accuracy", "stability_score", "mean_macro_f1", "mean_ordinal_mae", F.coalesce("won", F.lit(False)).alias("won")))
+
+
+# --- what selection chose, in the hold-out year -----------------------------------------------------------------------------------------------
+
+
+def selected(board: DataFrame) -> list[dict]:
+    """The best candidate of each family, with all its parameters: three rows."""
+    return _tuned(board.filter("family_rank = 1").collect())
+
+
+def selected_models(spark: SparkSession, sf_dir: str, board: DataFrame) -> DataFrame:
+    """The hold-out year in long form by five models: the best of each family, refitted on the years before, the prior value and the majority."""
+    best = selected(board)
+    rows = model_rows(spark, sf_dir, (HOLDOUT,))
+    found = models.candidate_predictions(rows, MODEL_KEYS, best, SET_COLUMNS, "score", carry=["day"])
+    family = F.create_map(*[F.lit(x) for c in best for x in (c["model_id"], c["family"])])
+    fitted = found.select(family[F.col("candidate")].alias("model"), F.col("candidate").alias("model_id"), *KEYS, "fold", "true_class", "score", "predicted_class")
+    plain = folds.baselines(rows, MODEL_KEYS, (), "prior", ["day"]).withColumn("model_id", F.col("model"))
+    return fitted.unionByName(plain.select(fitted.columns))
+
+
+@query()
+def selected_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the five models in the hold-out year, pooled and for each entity."""
+    found = selected_models(spark, sf_dir, cut(grid_board(spark, sf_dir), "board"))
+    return rounded(evaluate.metrics_by_sets(found, "model", "entity"))
+
+
+@query()
+def selected_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a whole run, written as JSON and read back: settings, the selected candidates, metrics, confusion, agreement of the boosted model and
+    its ridge companion, the companion's coefficients, and the gate."""
+    board = cut(grid_board(spark, sf_dir), "board")
+    found = cut(selected_models(spark, sf_dir, board), "holdout")
+    best = next(c for c in selected(board) if c["family"] == "ridge")
+    columns = SET_COLUMNS[f"{best['feature_set']}_{best['span']}"]
+    rows = model_rows(spark, sf_dir, (HOLDOUT,)).withColumn("residual", F.col("score") - F.col(f"ewma{best['span']}"))
+    fits = models.fit_ridge(rows.filter("split = 'train'"), MODEL_KEYS, columns, "residual", [best["alpha"]])
+    coefficients = models.ridge_coefficients(fits, MODEL_KEYS, columns, best["scale"])
+    report = files.report(
+        spark, {"folds": ",".join(map(str, FOLDS)), "holdout": str(HOLDOUT), "start": str(START), "seed": "42"},
+        {"agreement": evaluate.agreement(evaluate.side_by_side(found, [*KEYS, "fold"], "model", "boosted", "ridge")), "gate": search.family_promotion(board, "boosted", "ridge")},
+        {"selected": board.filter("family_rank = 1"), "metrics": evaluate.metrics(found, ["model"]), "confusion": evaluate.confusion(found, "model"), "coefficients": evaluate.coefficient_summary(coefficients)},
+    )
+    path = shared_path(spark, "report")
+    files.write_report_json(report, path)
+    return files.read_report_json(spark, path, report)
+
+
+@query(f"""
+SELECT '{",".join(map(str, FOLDS))}' AS folds, '{HOLDOUT}' AS holdout, g.advantage, g.promoted, a.n AS compared, a.agreement_rate, m.model, m.n, m.accuracy, m.balanced_accuracy, m.macro_f1, m.ordinal_mae
+FROM (WITH {base_sql((HOLDOUT,))} SELECT model, {metric_sql('')} FROM pr GROUP BY model) m, ({ORACLE_SQL["promotion_gate"]}) g, ({ORACLE_SQL["model_agreement"]}) a
+""")
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for an average and the prior value, one row for each model of the report that was read back."""
+    found = cut(base_predictions(spark, sf_dir, (HOLDOUT,)), "holdout")
+    gate = search.promotion(rounded(_board(spark, sf_dir), 8), "ewma4", "prior")
+    agreement = evaluate.agreement(evaluate.side_by_side(found, ["entity", "fold", "day"], "model", "ewma4", "prior"))
+    report = files.report(spark, {"folds": ",".join(map(str, FOLDS)), "holdout": str(HOLDOUT)}, {"gate": gate, "agreement": agreement}, {"metrics": evaluate.metrics(found, ["model"])})
+    path = shared_path(spark, "report")
+    files.write_report_json(report, path)
+    back = files.read_report_json(spark, path, report)
+    return rounded(back.select(F.col("settings")["folds"].alias("folds"), F.col("settings")["holdout"].alias("holdout"), "gate.advantage", "gate.promoted", F.col("agreement.n").alias("compared"), "agreement.agreement_rate", F.inline("metrics")))
+
+
+# --- landing and payloads ---------------------------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT o_custkey % 20 AS entity, year(o_orderdate) AS season, o_orderkey AS grp, o_totalprice AS total FROM orders WHERE o_orderstatus = 'F'
+""")
+def landed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders landed by (entity, season) in two runs, of which the second finds some keys landed, and a third that finds all."""
+    c = F.col
+    orders = table(spark, sf_dir, "orders").select((c("o_custkey") % 20).alias("entity"), F.year("o_orderdate").cast("long").alias("season"), c("o_orderkey").alias("grp"), c("o_totalprice").alias("total"), "o_orderstatus")
+    wanted, path = orders.select("entity", "season").distinct(), shared_path(spark, "landed")
+    collect = lambda todo: orders.filter("o_orderstatus = 'F'").drop("o_orderstatus").join(todo, ["entity", "season"], "left_semi")
+    files.land(wanted.filter("season <= 1994"), collect, path, ["entity", "season"])
+    files.land(wanted, collect, path, ["entity", "season"])
+    if files.land(wanted, collect, path, ["entity", "season"]):
+        raise ValueError("keys were landed twice")
+    return files.read_landed(spark, path).select(c("entity").cast("long").alias("entity"), c("season").cast("long").alias("season"), "grp", "total")
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as JSON documents in files by entity and season, some cut short, some without the array and some with an empty one, read back."""
+    c = F.col
+    orders = table(spark, sf_dir, "orders").select((c("o_custkey") % 20).alias("entity"), F.year("o_orderdate").alias("season"), F.struct(c("o_orderkey").alias("grp"), c("o_totalprice").alias("total")).alias("row"))
+    whole = orders.groupBy("entity", "season").agg(F.to_json(F.struct(F.collect_list("row").alias("rows"))).alias("text"))
+    short = F.expr("substring(text, 1, cast(length(text) / 2 as int))")
+    text = F.when(c("entity") % 10 == 3, short).when(c("entity") % 10 == 4, '{"other": 1}').when(c("entity") % 10 == 5, '{"rows": []}').otherwise(c("text"))
+    path = shared_path(spark, "payloads")
+    whole.select(text.alias("text"), F.concat_ws("_", "entity", "season").alias("key")).write.partitionBy("key").text(path)
+    return files.read_payloads(spark, path, "rows", "grp long, total double")
+
+
+@query("""
+SELECT o_custkey % 20 AS entity, year(o_orderdate) AS source_id, o_orderkey AS grp, o_totalprice AS total FROM orders WHERE o_custkey % 10 NOT IN (3, 4, 5)
+""")
+def payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads(spark, sf_dir)[0]
+
+
+@query("""
+SELECT o_custkey % 20 AS entity, year(o_orderdate) AS season, CASE WHEN o_custkey % 10 = 3 THEN 'corrupt' ELSE 'missing' END AS problem FROM orders WHERE o_custkey % 10 IN (3, 4) GROUP BY ALL
+""")
+def payload_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that were set aside, and why."""
+    part = lambda i: F.regexp_extract("path", r"key=(\d+)_(\d+)/", i).cast("long")
+    return payloads(spark, sf_dir)[1].select(part(1).alias("entity"), part(2).alias("season"), "problem")
+
+
+@query(f"""
+WITH {EVENTS}, q AS (SELECT p_partkey AS opponent, CASE WHEN p_size % 9 <> 0 THEN p_retailprice / 997 END AS quality FROM part)
+SELECT entity, day, count(*) AS event_count, {R('avg(quality)', 'quality')} FROM ev LEFT JOIN q USING (opponent) GROUP BY entity, day
+""")
+def opponent_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean quality of the opponents that an entity met on a day; unknown ones do not count."""
+    known = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("opponent"), F.when(F.col("p_size") % 9 != 0, F.col("p_retailprice") / 997).alias("quality"))
+    ev = events(spark, sf_dir).join(known, "opponent", "left")
+    return rounded(rollup.roll_up(ev, KEYS, rollup.means(ev, ["quality"])))

@@ -408,8 +408,83 @@ def test_sources(spark, tmp_path):
     (tmp_path / "j" / "12_34.json").write_text('{"rows": [{"gamedate": "2020-01-01", "GS": "1"}, {"gamedate": "2020-01-02", "GS": 0}]}')
     (tmp_path / "j" / "13_35.json").write_text('{"rows": []}')
     (tmp_path / "j" / "14_36.json").write_text("{}")
-    rows = files.read_payloads(spark, f"{p}/j", "rows", "gamedate string, GS string").collect()
-    assert [(r["entity"], r["source_id"], r["GS"]) for r in rows] == [(12, 34, "1"), (12, 34, "0")]
+    (tmp_path / "j" / "15_37.json").write_text('{"rows": [{"gamedate"')
+    rows, bad = files.read_payloads(spark, f"{p}/j", "rows", "gamedate string, GS string")
+    assert [(r["entity"], r["source_id"], r["GS"]) for r in rows.collect()] == [(12, 34, "1"), (12, 34, "0")]
+    assert sorted((r["path"][-10:], r["problem"]) for r in bad.collect()) == [("14_36.json", "missing"), ("15_37.json", "corrupt")]
+    (tmp_path / "k").mkdir()
+    (tmp_path / "k" / "1_2.json").write_text("{}")
+    with pytest.raises(ValueError, match="no usable document"):
+        files.read_payloads(spark, f"{p}/k", "rows", "gamedate string, GS string")
     files.write_report_csv(spark.range(2), f"{p}/r")
-    files.write_report_json(spark, f"{p}/s", {"seed": "42"}, board=spark.range(2))
-    assert len(spark.read.json(f"{p}/s").head()["board"]) == 2
+    found = files.report(spark, {"seed": "42"}, {"one": spark.createDataFrame([(1.5, None)], "a double, b string")}, {"board": spark.range(2)})
+    files.write_report_json(found, f"{p}/s")
+    back = files.read_report_json(spark, f"{p}/s", found)
+    assert back.collect() == found.collect() and back.head()["settings"] == {"seed": "42"} and back.schema == found.schema
+
+
+def test_landing_in_runs(spark, tmp_path):
+    path, asked = f"{tmp_path}/landed", []
+    rows = spark.createDataFrame([(1, 2020, 5.0), (1, 2020, 6.0), (1, 2021, 7.0), (2, 2020, 8.0)], "entity int, season int, v double")
+
+    def collect(todo):
+        asked.append(sorted(map(tuple, todo.collect())))
+        return rows.join(todo, ["entity", "season"], "left_semi")
+
+    def failing(todo):
+        return collect(todo).withColumn("v", F.when(F.col("entity") == 2, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("v")))
+
+    keys = ["entity", "season"]
+    wanted = spark.createDataFrame([(1, 2020), (1, 2020), (9, 2020)], "entity int, season int")
+    assert files.land(wanted, collect, path, keys) == 2 and files.read_landed(spark, path).count() == 2
+    before = sorted(f.name for f in (tmp_path / "landed").rglob("*.parquet"))
+    assert files.land(wanted, collect, path, keys) == 0 and len(asked) == 1
+    assert sorted(f.name for f in (tmp_path / "landed").rglob("*.parquet")) == before
+    more = wanted.unionByName(rows.select("entity", "season"))
+    with pytest.raises(Exception, match="lost"):
+        files.land(more, failing, path, keys)
+    assert files.read_landed(spark, path).count() == 2
+    assert files.land(more, collect, path, keys) == 2 and asked[-1] == [(1, 2021), (2, 2020)]
+    assert sorted(r["v"] for r in files.read_landed(spark, path).collect()) == [5.0, 6.0, 7.0, 8.0]
+
+
+@pytest.mark.parametrize("most", [20_000, 50])
+def test_exact_quantiles_like_numpy(spark, monkeypatch, most):
+    from seqlab.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "ALL", most)
+    monkeypatch.setattr(quantiles, "MARGIN", 0.02)
+    rng = np.random.default_rng(3)
+    values = {1: rng.normal(size=900), 2: rng.integers(0, 4, 500).astype(float), 3: np.array([2.5]), 4: np.array([1.0, 9.0]), 5: np.concatenate([np.zeros(400), [1e300, -1e300]])}
+    rows = [(k, float(x)) for k, v in values.items() for x in v] + [(1, None), (6, None)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(5)
+    got = {r["k"]: (r["n"], r["quantiles"]) for r in quantiles.exact_quantiles(df, ["k"], "v", (0.0, 1 / 3, 0.5, 2 / 3, 1.0)).collect()}
+    assert set(got) == set(values)
+    for k, v in values.items():
+        assert got[k][0] == len(v) and np.allclose(got[k][1], np.quantile(v, [0, 1 / 3, 0.5, 2 / 3, 1]), rtol=1e-12)
+
+
+def test_folds_that_leak_are_refused(spark):
+    rows = [(1, dt.date(2019, 5, 1), 2020, "train"), (1, dt.date(2020, 5, 1), 2020, "test")]
+    make = lambda more: folds.guard_folds(spark.createDataFrame(rows + more, "entity int, day date, fold int, split string"), "day")
+    assert make([]).count() == 2
+    for late in ((1, dt.date(2020, 1, 1), 2020, "train"), (1, dt.date(2021, 1, 1), 2020, "test"), (1, None, 2020, "train")):
+        with pytest.raises(Exception, match="row of .*in the fold of 2020|USER_RAISED"):
+            make([late]).count()
+
+
+def test_search_fits_each_pair_once(spark, tmp_path):
+    candidates, calls = search.sampled_candidates(spark, 32), []
+
+    def fit(todo):
+        calls.append(sorted((r["fold"], r["candidate"]) for r in todo.collect()))
+        score = (F.col("candidate") * 7 % 32).cast("double") / 100 + F.when(F.col("candidate") == 9, 1.0).otherwise(0.0)
+        return todo.select("candidate", "fold", score.alias("balanced_accuracy"), F.lit(0.1).alias("macro_f1"), F.lit(0.2).alias("ordinal_mae"))
+
+    stages = [((2000,), 10), ((2000, 2001), 3), ((2000, 2001, 2002), 1)]
+    winner, boards = search.staged_search(candidates, fit, stages, f"{tmp_path}/ledger")
+    assert [len(c) for c in calls] == [32, 10, 3] and [{f for f, _ in c} for c in calls] == [{2000}, {2001}, {2002}]
+    assert winner.head()["candidate"] == 9
+    assert {r["stage"]: r["count"] for r in boards.groupBy("stage").count().collect()} == {1: 32, 2: 10, 3: 3}
+    again, _ = search.staged_search(candidates, fit, stages, f"{tmp_path}/ledger")
+    assert len(calls) == 3 and again.collect() == winner.collect()
