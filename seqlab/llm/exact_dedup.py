@@ -9,7 +9,8 @@
    large group is held once for each of several salts, so that the rows of one very common text meet it in so many tasks.
 
 Defined results: a null text counts as empty; empty texts are copies of each other; a null id is smaller than any other, and is kept
-only where its whole group has no id; rows that repeat both id and text share one decision (``deduplicate`` returns one of them);
+only where its whole group has no id; rows that repeat both id and text share one decision (``deduplicate`` returns
+the one whose columns have the least hash, whichever task has it);
 an empty table gives an empty table; other columns pass through ``deduplicate`` untouched, whatever their names.
 """
 
@@ -79,8 +80,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     norm = normalised(F.col(text_col))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), norm.alias("_norm"), hash_fn(norm).alias("_hash"), who(id_col))
     both = lambda: F.xxhash64("_hash", "_who")
-    # rows that repeat id and text are combined in the map tasks, before anything is joined
-    maybe = rows.filter(copied & sieve(both(), stay, both())).groupBy("_hash", "_who", "_norm").agg(F.first("_row").alias("_row"))
+    # rows that repeat id and text are combined in the map tasks, before anything is joined: the one whose columns have the least hash stays
+    maybe = rows.filter(copied & sieve(both(), stay, both())).groupBy("_hash", "_who", "_norm").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
     kept = maybe.join(plain, ["_hash", "_who"], "left_semi")
     if not by_text.isEmpty():
         kept = kept.unionByName(maybe.join(by_text.select("_hash", who("keep_id"), "_norm"), ["_hash", "_who", "_norm"], "left_semi"))

@@ -22,8 +22,9 @@ belongs to is left out and the others share its weight; without labelled texts a
 together, by the least rate among them; a row without an id stays; labels of unknown domains teach nothing; an empty table gives an empty table;
 other columns pass through ``mix``.
 Where rates serve
-less than LEAST of all tokens in all domains together (as with even posteriors), there is no such mix and every rate is top. A given total that
-no rates reach raises ValueError, as does a fit that is not within TOLERANCE of every target after STEPS steps.
+less than LEAST of all tokens in all domains together (as with even posteriors, or a domain of next to no tokens), there is no such mix: every rate
+is top, and the column ``misfit``, the largest difference between a domain's expected share and its target share, says how far that is from the
+targets. A given total that no rates reach raises ValueError, as does a fit that is not within TOLERANCE of every target after STEPS steps.
 """
 
 from __future__ import annotations
@@ -167,7 +168,7 @@ def feasible(tokens: np.ndarray, p: np.ndarray, weights: list[float], top: float
 
 
 def fit_rates(members: DataFrame, weights: list[float], top: float = 1.0, total: float | None = None, steps: int = STEPS) -> DataFrame:
-    """members with a rate for each row. members: tokens, p; give a written table."""
+    """members with a rate for each row, and misfit. members: tokens, p; give a written table."""
     k = len(weights)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     every = range(k)
@@ -187,12 +188,14 @@ def fit_rates(members: DataFrame, weights: list[float], top: float = 1.0, total:
 
     n, q = cells(members, k)
     target = feasible(n, q, weights, top) if total is None else total * np.asarray(weights) / sum(weights)
+    share = lambda x: np.asarray(x, dtype=float) / max(float(np.sum(x)), 1e-300)
+    off = lambda have, wanted: F.lit(float(np.abs(share(have) - share(wanted)).max()))
     if not len(n) or total is None and target.sum() < LEAST * top * n.sum():
-        return members.withColumn("rate", F.lit(float(top)))
+        return members.withColumn("rate", F.lit(float(top))).withColumn("misfit", off(n @ q, weights) if n.sum() else F.lit(0.0))
     move, reached, have = _ascend(sums, target, (q * n[:, None]).T @ q, TOLERANCE, steps)
     if not reached:
         raise ValueError(f"no rates from 0 to {top} bring the domains to {target.tolist()} tokens: they have {have.tolist()} after {steps} steps")
-    return members.withColumn("rate", F.expr(rate(move)))
+    return members.withColumn("rate", F.expr(rate(move))).withColumn("misfit", off(have, target))
 
 
 def chosen(id_: Column, rate: Column, seed: int = SEED) -> Column:
@@ -201,7 +204,7 @@ def chosen(id_: Column, rate: Column, seed: int = SEED) -> Column:
 
 
 def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], top: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id, tokens, p, rate of every row. labels: id, domain; weights: target share of each domain."""
+    """The id, tokens, p, rate and misfit of every row. labels: id, domain; weights: target share of each domain."""
     domains = list(weights)
     found = cut(memberships(docs, fit_domains(docs, labels, domains, id_col, text_col), id_col, text_col), "members")
     return fit_rates(found, [weights[d] for d in domains], top)

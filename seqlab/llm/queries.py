@@ -145,7 +145,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = mixing.rates(docs, labelled_domains(table(spark, sf_dir, "labels")), MIX_WEIGHTS)
     p = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(MIX_WEIGHTS)]
-    return found.select("doc_id", "tokens", *p, "rate", mixing.chosen(F.col("doc_id"), F.col("rate")).alias("kept"))
+    return found.select("doc_id", "tokens", *p, "rate", "misfit", mixing.chosen(F.col("doc_id"), F.col("rate")).alias("kept"))
 
 
 @query

@@ -54,9 +54,13 @@ def _dictionary(raw: bytes):
 
 
 def fit_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int) -> bytes:
-    rows = docs.select(F.struct(F.xxhash64(F.col(id_col).cast("string"), F.length(text_col)).alias("r"), F.col(id_col).cast("string").alias("i")).alias("_rank"), F.col(text_col).alias("_text"))
-    chosen = rows.select("_rank").orderBy("_rank").limit(SAMPLE_DOCS)  # SAMPLE_DOCS ids at most, whatever the corpus
-    picked = rows.filter("_text is not null").join(F.broadcast(chosen.distinct()), "_rank", "left_semi").select(F.substring("_text", 1, SAMPLE_BYTES).alias("_text"))
+    """From the SAMPLE_DOCS ids with the smallest hashes, and one text of each: an id with many rows is no larger a sample. A sample is SAMPLE_BYTES
+    characters at most, from anywhere in its text."""
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("_i"), F.col(text_col).alias("_text"))
+    chosen = rows.select("_i").distinct().orderBy(F.xxhash64("_i"), "_i").limit(SAMPLE_DOCS)
+    at = 1 + F.pmod(F.xxhash64("_text"), F.greatest(F.lit(1), F.length("_text") - SAMPLE_BYTES)).cast("int")
+    piece = rows.withColumn("_text", F.col("_text").substr(at, F.lit(SAMPLE_BYTES)))
+    picked = piece.filter(F.col("_i").isNotNull()).join(F.broadcast(chosen), "_i", "left_semi").groupBy("_i").agg(F.max("_text").alias("_text")).select("_text")
 
     def fit(batches):
         import pyarrow as pa

@@ -180,7 +180,9 @@ def test_totals_out_of_reach(spark):
     with pytest.raises(ValueError, match="no rates"):
         mixing.fit_rates(df, [0.99, 0.01], total=140.0)
     even = df.withColumn("p", F.array(F.lit(0.5), F.lit(0.5)))
-    assert {r["rate"] for r in mixing.fit_rates(even, [0.9, 0.1]).collect()} == {1.0}
+    assert {(r["rate"], round(r["misfit"], 9)) for r in mixing.fit_rates(even, [0.9, 0.1]).collect()} == {(1.0, 0.4)}
+    next_to_none = df.withColumn("p", F.array(F.lit(1 - 1e-6), F.lit(1e-6)))
+    assert {(r["rate"], round(r["misfit"], 3)) for r in mixing.fit_rates(next_to_none, [0.5, 0.5]).collect()} == {(1.0, 0.5)}
     assert mixing.fit_rates(df.limit(0), [0.9, 0.1]).count() == 0
 
 
@@ -374,3 +376,29 @@ def test_held_out_fold(spark):
     df = spark.range(200).withColumn("h", held_out(F.col("id")))
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in df.collect())
     assert spark.sql("select cast(null as bigint) as id").select(held_out(F.col("id"))).head()[0] is False
+
+
+def test_one_id_on_most_rows_is_one_text_to_learn_from(spark, monkeypatch):
+    """Rows of one id are no larger a sample, for the classifier's one task and for the token dictionary's."""
+    import public_tokenizers
+
+    from seqlab.llm import token_output
+
+    rows = [(1, f"the same id {i} " * 3) for i in range(3000)] + [(i, f"text of its own {i}") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    labels = spark.range(1, 60).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    weights, _ = quality.fit(docs, labels, "quality")
+    once = docs.groupBy("doc_id").agg(F.max("text").alias("text"))
+    assert (weights == quality.fit(once, labels, "quality")[0]).all()
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(token_output, "SAMPLE_DOCS", 40)
+    # too little to train on, so the samples are the dictionary: 40 of them and no more
+    assert len(token_output.fit_dictionary(docs, path, "doc_id", "text", 2)) <= 40 * 4 * 30
+
+
+def test_duplicate_rows_keep_the_same_one_wherever_they_are(spark):
+    from seqlab.llm import exact_dedup
+
+    rows = [(1, "A b", i) for i in range(200)] + [(2, "a B", 0), (3, "c", 5)]
+    got = [sorted(map(tuple, exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, other int").repartition(n)).collect())) for n in (1, 7)]
+    assert got[0] == got[1] and [r[0] for r in got[0]] == [1, 3]
