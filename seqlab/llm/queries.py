@@ -104,7 +104,7 @@ def second_copy(pages: DataFrame) -> DataFrame:
 @query
 def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    first, second = (warc_audit.leaves(warc_audit.records(p)) for p in (pages, second_copy(pages)))
+    first, second = (warc_audit.publish(p, shared_path(spark, name)) for p, name in ((pages, "replica"), (second_copy(pages), "replica")))
     found = warc_audit.audit(first, second)
     return found.select("file", F.col("id").alias("page_id"), "at", "length", "digest", "other_at", "other_length", "other_digest", "fault")
 
@@ -116,7 +116,7 @@ WITH two AS (
   SELECT 2, page_id, url, coalesce(CASE WHEN page_id % 101 = 7 THEN '?' || substring(html, 2) WHEN page_id % 997 = 11 THEN substring(html, 1, CAST(floor(length(html) / 2) AS INT)) ELSE html END, '') FROM pages
 ), written AS (
   SELECT copy, CAST(page_id // 1000 AS BIGINT) AS file, page_id,
-    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
     || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record
   FROM two
 ), placed AS (

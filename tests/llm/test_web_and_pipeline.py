@@ -111,9 +111,49 @@ def test_audit_finds_every_fault(spark, monkeypatch):
     assert warc_audit.audit(replica(spark, []), replica(spark, [])).count() == 0 and warc_audit.audit(replica(spark, rows[:3]), replica(spark, [])).count() == 3
 
 
+def archive_files(path):
+    return {int(f.parent.name[5:]): f for f in path.rglob("part-*")}
+
+
+def test_stored_archives(spark, tmp_path):
+    """Files hold the records one after another; changed bytes, torn records and lost files are found where they are."""
+    rows = [(i, f"http://h/{i}", ("é" * (i % 40) + "\r\n\r\nWARC/1.0 is a word\r\n\r\n" * (i % 3)) if i % 5 else None) for i in range(2300)] + [(7, "u\r\nX: y", "again"), (None, "u", "no id"), (None, None, None)]
+    first, second = f"{tmp_path}/a", f"{tmp_path}/b"
+    warc_audit.write_archives(warc_audit.records(pages_of(spark, rows)), first)
+    warc_audit.write_archives(warc_audit.records(pages_of(spark, rows[::-1]).repartition(7)), second)
+    order = ["file", "seq"]
+    stored = warc_audit.read_leaves(spark, first).orderBy(order).collect()
+    assert stored == warc_audit.leaves(warc_audit.records(pages_of(spark, rows))).orderBy(order).select(list(stored[0].asDict())).collect()
+    assert len(stored) == len(rows) and not any(r["torn"] for r in stored)
+    data = {k: f.read_bytes() for k, f in archive_files(tmp_path / "a").items()}
+    assert all(hashlib.sha256(data[r["file"]][r["at"] : r["at"] + r["length"]]).hexdigest() == r["digest"] for r in stored)
+    look = lambda: warc_audit.audit(warc_audit.read_leaves(spark, first), warc_audit.read_leaves(spark, second)).collect()
+    assert look() == []
+    place = {(r["file"], r["id"]): (r["at"], r["length"]) for r in stored}
+    files = archive_files(tmp_path / "b")
+
+    def damage(number, change):
+        raw = change(files[number].read_bytes())
+        files[number].write_bytes(raw)
+        (files[number].parent / f".{files[number].name}.crc").unlink(missing_ok=True)
+
+    at, n = place[(0, 12)]
+    damage(0, lambda d: d[: at + n - 6] + bytes([d[at + n - 6] ^ 1]) + d[at + n - 5 :])  # one bit of a payload
+    at1, n1 = place[(1, 1503)]
+    damage(1, lambda d: d[: at1 + n1 // 2] + d[at1 + n1 :])  # half a record is gone
+    at2, n2 = place[(2, 2299)]
+    damage(2, lambda d: d[: at2 + 9])  # the end of a file is gone
+    got = look()
+    faults = {(r["fault"], r["file"]): sorted(x["id"] for x in got if (x["fault"], x["file"]) == (r["fault"], r["file"]) and x["id"] is not None) for r in got}
+    assert faults[("corrupt", 0)] == [12] and ("moved", 0) not in faults
+    assert 1503 in faults[("missing", 1)] and len(faults[("missing", 1)]) <= 2 and [x["at"] is None for x in got if x["fault"] == "torn"] == [True, True]
+    assert faults[("moved", 1)] == [i for i in range(1504, 2000) if i not in faults[("missing", 1)]]
+    assert faults[("missing", 2)] == [2299] and ("moved", 2) not in faults
+
+
 def test_record_layout(spark):
-    rec = bytes(warc_audit.records(pages_of(spark, [(5, "http://a", "é")])).head()["record"])
-    assert rec == "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:5>\r\nWARC-Target-URI: http://a\r\nContent-Type: text/html\r\nContent-Length: 2\r\n\r\né\r\n\r\n".encode()
+    rec = warc_audit.records(pages_of(spark, [(5, "http://a", "é")])).head()["record"].encode() + b"\r\n\r\n"
+    assert rec == "WARC/1.0\r\nWARC-Type: resource\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Record-ID: <urn:page:5>\r\nWARC-Target-URI: http://a\r\nContent-Type: text/html\r\nContent-Length: 2\r\n\r\né\r\n\r\n".encode()
     leaf = replica(spark, [(5, "http://a", "é")]).head()
     assert leaf["digest"] == hashlib.sha256(rec).hexdigest() and leaf["length"] == len(rec) and leaf["at"] == 0
     assert second_copy(pages_of(spark, [(7, "u", "abc"), (11, "u", "abcd"), (1, "u", None)])).select("html").toPandas()["html"].tolist() == ["?bc", "ab", None]
