@@ -461,7 +461,7 @@ def fold_sql(years: tuple[int, ...]) -> str:
 
 
 def folded(spark: SparkSession, sf_dir: str, years=FOLDS) -> DataFrame:
-    found = folds.complete_cases(full_panel(spark, sf_dir, SPANS), NEEDED)
+    found = cut(folds.complete_cases(full_panel(spark, sf_dir, SPANS), NEEDED), "panel")
     # written once, as classes, thresholds and models all read it
     return cut(folds.guard_folds(folds.fold_table(found, "day", years, START), "day"), "folds")
 
@@ -766,8 +766,10 @@ SET_COLUMNS = {f"{n}_{s}": feature_set(n, s) for n in ("compact", "full") for s
 
 def model_rows(spark: SparkSession, sf_dir: str, years: Sequence[int] = FOLDS) -> DataFrame:
     """Complete rows with classes, by fold, written once. Rows that a fold must not see are refused, not passed over."""
-    rows = folds.fold_table(wide_panel(spark, sf_dir), "day", years, START)
-    rows = cut(folds.guard_development(folds.guard_folds(rows, "day"), "day", max(years)), "folds")
+    # the panel is written before its rows are dealt to folds, as a plan of both takes the optimizer minutes
+    rows = folds.fold_table(cut(wide_panel(spark, sf_dir), "panel"), "day", years, START)
+    # the second guard stands on the written table: it needs no fold, so it would be tried on rows that are in none
+    rows = folds.guard_development(cut(folds.guard_folds(rows, "day"), "folds"), "day", max(years))
     return cut(folds.with_classes(rows, folds.thresholds(rows, MODEL_KEYS, "score"), MODEL_KEYS, "score"), "classes")
 
 
