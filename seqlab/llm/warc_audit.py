@@ -48,11 +48,30 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return out.withColumn("file", file)
 
 
-def write_archives(found: DataFrame, path: str) -> None:
-    """One archive file for each file number of ``records``, in a folder file=<number>. Spark writes each record as a line that END ends."""
+def write_archives(found: DataFrame, path: str, compression: str = "gzip") -> None:
+    """One archive file for each file number of ``records``, in a folder file=<number>. Spark writes each record as a line that END ends. compression: gzip
+    or none; offsets count uncompressed bytes."""
     slim = found.select("file", F.col("record").alias("value"), F.col("id").alias("_id"))
     dealt = slim.repartition("file").sortWithinPartitions("file", "_id", F.sha2("value", 256))
-    dealt.select("file", "value").write.partitionBy("file").option("lineSep", END).text(path)
+    dealt.select("file", "value").write.partitionBy("file").option("lineSep", END).option("compression", compression).text(path)
+
+
+def unpacked(data: bytes) -> bytes:
+    """The bytes of an archive file, of a damaged gzip stream those before the damage."""
+    import zlib
+
+    out = []
+    while data.startswith(b"\x1f\x8b"):
+        stream = zlib.decompressobj(31)
+        try:
+            for lo in range(0, len(data), 4096):
+                out.append(stream.decompress(data[lo : lo + 4096]))
+                if stream.eof:
+                    break
+        except zlib.error:
+            return b"".join(out)
+        data = (stream.unused_data + data[lo + 4096 :]) if stream.eof else b""
+    return b"".join(out) or data
 
 
 def walk(data: bytes):
@@ -92,7 +111,7 @@ def read_leaves(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for number, data in zip(batch.column("file").to_pylist(), batch.column("content")):
-                data = data.as_py()
+                data = unpacked(data.as_py())
                 rows = [(number, i, id_, at, n, hashlib.sha256(data[at : at + n]).hexdigest(), torn) for i, (at, n, id_, torn) in enumerate(walk(data))]
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["file", "seq", "id", "at", "length", "digest", "torn"])

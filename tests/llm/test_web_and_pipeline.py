@@ -119,8 +119,8 @@ def test_stored_archives(spark, tmp_path):
     """Files hold the records one after another; changed bytes, torn records and lost files are found where they are."""
     rows = [(i, f"http://h/{i}", ("é" * (i % 40) + "\r\n\r\nWARC/1.0 is a word\r\n\r\n" * (i % 3)) if i % 5 else None) for i in range(2300)] + [(7, "u\r\nX: y", "again"), (None, "u", "no id"), (None, None, None)]
     first, second = f"{tmp_path}/a", f"{tmp_path}/b"
-    warc_audit.write_archives(warc_audit.records(pages_of(spark, rows)), first)
-    warc_audit.write_archives(warc_audit.records(pages_of(spark, rows[::-1]).repartition(7)), second)
+    warc_audit.write_archives(warc_audit.records(pages_of(spark, rows)), first, "none")
+    warc_audit.write_archives(warc_audit.records(pages_of(spark, rows[::-1]).repartition(7)), second, "none")
     order = ["file", "seq"]
     stored = warc_audit.read_leaves(spark, first).orderBy(order).collect()
     assert stored == warc_audit.leaves(warc_audit.records(pages_of(spark, rows))).orderBy(order).select(list(stored[0].asDict())).collect()
@@ -151,6 +151,16 @@ def test_stored_archives(spark, tmp_path):
     assert faults[("missing", 2)] == [2299] and ("moved", 2) not in faults
 
 
+def test_compressed_archives():
+    import gzip
+
+    data = b"".join(bytes([i % 251]) * (i % 97) for i in range(3000))
+    assert warc_audit.unpacked(gzip.compress(data)) == data == warc_audit.unpacked(data)
+    assert warc_audit.unpacked(gzip.compress(data) + gzip.compress(b"more")) == data + b"more"
+    part = warc_audit.unpacked(gzip.compress(data)[:-2000])
+    assert data.startswith(part)
+
+
 def test_record_layout(spark):
     rec = warc_audit.records(pages_of(spark, [(5, "http://a", "é")])).head()["record"].encode() + b"\r\n\r\n"
     assert rec == "WARC/1.0\r\nWARC-Type: resource\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Record-ID: <urn:page:5>\r\nWARC-Target-URI: http://a\r\nContent-Type: text/html\r\nContent-Length: 2\r\n\r\né\r\n\r\n".encode()
