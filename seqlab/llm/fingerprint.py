@@ -21,6 +21,9 @@ come first; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -176,16 +179,24 @@ def likeness(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
 def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(the rows dealt into ranges of the id and sorted: _part, _id, _tie, _text; of each range the text that follows it: _part, _after).
 
-    Ranges are made by the ids' quantiles, so texts cross the network once. A range's first row is found by ids and hashes alone; then its text is
-    fetched, one for each range.
+    Ranges are made by the ids' quantiles, so texts cross the network once. An id that several quantiles fall on is cut into so many ranges by the hash
+    of its texts, rows without an id likewise by their share of the rows, so that no range holds many times its part. A range's first row is found by
+    ids and hashes alone; then its text is fetched, one for each range.
     """
     spark = docs.sparkSession
     n = ranges or max(24, 2 * shuffle_partitions(spark))
-    bounds = docs.select(F.percentile_approx(F.col(id_col), F.array(*[F.lit(i / n) for i in range(1, n)]), 10 * n).alias("q")).head()["q"] or []
-    bounds = sorted(set(bounds))
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("_id"))) if bounds else F.lit(0)
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = rows.select(F.when(F.col("_id").isNull(), -1).otherwise(part).alias("_part"), "_id", F.xxhash64("_text").alias("_tie"), "_text")
+    id_ = F.col(id_col)
+    held = docs.select(F.percentile_approx(id_, F.array(*[F.lit(i / n) for i in range(1, n)]), 10 * n).alias("q"), F.count(F.lit(1)).alias("n"), F.count(id_).alias("known")).head()
+    times = Counter(held["q"] or [])
+    hot = {b: m for b, m in times.items() if m > 1}
+    many = lambda bounds, test: F.size(F.filter(F.array(*[F.lit(b) for b in sorted(bounds)]), test)) if bounds else F.lit(0)
+    # a hot id has a number of its own, so that the ids after it come after all of its ranges
+    number = F.when(F.col("_id").isNull(), -1).otherwise(many(times, lambda b: b <= F.col("_id")) + many(hot, lambda b: b < F.col("_id")))
+    pieces = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair]), F.col("_id")), F.lit(1)) if hot else F.lit(1)
+    pieces = F.when(F.col("_id").isNull(), max(1, math.ceil(n * (held["n"] - held["known"]) / max(held["n"], 1)))).otherwise(pieces)
+    piece = F.least(F.floor((F.col("_tie") / 2.0**64 + 0.5) * pieces), pieces - 1)
+    rows = docs.select(id_.alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).select("_id", F.xxhash64("_text").alias("_tie"), "_text")
+    rows = rows.select((number * (n + 1) + piece).cast("int").alias("_part"), "_id", "_tie", "_text")
     place = F.struct(F.col("_id").isNotNull().alias("a"), F.coalesce("_id", F.lit(0)).alias("b"), F.col("_tie").alias("c"))
     firsts = rows.groupBy("_part").agg(F.min(place).alias("p")).collect()  # a row for each range
     order = sorted((r["_part"], r["p"]) for r in firsts)

@@ -350,6 +350,23 @@ def test_every_column_of_the_query_by_definition(spark, tmp_path):
     assert near[70] > 0.5 and near[80] > 0.6 and near[90] > 0.5
 
 
+def test_an_id_on_most_rows_is_dealt_to_many_ranges(spark):
+    """One id, and rows without one, are cut by their texts' hashes; the order is still that of ids and hashes, and each row's next one is right."""
+    rows = [(5, f"text {i} of one id and more words") for i in range(3000)] + [(None, f"none {i} without an id at all") for i in range(1200)] + [(i, f"other {i} " * 4) for i in range(300)] + [(5, "again again")] * 3
+    docs = docs_of(spark, rows).repartition(5).cache()
+    dealt = fingerprint.in_order(docs, ranges=24)[0].select("_part", "_id", "_tie").collect()
+    sizes = Counter(r["_part"] for r in dealt)
+    assert len(dealt) == len(rows) and max(sizes.values()) < 3 * len(rows) / 24
+    key = lambda r: (r["_id"] is not None, r["_id"] or 0, r["_tie"])
+    assert sorted(dealt, key=lambda r: (r["_part"], key(r))) == sorted(dealt, key=lambda r: (key(r), r["_part"]))
+    tie = {r["text"]: r["tie"] for r in docs.select("text", F.xxhash64("text").alias("tie")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]))
+    want = Counter((i, t, t[: len(t) - len(t) // 4] + order[(k + 1) % len(order)][1][: len(t) // 4]) for k, (i, t) in enumerate(order))
+    got = fingerprint.edited_pairs(docs).select("doc_id", "text", "edited").collect()
+    assert Counter(map(tuple, got)) == want
+    docs.unpersist()
+
+
 def test_likeness_of_stored_fingerprints(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     QUERIES["op5_fingerprints"](spark, sf).write.parquet(f"{tmp_path}/f")
