@@ -488,3 +488,37 @@ def test_search_fits_each_pair_once(spark, tmp_path):
     assert {r["stage"]: r["count"] for r in boards.groupBy("stage").count().collect()} == {1: 32, 2: 10, 3: 3}
     again, _ = search.staged_search(candidates, fit, stages, f"{tmp_path}/ledger")
     assert len(calls) == 3 and again.collect() == winner.collect()
+
+
+def test_lots_are_whole_keys():
+    assert models._lots(np.array([0, 3, 5, 20, 21]), 5) == [(0, 2), (2, 3), (3, 4)]
+    assert models._lots(np.array([0, 3, 5]), 1) == [(0, 1), (1, 2)]
+
+
+def test_ridge_solves_many_keys_at_once():
+    rng = np.random.default_rng(8)
+    rows = [np.column_stack([np.ones(30), rng.normal(size=(30, 2)), np.full(30, 7.0), rng.normal(size=30)]) for _ in range(4)]
+    moments = np.stack([(r.T @ r)[np.triu_indices(5)] for r in rows])
+    coefficients, means, deviations, intercepts = models.solve_ridge_keys(moments, 3, [1.0, 10.0])
+    for k, r in enumerate(rows):
+        z, y = (r[:, 1:3] - r[:, 1:3].mean(axis=0)) / r[:, 1:3].std(axis=0), r[:, 4] - r[:, 4].mean()
+        for i, alpha in enumerate((1.0, 10.0)):
+            assert np.allclose(coefficients[k, i, :2], np.linalg.solve(z.T @ z + alpha * np.eye(2), z.T @ y)) and coefficients[k, i, 2] == pytest.approx(0, abs=1e-9)
+        assert deviations[k, 2] == 1.0 and means[k, 2] == pytest.approx(7) and intercepts[k] == pytest.approx(r[:, 4].mean())
+
+
+def test_short_keys_need_no_sketch(spark):
+    """Keys whose values fit a row are sorted; only longer ones are sketched and selected."""
+    from seqlab.operators import quantiles
+
+    df = spark.createDataFrame([(k, float(v)) for k in range(3) for v in range(10)] + [(9, None)], "k int, v double")
+    found = quantiles.exact_quantiles(df, ["k"], "v", (0.0, 1 / 3, 1.0))
+    assert "percentile_approx" not in found._jdf.queryExecution().toString()
+    assert {r["k"]: (r["n"], r["quantiles"]) for r in found.collect()} == {k: (10, [0.0, 3.0, 9.0]) for k in range(3)}
+
+
+def test_scores_join_the_orders_once(spark):
+    from seqlab.plans import fixture
+
+    plan = fixture.scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
