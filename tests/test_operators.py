@@ -522,3 +522,37 @@ def test_scores_join_the_orders_once(spark):
 
     plan = fixture.scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_splits_of_guarded_folds_need_no_table(spark):
+    """A filter by split beside the guard leaves right rows alone, and wrong ones are still refused."""
+    df = spark.createDataFrame([(1, dt.date(y, 6, 1)) for y in range(2015, 2021)], "entity int, day date")
+    rows = folds.guard_folds(folds.fold_table(df, "day", (2018, 2019), 2016), "day")
+    assert [rows.filter(F.col("split") == s).count() for s in ("train", "test")] == [5, 2]
+    late = spark.createDataFrame([(1, dt.date(2020, 1, 1), 2020, "train")], "entity int, day date, fold int, split string")
+    with pytest.raises(Exception, match="row of .*in the fold of 2020|USER_RAISED"):
+        folds.guard_folds(late, "day").filter("split = 'train'").count()
+
+
+def test_averages_need_two_sorts(spark):
+    """One in the order of days, one in the order of segments, however many spans there are."""
+    df = spark.createDataFrame([(1, dt.date(2015, 1, 1), 1.0)], "entity int, day date, score double")
+    found = panel.ewma_prior(panel.prior_value(panel.history(df, "entity", "day", ["score"]), "entity", "day", "score"), "entity", "day", "score", (3, 4, 8))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 2 and plan.count("Exchange") == 1
+
+
+def test_outings_and_scores_from_one_aggregation(spark, tmp_path):
+    """What the join of outings and logged scores gives, with repeated orders, orders without a total, pending ones and lines without an order."""
+    from seqlab.plans import fixture, queries
+
+    at = dt.datetime(2020, 1, 6)
+    line = lambda e, o, day, p: (o, 1, e, 1, 1.0, p, 0.0, 0.0, "A", "F", at + dt.timedelta(days=day))
+    lines = [line(3, 1, 0, 10.0), line(3, 2, 1, 30.0), line(3, None, 2, 50.0), line(4, 1, 0, 1.0), line(4, 3, 0, 2.0), line(5, 4, 0, 3.0), line(5, 5, 0, 4.0), line(6, 6, 0, 5.0), line(6, 6, 0, None), line(None, 1, 0, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = [(1, "F", 997.0), (1, "O", 1994.0), (2, "O", 9970.0), (3, "P", 5.0), (4, "P", 5.0), (6, "F", None)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got, want = ({r["entity"]: r.asDict() for r in f(spark, str(tmp_path)).collect()} for f in (queries.scored, queries.joined))
+    assert got == want and sorted(got) == [3, 4, 6] and got[6]["score"] is None and got[3]["event_count"] == 3
+    plan = queries.scored(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and len(fixture.scores(spark, str(tmp_path)).columns) == 4
