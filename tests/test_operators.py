@@ -556,3 +556,17 @@ def test_outings_and_scores_from_one_aggregation(spark, tmp_path):
     assert got == want and sorted(got) == [3, 4, 6] and got[6]["score"] is None and got[3]["event_count"] == 3
     plan = queries.scored(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and len(fixture.scores(spark, str(tmp_path)).columns) == 4
+
+
+def test_averages_of_short_entities_need_one_sort(spark):
+    rng = np.random.default_rng(4)
+    v = [None if rng.random() < 0.3 else float(x) for x in rng.normal(size=120)]
+    df = spark.createDataFrame([(1 + (i > 80), dt.date(2015, 1, 1) + dt.timedelta(days=i), x) for i, x in enumerate(v)], "entity int, day date, v double")
+    n = panel.longest(df, "entity")
+    assert n == 81
+    short = panel.ewma_prior(df, "entity", "day", "v", (2, 8), most_rows=n)
+    plan = short._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "_segment" not in plan
+    assert short.orderBy("day").collect() == panel.ewma_prior(df, "entity", "day", "v", (2, 8)).orderBy("day").collect()
+    many = panel.ewma_prior(df, "entity", "day", "v", (2, 8), most_rows=100_000)
+    assert "_segment" in many._jdf.queryExecution().executedPlan().toString()
