@@ -570,3 +570,11 @@ def test_averages_of_short_entities_need_one_sort(spark):
     assert short.orderBy("day").collect() == panel.ewma_prior(df, "entity", "day", "v", (2, 8)).orderBy("day").collect()
     many = panel.ewma_prior(df, "entity", "day", "v", (2, 8), most_rows=100_000)
     assert "_segment" in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_last_round_is_not_written(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(boosting, "cut", lambda df, name="cut": written.append(name) or df)
+    df = spark.createDataFrame([(1, i, "train" if i < 20 else "test", float(i % 7), float(i % 7 > 3)) for i in range(25)], "k int, i int, split string, a double, y double")
+    found = boosting.boost(df, ["k"], ["a"], "y", rounds=2, depth=1, min_child=2.0, bins=4, cut_every=1)
+    assert len(written) == 2 and found.filter("split = 'test'").count() == 5
