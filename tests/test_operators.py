@@ -342,6 +342,36 @@ def test_stumps_and_depth_two_with_64_bins(spark):
         assert np.allclose(want, plain, atol=1e-8)
 
 
+@pytest.mark.parametrize("scale", [1.0, 300.0, 1e-9, 0.0])
+def test_pruned_lockstep_to_the_bit(scale):
+    """Keys of several sizes, repeated values, twin features, and parameters of every kind; most features need no exact sums."""
+    rng = np.random.default_rng(5)
+    sizes = [70, 31, 8, 120, 2, 64]
+    key, n = np.repeat(np.arange(len(sizes)), sizes), sum(sizes)
+    x = np.column_stack([rng.normal(size=(n, 5)), rng.integers(0, 3, n), rng.integers(0, 12, (n, 2)), np.zeros(n)])
+    x = np.column_stack([x, -x[:, 0], x[:, 6]])
+    train = rng.random(n) < 0.8
+    train[np.cumsum(sizes) - 1], train[np.cumsum(sizes) - 2] = False, True
+    bins = np.concatenate([boosting.binned(x[key == k], train[key == k], 64) for k in range(len(sizes))])
+    key_hash, row_hash = rng.integers(-(2**63), 2**63 - 1, len(sizes)), rng.integers(-(2**63), 2**63 - 1, n)
+    base = {"rate": 0.1, "reg_lambda": 3.0, "row_share": 0.8, "column_share": 0.7}
+    fits = [
+        {"rounds": 12, "depth": 1, "min_child": 5.0, **base}, {"rounds": 9, "depth": 3, "min_child": 2.5, **base, "row_share": 1.0}, {"rounds": 12, "depth": 2, "min_child": 3.0, **base, "reg_alpha": 0.7 * scale},
+        {"rounds": 8, "depth": 3, "min_child": 2.0, **base, "gamma": 0.5 * scale, "column_share": 1.0, "seed": 7}, {"rounds": 10, "depth": 2, "min_child": 0.0, **base}, {"rounds": 6, "depth": 2, "min_child": 2.0, **base, "reg_alpha": 1e4, "gamma": 0.01},
+    ]
+    columns = [[0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10], [0, 2, 5, 9], [1, 3, 6, 10], [0, 1, 2, 3, 4, 5, 6, 7], [8, 9, 10], [0, 4]]
+    y = scale * (rng.normal(size=(len(fits), n)) + 2 * (x[:, 0] > 0.3))
+    y[1] = np.rint(y[1])  # many equal gains
+    seen: list = []
+    args = (bins, key, key_hash, row_hash, train, y, columns, fits)
+    got = boosting.pruned_lockstep(*args, seen)
+    assert np.array_equal(got, boosting.lockstep(*args)) and len(seen) == 33
+    summed, every = np.sum(seen, axis=0)
+    assert summed < 0.4 * every
+    large = {**fits[0], "reg_lambda": 2e3}
+    assert np.array_equal(boosting.pruned_lockstep(*args[:-1], [large, *fits[1:]]), boosting.lockstep(*args[:-1], [large, *fits[1:]]))
+
+
 def test_candidates_of_a_key(spark):
     rng = np.random.default_rng(6)
     x, y = rng.normal(size=(60, 2)), rng.normal(size=60)
