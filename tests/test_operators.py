@@ -525,6 +525,28 @@ def test_lots_are_whole_keys():
     assert models._lots(np.array([0, 3, 5]), 1) == [(0, 1), (1, 2)]
 
 
+def test_ridge_corrections_solve_all_keys_at_once(monkeypatch):
+    """One solution for each group of fits, not for each key; the same numbers to the bit as key by key."""
+    rng = np.random.default_rng(9)
+    sizes, n = [40, 25, 60], 125
+    bounds = np.append(0, np.cumsum(sizes))
+    v = {c: rng.normal(size=n) for c in ("a", "b", "c", "score", "ewma2", "ewma4")}
+    v["c"][:40] = 2.0
+    train = rng.random(n) < 0.7
+    fits = [{"span": s, "columns": list(c), "alpha": x} for s, c in ((2, "ab"), (4, "abc")) for x in (1.0, 30.0)]
+    calls, solve = [], models.solve_ridge_keys
+    monkeypatch.setattr(models, "solve_ridge_keys", lambda m, p, alphas: calls.append(len(m)) or solve(m, p, alphas))
+    got = models._ridge_corrections(v, fits, "score", train, bounds)
+    assert calls == [3, 3]
+    for f, found in zip(fits, got):
+        x, y = np.stack([v[c] for c in f["columns"]], axis=1), v["score"] - v[f"ewma{f['span']}"]
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            t = lo + np.flatnonzero(train[lo:hi])
+            one = np.column_stack([np.ones(len(t)), x[t], y[t]])
+            s = models.solve_ridge((one.T @ one)[np.triu_indices(len(f["columns"]) + 2)], len(f["columns"]), [f["alpha"]])[0]
+            assert np.array_equal(found[lo:hi], s["intercept"] + ((x[lo:hi] - s["means"]) / s["deviations"]) @ s["coefficients"])
+
+
 def test_ridge_solves_many_keys_at_once():
     rng = np.random.default_rng(8)
     rows = [np.column_stack([np.ones(30), rng.normal(size=(30, 2)), np.full(30, 7.0), rng.normal(size=30)]) for _ in range(4)]
